@@ -124,43 +124,43 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence, value: Co
     """Running sum including the current row."""
     w = ordered_window(keys, order, seconds)
     frame = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("_x", value)
+    d = df.withColumn("_carried", value)
     if not seconds:
-        return d.withColumn(out, F.sum("_x").over(frame)).drop("_x")
-    d = chunk_carry(with_chunk(d, ts, seconds), keys, {"_s": F.sum("_x")},
+        return d.withColumn(out, F.sum("_carried").over(frame)).drop("_carried")
+    d = chunk_carry(with_chunk(d, ts, seconds), keys, {"_s": F.sum("_carried")},
                     {"_base": F.coalesce(before(keys, F.sum("_s")), F.lit(0))})
-    return d.withColumn(out, F.sum("_x").over(frame) + F.col("_base")).drop("_x", "_base", CHUNK)
+    return d.withColumn(out, F.sum("_carried").over(frame) + F.col("_base")).drop("_carried", "_base", CHUNK)
 
 
 def last_known(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column, out: str,
                ts: str = "ts", seconds: int | None = None) -> DataFrame:
     """Latest non-null `value` at or before each row (forward fill)."""
     w = ordered_window(keys, order, seconds).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("_x", value)
+    d = df.withColumn("_carried", value)
     if not seconds:
-        return d.withColumn(out, F.last("_x", ignorenulls=True).over(w)).drop("_x")
-    marker = F.struct(*[_plain(o) for o in order], F.col("_x"))
+        return d.withColumn(out, F.last("_carried", ignorenulls=True).over(w)).drop("_carried")
+    marker = F.struct(*[_plain(o) for o in order], F.col("_carried"))
     d = chunk_carry(
         with_chunk(d, ts, seconds), keys,
-        {"_m": F.max(F.when(F.col("_x").isNotNull(), marker))},
-        {"_prev": before(keys, F.max("_m")).getField("_x")},
+        {"_m": F.max(F.when(F.col("_carried").isNotNull(), marker))},
+        {"_prev": before(keys, F.max("_m")).getField("_carried")},
     )
-    return d.withColumn(out, F.coalesce(F.last("_x", ignorenulls=True).over(w), F.col("_prev"))) \
-            .drop("_x", "_prev", CHUNK)
+    return d.withColumn(out, F.coalesce(F.last("_carried", ignorenulls=True).over(w), F.col("_prev"))) \
+            .drop("_carried", "_prev", CHUNK)
 
 
 def next_known(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column, out: str,
                ts: str = "ts", seconds: int | None = None) -> DataFrame:
     """Earliest non-null `value` at or after each row (backward fill)."""
     w = ordered_window(keys, order, seconds).rowsBetween(0, Window.unboundedFollowing)
-    d = df.withColumn("_x", value)
+    d = df.withColumn("_carried", value)
     if not seconds:
-        return d.withColumn(out, F.first("_x", ignorenulls=True).over(w)).drop("_x")
-    marker = F.struct(*[_plain(o) for o in order], F.col("_x"))
+        return d.withColumn(out, F.first("_carried", ignorenulls=True).over(w)).drop("_carried")
+    marker = F.struct(*[_plain(o) for o in order], F.col("_carried"))
     d = chunk_carry(
         with_chunk(d, ts, seconds), keys,
-        {"_m": F.min(F.when(F.col("_x").isNotNull(), marker))},
-        {"_next": after(keys, F.min("_m")).getField("_x")},
+        {"_m": F.min(F.when(F.col("_carried").isNotNull(), marker))},
+        {"_next": after(keys, F.min("_m")).getField("_carried")},
     )
-    return d.withColumn(out, F.coalesce(F.first("_x", ignorenulls=True).over(w), F.col("_next"))) \
-            .drop("_x", "_next", CHUNK)
+    return d.withColumn(out, F.coalesce(F.first("_carried", ignorenulls=True).over(w), F.col("_next"))) \
+            .drop("_carried", "_next", CHUNK)
