@@ -1 +1,239 @@
+"""Multivariate monitoring, models and streams over the given tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.ladders import agreement
+from ..operators import charts, divergence, learn, pca, reports
+from ..operators.scale import chunk_seconds_for
+from ..plans import retrain
+from ..streaming import detectors, live
+from .history import dim
+from .registry import READINGS_SQL, query, r6, readings, table, us, user_readings
+from .sqlparts import INDEXED, thin_sql
+
+FOUR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("correlation_table", """SELECT a, b, round(r, 6) AS r FROM (SELECT unnest([
+ {a: 'l_quantity', b: 'l_quantity', r: corr(l_quantity, l_quantity)}, {a: 'l_quantity', b: 'l_extendedprice', r: corr(l_quantity, l_extendedprice)},
+ {a: 'l_quantity', b: 'l_discount', r: corr(l_quantity, l_discount)}, {a: 'l_quantity', b: 'l_tax', r: corr(l_quantity, l_tax)},
+ {a: 'l_extendedprice', b: 'l_extendedprice', r: corr(l_extendedprice, l_extendedprice)}, {a: 'l_extendedprice', b: 'l_discount', r: corr(l_extendedprice, l_discount)},
+ {a: 'l_extendedprice', b: 'l_tax', r: corr(l_extendedprice, l_tax)}, {a: 'l_discount', b: 'l_discount', r: corr(l_discount, l_discount)},
+ {a: 'l_discount', b: 'l_tax', r: corr(l_discount, l_tax)}, {a: 'l_tax', b: 'l_tax', r: corr(l_tax, l_tax)}], recursive := true) FROM lineitem)""")
+def _(spark, sf):
+    return pca.correlation_table(table(spark, sf, "lineitem"), FOUR).withColumn("r", r6("r"))
+
+
+@query("pca_scores", """WITH m AS (SELECT avg(l_quantity) AS m1, stddev_samp(l_quantity) AS s1, avg(l_extendedprice) AS m2, stddev_samp(l_extendedprice) AS s2, corr(l_quantity, l_extendedprice) AS r FROM lineitem),
+z AS (SELECT l_orderkey, l_partkey, l_linenumber, (l_quantity - m1) / s1 AS a, (l_extendedprice - m2) / s2 AS b, r FROM lineitem, m)
+SELECT l_orderkey, l_partkey, l_linenumber, round(pow(a + sign(r) * b, 2) / 2 / (1 + abs(r)), 6) AS t2, round(pow(a - sign(r) * b, 2) / 2, 6) AS spe FROM z""")
+def _(spark, sf):
+    l = table(spark, sf, "lineitem")
+    cols = ["l_quantity", "l_extendedprice"]
+    return pca.score_pca(l, pca.fit_pca(l, cols)).select("l_orderkey", "l_partkey", "l_linenumber", r6("t2").alias("t2"), r6("spe").alias("spe"))
+
+
+@query("pca_model")
+def _(spark, sf):
+    return pca.fit_pca(table(spark, sf, "lineitem"), FOUR).to_table(spark)
+
+
+@query("pca_high_dimension")
+def _(spark, sf):
+    """64 embedding dimensions as tags."""
+    e = table(spark, sf, "embeddings")
+    wide = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(64)])
+    m = pca.fit_pca(wide, [f"d{i}" for i in range(64)])
+    s = pca.score_pca(wide, m)
+    return s.select("vec_id", r6("t2").alias("t2"), r6("spe").alias("spe"), (F.col("t2") > m.t2_limit).alias("t2_alarm"),
+                    (F.col("spe") > m.spe_limit).alias("spe_alarm"), "contributors")
+
+
+@query("pca_alerts")
+def _(spark, sf):
+    """Daily means of shipped lines per flag."""
+    l = table(spark, sf, "lineitem").groupBy(F.lit("plant").alias("asset"), F.col("l_returnflag").alias("scenario"),
+                                             F.col("l_shipdate").cast("timestamp").alias("ts")).agg(*[F.avg(c).alias(c) for c in FOUR])
+    return pca.pca_alerts(l, pca.fit_pca(l, FOUR), 86_400 * 7).drop("contributors", "extra")
+
+
+@query("divergence_runs", f"""WITH RECURSIVE {INDEXED}, f AS (SELECT *, abs(value - 50) > greatest(0.5, 0.01 * abs(value), 30.0) AS off FROM ix),
+g AS (SELECT *, rn - row_number() OVER (PARTITION BY tag, off ORDER BY rn) AS grp FROM f),
+w AS (SELECT tag, min(rn) AS us, count(*) AS run_rows, first(value ORDER BY abs(value - 50) DESC, rn) AS actual FROM g WHERE off GROUP BY tag, grp HAVING count(*) >= 3)
+{thin_sql('w', 'tag', 60)}
+SELECT tag, us AS run_start, run_rows, actual, CASE WHEN abs(actual - 50) / greatest(0.5, 0.01 * abs(actual), 30) > 4 THEN 'high'
+ WHEN abs(actual - 50) / greatest(0.5, 0.01 * abs(actual), 30) > 2 THEN 'medium' ELSE 'low' END AS severity FROM t""")
+def _(spark, sf):
+    r = readings(spark, sf)
+    d = r.select("tag", "ts", F.col("value").alias("actual"), F.lit(50.0).alias("predicted"), F.lit(10.0).alias("std"))
+    out = divergence.divergence_runs(d, ["tag"], 3, 60, seconds=chunk_seconds_for(r, ["tag"]))
+    return out.select("tag", "run_start", "run_rows", "actual", "severity")
+
+
+@query("forecast_violations", f"""WITH RECURSIVE {INDEXED}, h AS (SELECT *, list(value) OVER (PARTITION BY tag ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS y FROM ix),
+l AS (SELECT * FROM (VALUES ('click', 150.0, 'above', 60.0), ('view', 1.0, 'below', 0.5), ('error', 120.0, 'above', 100.0)) t(tag, lim, dir, far)),
+v AS (SELECT h.tag, us, lim, dir, far, list_position(list_transform(y, lambda q: CASE WHEN dir = 'below' THEN q < lim ELSE q > lim END), true) AS step, y FROM h JOIN l USING (tag)
+ WHERE rn >= 12 AND rn + 6 <= n AND (rn - 12) % 3 = 0),
+w AS (SELECT tag, us, step, y[step] AS predicted, CASE WHEN (CASE WHEN dir = 'below' THEN lim - y[step] ELSE y[step] - lim END) >= far THEN 'high' ELSE 'medium' END AS severity FROM v WHERE step > 0)
+{thin_sql('w', 'tag', 6 * 3_600_000_000, strict=False)} SELECT tag, us AS ts_us, step, predicted, severity FROM t""")
+def _(spark, sf):
+    from ..operators.windows import forecast_windows
+    r = readings(spark, sf)
+    sec = chunk_seconds_for(r, ["asset", "tag"])
+    w = forecast_windows(r.select("asset", F.col("tag").alias("scenario"), "ts", "value"), ["value"], ["value"], 12, 6, every=3, seconds=sec)
+    f = w.select("asset", "scenario", F.col("now_ts").alias("ts"), F.col("scenario").alias("tag"),
+                 F.element_at("x", -1)["value"].alias("current"), F.transform("y", lambda v: v["value"]).alias("trajectory"))
+    lim = spark.createDataFrame([("click", 150.0, "above", "medium", "high", 60.0), ("view", 1.0, "below", "medium", "high", 0.5),
+                                 ("error", 120.0, "above", "medium", "high", 100.0)],
+                                "tag string, limit double, direction string, near string, far string, far_offset double")
+    v = divergence.forecast_violations(f, lim, cooldown_minutes=360, seconds=sec)
+    return v.select("tag", us("ts").alias("ts_us"), F.col("step").cast("long").alias("step"), "predicted", "severity")
+
+
+@query("agreement", """SELECT l_orderkey, l_partkey, l_linenumber, round(greatest(0.0, 1 - abs(l_extendedprice / 1000 - l_quantity) / 5), 6) AS agreement FROM lineitem""")
+def _(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", r6(
+        agreement(F.col("l_extendedprice") / 1000, F.col("l_quantity"))).alias("agreement"))
+
+
+# --- models (no SQL twin) ---------------------------------------------------------
+
+ROW_KEY = F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+SOFT = dict(n_models=3, trees=8, depth=4, step=0.3)
+
+
+@query("soft_sensor_metrics")
+def _(spark, sf):
+    train, test = learn.holdout(table(spark, sf, "lineitem"), ROW_KEY)
+    m = learn.fit_soft_sensor(train, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", ROW_KEY, **SOFT)
+    return reports.regression_metrics(m.predict(test), ["l_returnflag"], "l_extendedprice", "predicted")
+
+
+@query("soft_sensor_band")
+def _(spark, sf):
+    """Measured, predicted and spread of the last 50 lines per flag."""
+    from ..operators.history import recent_rows
+    l = table(spark, sf, "lineitem")
+    m = learn.fit_soft_sensor(l, ["l_quantity", "l_tax"], "l_extendedprice", ROW_KEY, n_models=2, trees=5, depth=3, step=0.3)
+    last = recent_rows(l, 50, ["l_returnflag"], ts="l_shipdate", tie=["l_orderkey", "l_partkey", "l_extendedprice"])
+    return m.predict(last).select("l_returnflag", us("l_shipdate").alias("ts_us"), F.col("l_extendedprice").alias("measured"),
+                                  "predicted", "std")
+
+
+@query("soft_sensor_importances")
+def _(spark, sf):
+    l = table(spark, sf, "lineitem")
+    m = learn.fit_soft_sensor(l, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", ROW_KEY, n_models=2, trees=5, depth=3, step=0.3)
+    return m.importances(spark)
+
+
+@query("holdout_split")
+def _(spark, sf):
+    train, test = learn.holdout(table(spark, sf, "lineitem"), ROW_KEY)
+    n = F.count(F.lit(1)).alias("n")
+    return train.groupBy(F.lit("train").alias("part")).agg(n).unionByName(test.groupBy(F.lit("test").alias("part")).agg(n))
+
+
+def wide_events(spark, sf):
+    r = readings(spark, sf)
+    return r.select("asset", F.col("tag").alias("scenario"), "ts", "value", F.hour("ts").cast("double").alias("hour"))
+
+
+@query("forecaster_metrics")
+def _(spark, sf):
+    w = wide_events(spark, sf)
+    _, m = learn.evaluate_forecaster(w, ["value", "hour"], ["value"], [0, 1, 2, 5], [1, 3, 6], seconds=chunk_seconds_for(w, ["asset", "scenario"]))
+    return m
+
+
+@query("retrain_and_promote")
+def _(spark, sf):
+    l = table(spark, sf, "lineitem")
+    history = l.groupBy().agg(F.avg(F.abs(F.col("l_extendedprice") - 1500 * F.col("l_quantity"))).alias("mae")).select(
+        F.lit("soft_sensor").alias("model"), F.lit("2024-01-01").cast("timestamp").alias("run_ts"), "mae")
+    _, out = retrain.retrain_soft_sensor(l, ["l_quantity", "l_discount"], "l_extendedprice", ROW_KEY, history, "from-tables",
+                                         F.lit("2024-02-01").cast("timestamp"), n_models=2, trees=5, depth=3, step=0.3)
+    return out
+
+
+# --- streams: a file stream over `events` -----------------------------------------
+
+def event_stream(spark, sf):
+    from ..sources.samples import normalise_events
+    static = table(spark, sf, "events")
+    raw = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return normalise_events(raw, F.col("user_id"), F.col("event_type"))
+
+
+@query("stream_sessions", f"""WITH {READINGS_SQL}, a AS (SELECT * FROM r WHERE value > 60), g AS (SELECT *, coalesce(us - lag(us) OVER w > 43200000000, true) AS o FROM a WINDOW w AS (PARTITION BY user_id, tag ORDER BY us)),
+i AS (SELECT *, max(CASE WHEN o THEN us END) OVER (PARTITION BY user_id, tag ORDER BY us) AS s FROM g)
+SELECT user_id, tag, s AS start_us, max(us) AS end_us, count(*) AS alert_count FROM i GROUP BY ALL""")
+def _(spark, sf):
+    a = event_stream(spark, sf).filter(F.col("value") > 60).withColumn("detector", F.lit("Level")).withColumn("severity", F.lit("low"))
+    out = live.run_to_parquet(live.session_stream(a, "12 hours"), "sessions", "complete")
+    return out.select(F.col("asset").cast("long").alias("user_id"), F.col("tag_key").alias("tag"), us("start_ts").alias("start_us"),
+                      us("end_ts").alias("end_us"), "alert_count")
+
+
+@query("stream_downsample", f"""WITH {READINGS_SQL} SELECT user_id, tag, us // 86400000000 * 86400000000 AS ts_us, round(avg(value), 6) AS value FROM r GROUP BY ALL""")
+def _(spark, sf):
+    out = live.run_to_parquet(live.downsample_stream(event_stream(spark, sf), "1 day", "mean"), "downsample", "complete")
+    return out.select(F.col("asset").cast("long").alias("user_id"), "tag", us("ts").alias("ts_us"), r6("value").alias("value"))
+
+
+@query("stream_unseen", "SELECT user_id AS id, count(DISTINCT event_type) AS n_tags FROM events GROUP BY 1")
+def _(spark, sf):
+    d = event_stream(spark, sf).withColumn("id", F.concat_ws("|", "asset", "tag"))
+    out = live.run_to_parquet(live.unseen(d, "60 days"), "unseen")
+    return out.groupBy(F.col("asset").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n_tags"))
+
+
+@query("stream_charts")
+def _(spark, sf):
+    base = charts.fit_baseline(user_readings(spark, sf), ["asset", "tag"])
+    return live.run_to_parquet(detectors.chart_stream(event_stream(spark, sf), base, 10), "charts")
+
+
+@query("stream_quality", """WITH d AS (SELECT * FROM (VALUES ('click', 0.0, 150.0), ('view', 5.0, 200.0), ('purchase', 0.0, 300.0), ('error', 1.0, 100.0)) t(tag, lo, hi)),
+e AS (SELECT user_id, event_type AS tag, epoch_us(ts) AS us, round(value / 50) * 50 AS v, lo, hi FROM events JOIN d ON event_type = d.tag),
+g AS (SELECT *, lag(v) OVER (PARTITION BY user_id, tag ORDER BY us) AS prev FROM e),
+c AS (SELECT *, max(CASE WHEN prev IS NULL OR abs(v - prev) >= 1e-9 THEN us END) OVER (PARTITION BY user_id, tag ORDER BY us) AS changed FROM g)
+SELECT tag, CASE WHEN v < lo OR v > hi THEN 1 WHEN prev IS NOT NULL AND abs(v - prev) < 1e-9 AND us - changed > 86400000000 THEN 2 ELSE 0 END AS quality, count(*) AS n FROM c GROUP BY ALL""")
+def _(spark, sf):
+    s = event_stream(spark, sf).withColumn("value", F.round(F.col("value") / 50) * 50)
+    out = live.run_to_parquet(detectors.quality_stream(s, dim(spark), 86_400), "quality")
+    return out.groupBy("tag", "quality").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_deferred_outcomes")
+def _(spark, sf):
+    """Every error is a decision due a day later, measured on the user's purchases."""
+    e = event_stream(spark, sf)
+    due = e.filter("tag = 'error'").select(
+        F.concat_ws("|", "asset", F.unix_micros("ts")).alias("id"), "asset", F.lit("purchase").alias("tag"),
+        (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("due_ts"), F.lit(50.0).alias("predicted"))
+    out = live.deferred_outcomes(due, event_stream(spark, sf).filter("tag = 'purchase'"), "1 day", "1 hour")
+    return live.run_to_parquet(out, "outcomes")
+
+
+@query("stream_drift", """WITH ref AS (SELECT event_type AS tag, value AS v FROM events WHERE ts < TIMESTAMP '2024-01-16'), n AS (SELECT event_type AS tag, count(*) AS n_live FROM events GROUP BY 1)
+SELECT tag, count(*) AS n_ref, any_value(n_live) AS n_live FROM ref JOIN n USING (tag) GROUP BY 1""")
+def _(spark, sf):
+    import uuid
+    from ..operators.drift import bin_edges
+    from ..session import shared_dir
+    ref = readings(spark, sf).filter(F.col("ts") < "2024-01-16")
+    path = f"{shared_dir(spark)}/drift-{uuid.uuid4().hex}"
+    edges = bin_edges(ref)
+    body = live.drift_batches(edges, ref, lambda d, i: d.withColumn("epoch", F.lit(i)).write.mode("append").parquet(path))
+    live.run_batches(event_stream(spark, sf), "drift", body)
+    return spark.read.parquet(path).select("tag", "n_ref", "n_live")
+
+
+@query("stream_buffer", f"""WITH {READINGS_SQL} SELECT user_id, (us // 86400000000 + 1) * 86400000000 AS as_of_us, count(*) AS n_values, min(us) AS oldest_us, max(us) AS newest_us FROM r GROUP BY ALL""")
+def _(spark, sf):
+    out = live.run_to_parquet(live.rolling_buffer(event_stream(spark, sf), "1 day", "1 day"), "buffer", "complete")
+    return out.select(F.col("asset").cast("long").alias("user_id"), us("as_of").alias("as_of_us"), "n_values",
+                      us("oldest").alias("oldest_us"), us("newest").alias("newest_us"))

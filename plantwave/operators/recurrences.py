@@ -4,12 +4,14 @@ EWMA, CUSUM with reset and greedy cooldown thinning are recurrences.  Each one i
 written as a small class with three parts, so a series can be cut into chunks and
 still give the sequential answer:
 
-* ``emit(pdf, state)``   – run the chunk from a known entry state,
-* ``summarise(pdf)``     – the chunk's effect on *any* entry state, as numbers,
+* ``emit(c, state)``     – run the chunk from a known entry state,
+* ``summarise(c)``       – the chunk's effect on *any* entry state, as numbers,
 * ``advance(state, s)``  – apply such a summary.
 
-:func:`scan` shuffles by (series, chunk), folds the summaries per series (a row
-per chunk) and runs every chunk with its own entry state in parallel.
+`c` maps column names to the chunk's arrays in time order.  :func:`scan` shuffles and
+sorts by (series, chunk) with a row-number window, folds the summaries per series (a
+row per chunk) and runs every chunk with its own entry state in parallel.  Groups are
+handed to Python many at a time, so short series cost no call each.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,17 +34,25 @@ class Ewma:
 
     def __init__(self, lam: float = 0.2, value: str = "value"):
         self.lam, self.value = lam, value
-
-    def emit(self, pdf: pd.DataFrame, state):
-        start = pdf["mean"].iloc[0] if state is None else state[0]
-        x = np.concatenate([[start], pdf[self.value].to_numpy(float)])
-        e = pd.Series(x).ewm(alpha=self.lam, adjust=False).mean().to_numpy()[1:]
-        return pdf.assign(ewma=e), [float(e[-1])]
-
-    def summarise(self, pdf):
-        x = pdf[self.value].to_numpy(float)
-        zero_start = pd.Series(np.concatenate([[0.0], x])).ewm(alpha=self.lam, adjust=False).mean()
-        return [(1.0 - self.lam) ** len(x), float(zero_start.iloc[-1]), float(pdf["mean"].iloc[0])]
+        self.needs = [value, "mean"]
+
+    def _average(self, x: np.ndarray, start: float) -> np.ndarray:
+        if len(x) <= 48:
+            out, e = np.empty(len(x)), start
+            for i, v in enumerate(x):
+                e = self.lam * v + (1.0 - self.lam) * e
+                out[i] = e
+            return out
+        full = np.concatenate([[start], x])
+        return pd.Series(full).ewm(alpha=self.lam, adjust=False).mean().to_numpy()[1:]
+
+    def emit(self, c, state):
+        e = self._average(c[self.value], c["mean"][0] if state is None else state[0])
+        return np.arange(len(e)), {"ewma": e}, [float(e[-1])]
+
+    def summarise(self, c):
+        x = c[self.value]
+        return [(1.0 - self.lam) ** len(x), float(self._average(x, 0.0)[-1]), float(c["mean"][0])]
 
     def advance(self, state, s):
         start = s[2] if state is None else state[0]
@@ -59,10 +69,11 @@ class Cusum:
 
     def __init__(self, k_sigma: float = 0.5, h_sigma: float = 5.0, value: str = "value"):
         self.k_sigma, self.h_sigma, self.value = k_sigma, h_sigma, value
+        self.needs = [value, "mean", "sigma"]
 
-    def _steps(self, pdf):
-        sigma = float(pdf["sigma"].iloc[0])
-        d = pdf[self.value].to_numpy(float) - float(pdf["mean"].iloc[0])
+    def _steps(self, c):
+        sigma = float(c["sigma"][0])
+        d = c[self.value] - float(c["mean"][0])
         k = self.k_sigma * sigma
         return d - k, -d - k, self.h_sigma * sigma
 
@@ -84,8 +95,8 @@ class Cusum:
             width = min(width * 2, 8192)
         return n, 0, 0.0, a, b
 
-    def emit(self, pdf, state):
-        up, down, h = self._steps(pdf)
+    def emit(self, c, state):
+        up, down, h = self._steps(c)
         a, b = (0.0, 0.0) if state is None else (state[0], state[1])
         rows, sides, sums, i = [], [], [], 0
         while True:
@@ -96,14 +107,13 @@ class Cusum:
             sides.append("upward" if side > 0 else "downward")
             sums.append(s)
             i = j + 1
-        out = pdf.iloc[rows].assign(direction=np.array(sides, dtype=object),
-                                    cusum=np.array(sums, dtype=float))
-        return out, [a, b]
+        extra = {"direction": np.array(sides, dtype=object), "cusum": np.array(sums, dtype=float)}
+        return np.array(rows, dtype=int), extra, [a, b]
 
-    def summarise(self, pdf):
+    def summarise(self, c):
         """Layout: P, Q, S+(0), S−(0), h, first trigger or −1, its exit (2), then two
         lists of (rise, row, exit+, exit−) for rows an entry state could trigger at."""
-        up, down, h = self._steps(pdf)
+        up, down, h = self._steps(c)
         n = len(up)
         t0, side0, _, a0, b0 = self._run(up, down, h, 0, 0.0, 0.0)
         memo: dict[int, tuple[float, float]] = {}
@@ -162,12 +172,13 @@ class Cooldown:
     def __init__(self, strict: bool = True, order: str = "_us"):
         self.side = "right" if strict else "left"
         self.order = order
+        self.needs = [order, "cooldown_s"]
 
-    def _times(self, pdf):
-        return pdf[self.order].to_numpy("int64"), int(round(float(pdf["cooldown_s"].iloc[0]) * 1e6))
+    def _times(self, c):
+        return c[self.order].astype("int64"), int(round(float(c["cooldown_s"][0]) * 1e6))
 
-    def emit(self, pdf, state):
-        t, cd = self._times(pdf)
+    def emit(self, c, state):
+        t, cd = self._times(c)
         nxt = np.searchsorted(t, t + cd, side=self.side)
         i = 0 if state is None else int(np.searchsorted(t, int(state[0]) + cd, side=self.side))
         keep = []
@@ -175,11 +186,11 @@ class Cooldown:
             keep.append(i)
             i = max(int(nxt[i]), i + 1)
         last = state if not keep else [float(t[keep[-1]])]
-        return pdf.iloc[keep], last
+        return np.array(keep, dtype=int), {}, last
 
-    def summarise(self, pdf):
+    def summarise(self, c):
         """[cooldown, then pairs (last candidate of a run, last kept row it leads to)]."""
-        t, cd = self._times(pdf)
+        t, cd = self._times(c)
         n = len(t)
         jump = np.maximum(np.searchsorted(t, t + cd, side=self.side), np.arange(n) + 1)
         last = np.arange(n)
@@ -198,57 +209,92 @@ class Cooldown:
         return state if i >= len(pairs) else [float(pairs[i, 1])]
 
 
-def _arrow_ready(pdf: pd.DataFrame, names: Sequence[str]) -> pd.DataFrame:
-    """Columns in order, text as plain objects (pandas' own string type splits into chunks)."""
-    text = {c: object for c in names if isinstance(pdf[c].dtype, pd.StringDtype)}
-    return pdf[list(names)].astype(text)
+ROW = "_row"
+
+
+def whole_groups(batches):
+    """Batches of complete groups with their start rows, from sorted Arrow batches.
+
+    Column ROW is 1 on the first row of each group; an open group is held back until
+    its end is seen, so memory holds one batch and one group.
+    """
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        starts = np.flatnonzero(pdf[ROW].to_numpy() == 1)
+        if not len(starts):
+            held.append(pdf)
+            continue
+        cut = int(starts[-1])
+        if held or cut:
+            done = pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
+            yield done, np.flatnonzero(done[ROW].to_numpy() == 1)
+        held = [pdf.iloc[cut:]]
+    if held:
+        done = pd.concat(held, ignore_index=True)
+        if len(done):
+            yield done, np.flatnonzero(done[ROW].to_numpy() == 1)
+
+
+def grouped_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Groups contiguous and in order inside each partition, numbered by ROW.
+
+    The window gives the shuffle and the sort; a join on the same keys before it is
+    reused instead of shuffling again.
+    """
+    return df.withColumn(ROW, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
 def scan(df: DataFrame, recurrence, keys: Sequence[str], order: Sequence[str] = ("ts",),
          ts: str = "ts", seconds: int | None = None) -> DataFrame:
     """Run a recurrence over every series of `df` and return its output rows."""
-    order = list(order)
+    order, keys = list(order), list(keys)
     extra = T.StructType.fromDDL(recurrence.out_ddl) if recurrence.out_ddl else T.StructType([])
     out_schema = T.StructType(df.schema.fields + extra.fields)
-    names = out_schema.names
+    names, extra_names, needs = out_schema.names, extra.names, list(recurrence.needs)
+
+    def run(batches):
+        for pdf, starts in whole_groups(batches):
+            cols = {c: pdf[c].to_numpy() for c in needs}
+            entries = pdf["entry"].to_numpy() if "entry" in pdf.columns else None
+            rows, extras = [], {c: [] for c in extra_names}
+            for a, b in zip(starts, np.append(starts[1:], len(pdf))):
+                entry = None if entries is None or entries[a] is None else list(entries[a])
+                r, e, _ = recurrence.emit({c: v[a:b] for c, v in cols.items()}, entry)
+                rows.append(r + a)
+                for c in extra_names:
+                    extras[c].append(e[c])
+            out = pdf.iloc[np.concatenate(rows)]
+            yield out.assign(**{c: np.concatenate(v) for c, v in extras.items()})[names]
 
     if not seconds:
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            out, _ = recurrence.emit(pdf.sort_values(order, kind="stable"), None)
-            return _arrow_ready(out, names)
-        return df.groupBy(*keys).applyInPandas(whole, out_schema)
+        return grouped_rows(df, keys, order).mapInPandas(run, out_schema)
 
     chunked = with_chunk(df, ts, seconds)
-    key_fields = [chunked.schema[k] for k in keys]
-    chunk_field = T.StructField(CHUNK, T.LongType())
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        head = pdf.iloc[[0]][[*keys, CHUNK]]
-        return _arrow_ready(head.assign(summary=[recurrence.summarise(pdf)]), [*keys, CHUNK, "summary"])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(CHUNK)
-        state, entries = None, []
-        for s in pdf["summary"]:
-            entries.append(state)
-            state = recurrence.advance(state, list(s))
-        return _arrow_ready(pdf.assign(entry=entries), [*keys, CHUNK, "entry"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        entry = pdf["entry"].iloc[0]
-        out, _ = recurrence.emit(pdf, None if entry is None else list(entry))
-        return _arrow_ready(out, names)
-
-    sums = chunked.groupBy(*keys, CHUNK).applyInPandas(
-        summarise, T.StructType([*key_fields, chunk_field,
-                                 T.StructField("summary", T.ArrayType(T.DoubleType()))]))
-    entries = sums.groupBy(*keys).applyInPandas(
-        fold, T.StructType([*key_fields, chunk_field,
-                            T.StructField("entry", T.ArrayType(T.DoubleType()))]))
-    return (chunked.join(entries, [*keys, CHUNK])
-            .groupBy(*keys, CHUNK).applyInPandas(run, out_schema))
+    head = T.StructType([*[chunked.schema[k] for k in keys], T.StructField(CHUNK, T.LongType())])
+
+    def summarise(batches):
+        for pdf, starts in whole_groups(batches):
+            cols = {c: pdf[c].to_numpy() for c in needs}
+            sums = [recurrence.summarise({c: v[a:b] for c, v in cols.items()})
+                    for a, b in zip(starts, np.append(starts[1:], len(pdf)))]
+            yield pdf.iloc[starts][head.names].assign(summary=sums)
+
+    def fold(batches):
+        state = None
+        for pdf in batches:
+            entries = []
+            for first, s in zip(pdf[ROW].to_numpy() == 1, pdf["summary"].to_numpy()):
+                state = None if first else state
+                entries.append(state)
+                state = recurrence.advance(state, list(s))
+            yield pdf[head.names].assign(entry=entries)
+
+    doubles = T.ArrayType(T.DoubleType())
+    sums = grouped_rows(chunked, [*keys, CHUNK], order).mapInPandas(
+        summarise, T.StructType([*head, T.StructField("summary", doubles)]))
+    entries = grouped_rows(sums, keys, [CHUNK]).mapInPandas(
+        fold, T.StructType([*head, T.StructField("entry", doubles)]))
+    return grouped_rows(chunked.join(entries, [*keys, CHUNK]), [*keys, CHUNK], order).mapInPandas(run, out_schema)
 
 
 def thin(df: DataFrame, keys: Sequence[str], cooldown_s: float | None = None, strict: bool = True,

@@ -85,10 +85,16 @@ def diff_snapshots(a: DataFrame, b: DataFrame) -> DataFrame:
     return d.withColumn("change", change).filter(F.col("change").isNotNull()).drop("_a", "_b")
 
 
+def verify_counts(snapshot: DataFrame, fresh: DataFrame) -> DataFrame:
+    """One row: ok and the numbers of missing, extra and mismatched files."""
+    c = F.col("change")
+    return diff_snapshots(snapshot, fresh).agg(
+        (F.count(F.lit(1)) == 0).alias("ok"), F.count_if(c == "removed").alias("missing"),
+        F.count_if(c == "added").alias("extra"), F.count_if(c == "changed").alias("mismatched"))
+
+
 def verify_snapshot(snapshot: DataFrame, fresh: DataFrame) -> DataFrame:
-    """One row: ok plus the sorted missing, extra and mismatched names."""
-    d = diff_snapshots(snapshot, fresh)
-    def names(kind: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("change") == kind, F.col("name"))))
-    return d.agg((F.count(F.lit(1)) == 0).alias("ok"), names("removed").alias("missing"),
-                 names("added").alias("extra"), names("changed").alias("mismatched"))
+    """(name, problem) rows, empty when the folder still matches; see `verify_counts`."""
+    problem = (F.when(F.col("change") == "removed", "missing").when(F.col("change") == "added", "extra")
+               .otherwise("mismatched"))
+    return diff_snapshots(snapshot, fresh).select("name", problem.alias("problem"), "sha256_a", "sha256_b")

@@ -14,6 +14,7 @@ from ..operators.alerts import after_warmup, run_starts, union_alerts
 from ..operators.rules import PILOT_RULES, Rule, recommend, session_context
 from ..operators.scale import chunk_seconds_for
 from ..operators.sessions import sessionise
+from ..session import ensure_checkpoint_dir
 from ..sources.samples import to_wide
 
 # An extra detector turns readings into alerts; its failures propagate.
@@ -57,7 +58,8 @@ def baseline_per_series(readings: DataFrame, cfg: Settings, seconds: int | None)
 def detect(readings: DataFrame, dim: DataFrame, cfg: Settings, extra: Sequence[Detector] = (),
            seconds: int | None = None) -> DataFrame:
     """All detectors over all series, minus the warm-up of each run."""
-    base = baseline_per_series(readings, cfg, seconds).persist()
+    ensure_checkpoint_dir(readings.sparkSession)
+    base = baseline_per_series(readings, cfg, seconds).checkpoint()
     live = readings
     if cfg.post_training_only:
         live = charts.evaluation_rows(readings, cfg.training_fraction, seconds=seconds).drop("rn", "n_rows")
@@ -84,13 +86,19 @@ def detect(readings: DataFrame, dim: DataFrame, cfg: Settings, extra: Sequence[D
 def monitor(readings: DataFrame, dim: DataFrame, cfg: Settings = Settings(),
             rules: Sequence[Rule] = tuple(PILOT_RULES), policy: tuple[Column, Column, str] | None = None,
             extra: Sequence[Detector] = ()) -> Run:
-    """Compose the run.  Alerts, sessions and recommendations are small and reused, so kept."""
+    """Run stage by stage.
+
+    Each event table is far smaller than its input and used by several later stages, so
+    it is checkpointed: later plans stay short and survive lost executors.
+    """
+    ensure_checkpoint_dir(readings.sparkSession)
     seconds = chunk_seconds_for(readings, SERIES)
-    alerts = detect(readings, dim, cfg, extra, seconds).persist()
-    sessions = sessionise(alerts, cfg.gap_minutes).persist()
+    alerts = detect(readings, dim, cfg, extra, seconds).checkpoint()
+    sessions = sessionise(alerts, cfg.gap_minutes,
+                          chunk_seconds_for(alerts, ["asset", "scenario", "detector"])).checkpoint()
     ctx = session_context(sessions, readings, causal=cfg.causal, seconds=seconds)
-    recs = recommend(ctx, list(rules)).persist()
-    decided = dec.decide(recs, dim.select("tag", "safe_min", "safe_max"), cfg.mode, policy).persist()
+    recs = recommend(ctx, list(rules)).checkpoint()
+    decided = dec.decide(recs, dim.select("tag", "safe_min", "safe_max"), cfg.mode, policy).checkpoint()
     executed = dec.execute(decided, cfg.mode)
     outcomes = dec.measure(executed, recs, readings, seconds=seconds)
     return Run(alerts, sessions, recs, decided, executed, outcomes)

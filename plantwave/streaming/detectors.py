@@ -54,13 +54,16 @@ class ChartProcessor(StatefulProcessor):
             hit = pdf[(x > p["ucl"]) | (x < p["lcl"])]
             f_sh = self._emit(out, "SPC.Shewhart", hit, hit["value"], p["ucl"], p["lcl"], p["sigma"], p, 600, f_sh)
 
-            charted, ewma = Ewma(self.lam).emit(pdf, ewma)
-            e = charted["ewma"]
-            hit = charted[(e > p["ewma_ucl"]) | (e < p["ewma_lcl"])]
+            cols = {"value": x, "mean": [p["mean"]], "sigma": [p["sigma"]]}
+            _, charted, ewma = Ewma(self.lam).emit(cols, ewma)
+            pdf = pdf.assign(ewma=charted["ewma"])
+            e = pdf["ewma"]
+            hit = pdf[(e > p["ewma_ucl"]) | (e < p["ewma_lcl"])]
             f_ew = self._emit(out, "SPC.EWMA", hit, hit["ewma"], p["ewma_ucl"], p["ewma_lcl"], p["ewma_sigma"],
                               p, 600, f_ew)
 
-            hit, cusum = Cusum().emit(pdf, cusum)
+            rows_hit, _, cusum = Cusum().emit(cols, cusum)
+            hit = pdf.iloc[rows_hit]
             f_cu = self._emit(out, "Regime.CUSUM", hit, hit["value"], p["mean"], p["mean"], p["sigma"], p, 1800, f_cu)
 
             n = self.frozen_rows
@@ -86,7 +89,8 @@ class ChartProcessor(StatefulProcessor):
             "side": np.where(above, "above", "below").astype(object),
             "deviation": np.abs(value.to_numpy(float) - p["mean"]) / sigma,
             "_us": hit["_us"].to_numpy("int64"), "cooldown_s": float(cooldown_s)})
-        kept, fired = Cooldown().emit(rows, fired)
+        keep, _, fired = Cooldown().emit({c: rows[c].to_numpy() for c in ("_us", "cooldown_s")}, fired)
+        kept = rows.iloc[keep]
         if len(kept):
             out.append(kept.drop(columns=["_us", "cooldown_s"]))
         return fired

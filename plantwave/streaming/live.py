@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,19 +75,24 @@ def drift_batches(edges: DataFrame, reference: DataFrame, sink: Callable[[DataFr
 
 
 def run_to_parquet(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available into the shared folder and read the result."""
-    import uuid
+    """Run a stream over everything available into the shared folder and read the result.
+
+    In complete mode every batch replaces the result, so the last one remains.
+    """
     spark: SparkSession = stream.sparkSession
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    q = (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    out = f"{base}/out"
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    if mode == "append":
+        w = w.format("parquet").option("path", out)
+    else:
+        w = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    w.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def run_batches(stream: DataFrame, name: str, body: Callable[[DataFrame, int], None]) -> None:
     """Run a foreachBatch evaluation over everything available."""
-    import uuid
     base = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
     (stream.writeStream.foreachBatch(body).option("checkpointLocation", base)
      .trigger(availableNow=True).start().awaitTermination())

@@ -61,10 +61,10 @@ def test_cusum_transfer_on_any_entry_state():
     c = Cusum()
     for trial in range(300):
         n = int(rng.integers(1, 60))
-        pdf = pd.DataFrame({"value": rng.normal(rng.choice([-1.5, 0, 0.4, 2]), 1, n), "mean": 0.0, "sigma": 1.0})
+        cols = {"value": rng.normal(rng.choice([-1.5, 0, 0.4, 2]), 1, n), "mean": [0.0], "sigma": [1.0]}
         entry = list(rng.uniform(0, 5, 2))
-        _, want = c.emit(pdf, entry)
-        assert np.allclose(c.advance(entry, c.summarise(pdf)), want)
+        _, _, want = c.emit(cols, entry)
+        assert np.allclose(c.advance(entry, c.summarise(cols)), want)
 
 
 @pytest.mark.parametrize("seconds", [None, 1800, 20000])
