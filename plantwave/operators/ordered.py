@@ -63,12 +63,12 @@ def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence, ts: str = "t
                   .withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*keys))))
     d = chunk_carry(
         with_chunk(df, ts, seconds), keys,
-        {"_n": F.count(F.lit(1))},
-        {"_before": F.coalesce(before(keys, F.sum("_n")), F.lit(0)),
-         total: overall(keys, F.sum("_n"))},
+        {"__n": F.count(F.lit(1))},
+        {"__before": F.coalesce(before(keys, F.sum("__n")), F.lit(0)),
+         total: overall(keys, F.sum("__n"))},
         params,
     )
-    return d.withColumn(rn, F.row_number().over(w) + F.col("_before")).drop("_before", CHUNK)
+    return d.withColumn(rn, F.row_number().over(w) + F.col("__before")).drop("__before", CHUNK)
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, out: str,
@@ -78,15 +78,15 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence, value: s
     if not seconds:
         return df.withColumn(out, F.lag(value).over(w))
     # one tie-safe "largest row" per chunk, carried to the next non-empty chunk
-    marker = F.struct(*[_plain(o) for o in order], F.col(value).alias("_v"))
+    marker = F.struct(*[_plain(o) for o in order], F.col(value).alias("__v"))
     d = chunk_carry(
         with_chunk(df, ts, seconds), keys,
-        {"_m": F.max(marker)},
-        {"_prev": before(keys, F.max("_m")).getField("_v")},
+        {"__m": F.max(marker)},
+        {"__lag": before(keys, F.max("__m")).getField("__v")},
     )
     first = F.row_number().over(w) == 1
-    return d.withColumn(out, F.when(first, F.col("_prev")).otherwise(F.lag(value).over(w))) \
-            .drop("_prev", CHUNK)
+    return d.withColumn(out, F.when(first, F.col("__lag")).otherwise(F.lag(value).over(w))) \
+            .drop("__lag", CHUNK)
 
 
 def _plain(order) -> Column:
@@ -124,43 +124,43 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence, value: Co
     """Running sum including the current row."""
     w = ordered_window(keys, order, seconds)
     frame = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("_carried", value)
+    d = df.withColumn("__x", value)
     if not seconds:
-        return d.withColumn(out, F.sum("_carried").over(frame)).drop("_carried")
-    d = chunk_carry(with_chunk(d, ts, seconds), keys, {"_s": F.sum("_carried")},
-                    {"_base": F.coalesce(before(keys, F.sum("_s")), F.lit(0))})
-    return d.withColumn(out, F.sum("_carried").over(frame) + F.col("_base")).drop("_carried", "_base", CHUNK)
+        return d.withColumn(out, F.sum("__x").over(frame)).drop("__x")
+    d = chunk_carry(with_chunk(d, ts, seconds), keys, {"__s": F.sum("__x")},
+                    {"__base": F.coalesce(before(keys, F.sum("__s")), F.lit(0))})
+    return d.withColumn(out, F.sum("__x").over(frame) + F.col("__base")).drop("__x", "__base", CHUNK)
 
 
 def last_known(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column, out: str,
                ts: str = "ts", seconds: int | None = None) -> DataFrame:
     """Latest non-null `value` at or before each row (forward fill)."""
     w = ordered_window(keys, order, seconds).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("_carried", value)
+    d = df.withColumn("__x", value)
     if not seconds:
-        return d.withColumn(out, F.last("_carried", ignorenulls=True).over(w)).drop("_carried")
-    marker = F.struct(*[_plain(o) for o in order], F.col("_carried"))
+        return d.withColumn(out, F.last("__x", ignorenulls=True).over(w)).drop("__x")
+    marker = F.struct(*[_plain(o) for o in order], F.col("__x"))
     d = chunk_carry(
         with_chunk(d, ts, seconds), keys,
-        {"_m": F.max(F.when(F.col("_carried").isNotNull(), marker))},
-        {"_prev": before(keys, F.max("_m")).getField("_carried")},
+        {"__m": F.max(F.when(F.col("__x").isNotNull(), marker))},
+        {"__lag": before(keys, F.max("__m")).getField("__x")},
     )
-    return d.withColumn(out, F.coalesce(F.last("_carried", ignorenulls=True).over(w), F.col("_prev"))) \
-            .drop("_carried", "_prev", CHUNK)
+    return d.withColumn(out, F.coalesce(F.last("__x", ignorenulls=True).over(w), F.col("__lag"))) \
+            .drop("__x", "__lag", CHUNK)
 
 
 def next_known(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column, out: str,
                ts: str = "ts", seconds: int | None = None) -> DataFrame:
     """Earliest non-null `value` at or after each row (backward fill)."""
     w = ordered_window(keys, order, seconds).rowsBetween(0, Window.unboundedFollowing)
-    d = df.withColumn("_carried", value)
+    d = df.withColumn("__x", value)
     if not seconds:
-        return d.withColumn(out, F.first("_carried", ignorenulls=True).over(w)).drop("_carried")
-    marker = F.struct(*[_plain(o) for o in order], F.col("_carried"))
+        return d.withColumn(out, F.first("__x", ignorenulls=True).over(w)).drop("__x")
+    marker = F.struct(*[_plain(o) for o in order], F.col("__x"))
     d = chunk_carry(
         with_chunk(d, ts, seconds), keys,
-        {"_m": F.min(F.when(F.col("_carried").isNotNull(), marker))},
-        {"_next": after(keys, F.min("_m")).getField("_carried")},
+        {"__m": F.min(F.when(F.col("__x").isNotNull(), marker))},
+        {"__lead": after(keys, F.min("__m")).getField("__x")},
     )
-    return d.withColumn(out, F.coalesce(F.first("_carried", ignorenulls=True).over(w), F.col("_next"))) \
-            .drop("_carried", "_next", CHUNK)
+    return d.withColumn(out, F.coalesce(F.first("__x", ignorenulls=True).over(w), F.col("__lead"))) \
+            .drop("__x", "__lead", CHUNK)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ladders import severity_from_ratio
 from ..functions.stats import hotelling_limit, residual_limit
@@ -102,9 +103,15 @@ def fit_pca(df: DataFrame, tags: Sequence[str], variance: float = 0.90, alpha: f
 
 
 def score_pca(df: DataFrame, model: PcaModel, top: int = 3) -> DataFrame:
-    """T², SPE and the `top` residual contributors of every complete row."""
-    p = len(model.tags)
+    """T², SPE and the `top` residual contributors of every complete row.
+
+    Up to ONE_AGG_COLUMNS tags the projection is unrolled into generated code; wider
+    models are multiplied batch by batch.
+    """
     d = df.dropna(subset=model.tags)
+    if len(model.tags) > ONE_AGG_COLUMNS:
+        return _score_batches(d, model, top)
+    p = len(model.tags)
     z = {f"_z{i}": (F.col(t) - model.means[i]) / model.stds[i] for i, t in enumerate(model.tags)}
     d = d.withColumns(z)
     s = {f"_s{j}": _dot(row, [F.col(f"_z{i}") for i in range(p)]) for j, row in enumerate(model.components)}
@@ -112,16 +119,35 @@ def score_pca(df: DataFrame, model: PcaModel, top: int = 3) -> DataFrame:
     q = {}
     for i in range(p):
         back = _dot([row[i] for row in model.components], [F.col(f"_s{j}") for j in range(model.n_components)])
-        q[f"_q{i}"] = F.pow(F.col(f"_z{i}") - back, F.lit(2.0))
+        gap = F.col(f"_z{i}") - back
+        q[f"_q{i}"] = gap * gap
     d = d.withColumns(q)
-    t2 = _sum([F.pow(F.col(f"_s{j}"), F.lit(2.0)) / lam for j, lam in enumerate(model.eigenvalues)])
+    t2 = _sum([F.col(f"_s{j}") * F.col(f"_s{j}") / lam for j, lam in enumerate(model.eigenvalues)])
     spe = _sum([F.col(f"_q{i}") for i in range(p)])
     worst = F.slice(F.array_sort(F.array(*[
         F.struct((-F.col(f"_q{i}")).alias("neg"), F.lit(i).alias("i"), F.lit(t).alias("tag"))
         for i, t in enumerate(model.tags)])), 1, top)
     d = d.withColumn("t2", t2).withColumn("spe", spe).withColumn(
         "contributors", F.map_from_entries(F.transform(worst, lambda x: F.struct(x.tag, -x.neg))))
-    return d.drop(*[c for c in d.columns if c[:2] in ("_z", "_s", "_q") and c[2:].isdigit()])
+    return d.drop(*z, *s, *q)
+
+
+def _score_batches(d: DataFrame, model: PcaModel, top: int) -> DataFrame:
+    tags, means, stds = list(model.tags), np.array(model.means), np.array(model.stds)
+    loads, lam = np.array(model.components), np.array(model.eigenvalues)
+    schema = T.StructType(d.schema.fields + T.StructType.fromDDL(
+        "t2 DOUBLE, spe DOUBLE, _who ARRAY<STRING>, _much ARRAY<DOUBLE>").fields)
+
+    def score(batches):
+        for pdf in batches:
+            z = (pdf[tags].to_numpy(float) - means) / stds
+            s = z @ loads.T
+            q = (z - s @ loads) ** 2
+            order = np.argsort(-q, axis=1, kind="stable")[:, :top]
+            yield pdf.assign(t2=(s * s / lam).sum(1), spe=q.sum(1), _who=[[tags[i] for i in r] for r in order],
+                             _much=[list(v) for v in np.take_along_axis(q, order, 1)])
+    return (d.mapInPandas(score, schema)
+            .withColumn("contributors", F.map_from_arrays("_who", "_much")).drop("_who", "_much"))
 
 
 def _sum(cols: list[Column]) -> Column:
