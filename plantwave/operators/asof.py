@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import SERIES
 from .ordered import last_known, next_known
-from .scale import CHUNK
+from .scale import CHUNK, with_chunk
 
 
 def _merged(probes: DataFrame, readings: DataFrame, keys: Sequence[str], ts: str, value: str,
@@ -58,6 +58,7 @@ def asof_nearest(probes: DataFrame, readings: DataFrame, keys: Sequence[str] = S
                  seconds: int | None = None, at: str | None = None) -> DataFrame:
     """Closest reading in time on either side; the earlier one on a tie."""
     both, order = _merged(probes, readings, keys, ts, value, tie)
+    both = with_chunk(both, "ts", seconds) if seconds else both
     d = last_known(both, keys, order, F.col("_r"), "_lo", seconds=seconds)
     d = next_known(d, keys, order, F.col("_r"), "_hi", seconds=seconds)
     below = F.col("_us") - F.unix_micros(F.col("_lo.at"))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.ladders import severity_from_shift, severity_from_sigma
 from ..model import SERIES
 from .alerts import as_alerts, extra_struct
-from .ordered import chunk_carry, index_rows
+from .ordered import as_found, chunk_carry, index_rows
 from .recurrences import Cusum, Ewma, scan, thin
-from .scale import CHUNK, with_chunk
+from .scale import with_chunk
 
 SIGMA_FLOOR = 1e-9
 
@@ -60,7 +60,13 @@ def attach(df: DataFrame, params: DataFrame, keys: Sequence[str], ts: str = "ts"
     if not seconds:
         return df.join(params, list(keys))
     d = chunk_carry(with_chunk(df, ts, seconds), keys, {"_n": F.count(F.lit(1))}, {}, params)
-    return d.drop(CHUNK)
+    return as_found(d, df)
+
+
+def _present(df: DataFrame, value: str, ts: str, seconds: int | None) -> DataFrame:
+    """Non-null readings, chunked once for all following steps."""
+    d = df.filter(F.col(value).isNotNull())
+    return with_chunk(d, ts, seconds) if seconds else d
 
 
 def shewhart_violations(df: DataFrame, baseline: DataFrame, keys: Sequence[str] = SERIES,
@@ -79,7 +85,7 @@ def ewma_series(df: DataFrame, baseline: DataFrame, keys: Sequence[str] = SERIES
                 value: str = "value", tie: Sequence[str] = (), lam: float = 0.2,
                 seconds: int | None = None) -> DataFrame:
     """Every non-null reading with its EWMA."""
-    d = attach(df.filter(F.col(value).isNotNull()),
+    d = attach(_present(df, value, ts, seconds),
                baseline.select(*keys, "mean", "ewma_sigma", "ewma_ucl", "ewma_lcl"), keys, ts, seconds)
     return scan(d, Ewma(lam, value), keys, [ts, *tie], ts, seconds)
 
@@ -100,7 +106,7 @@ def cusum_triggers(df: DataFrame, baseline: DataFrame, keys: Sequence[str] = SER
                    value: str = "value", tie: Sequence[str] = (), k_sigma: float = 0.5,
                    h_sigma: float = 5.0, seconds: int | None = None) -> DataFrame:
     """Every reset of the two-sided CUSUM, before cooldown."""
-    d = attach(df.filter(F.col(value).isNotNull()), baseline.select(*keys, "mean", "sigma"),
+    d = attach(_present(df, value, ts, seconds), baseline.select(*keys, "mean", "sigma"),
                keys, ts, seconds)
     out = scan(d, Cusum(k_sigma, h_sigma, value), keys, [ts, *tie], ts, seconds)
     return (out.withColumn("shift", (F.col(value) - F.col("mean")) / F.col("sigma"))

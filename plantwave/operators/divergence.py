@@ -11,6 +11,7 @@ from ..functions.ladders import severity_from_divergence
 from .alerts import as_alerts, extra_struct
 from .ordered import index_rows, last_known, previous_value
 from .recurrences import thin
+from .scale import with_chunk
 
 
 def divergence_runs(scored: DataFrame, keys: Sequence[str], min_rows: int, cooldown_rows: int,
@@ -24,6 +25,7 @@ def divergence_runs(scored: DataFrame, keys: Sequence[str], min_rows: int, coold
     d = d.withColumn("threshold", F.greatest(
         F.lit(float(abs_tol)), rel_tol * F.abs(F.col(actual)), 3.0 * F.col(std)))
     d = d.withColumn("_off", F.coalesce(F.abs(F.col("residual")) > F.col("threshold"), F.lit(False)))
+    d = with_chunk(d, ts, seconds) if seconds else d
     d = index_rows(d, keys, [ts], ts, seconds)
     d = previous_value(d, keys, [ts], "_off", "_was", ts, seconds)
     opens = F.col("_off") & ~F.coalesce("_was", F.lit(False))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ladders import psi_status
 from .history import recent_rows
 from .quantiles import exact_quantiles
-from .scale import TARGET_ROWS, salted_join
+from .scale import TARGET_ROWS, attach_small
 
 N_BINS = 10
 EPSILON = 1e-6
@@ -36,11 +36,15 @@ def bin_edges(reference: DataFrame, keys: Sequence[str] = ("tag",), value: str =
         "edges", F.when(F.col("n_ref") < 2, single).otherwise(raise_ties(F.col("edges"))))
 
 
-def histogram(df: DataFrame, edges: DataFrame, keys: Sequence[str] = ("tag",), value: str = "value") -> DataFrame:
-    """Counts per bin; the outer edges are open."""
-    d = salted_join(df.filter(F.col(value).isNotNull()), edges.select(*keys, "edges"), keys, F.col(value))
-    inner = F.slice("edges", 2, F.size("edges") - 2)
-    b = F.size(F.filter(inner, lambda e: e <= F.col(value)))
+def histogram(df: DataFrame, edges: DataFrame, keys: Sequence[str] = ("tag",), value: str = "value",
+              n_bins: int = N_BINS) -> DataFrame:
+    """Counts per bin; the outer edges are open.  Readings are not shuffled, only counts."""
+    d = attach_small(df.filter(F.col(value).isNotNull()).select(*keys, value), edges.select(*keys, "edges"), keys,
+                     F.col(value))
+    b = F.lit(0)
+    for i in range(1, n_bins):
+        inside = (F.size("edges") - 1 > i) & (F.get("edges", F.lit(i)) <= F.col(value))
+        b = b + F.coalesce(inside, F.lit(False)).cast("int")
     return d.withColumn("bin", b).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -49,10 +53,10 @@ def psi_report(reference: DataFrame, live: DataFrame, keys: Sequence[str] = ("ta
                max_group_rows: int = TARGET_ROWS) -> DataFrame:
     """PSI, status and sizes per reference feature; a feature without live rows scores 0."""
     keys = list(keys)
-    e = bin_edges(reference, keys, value, n_bins, max_group_rows) if edges is None else edges
+    e = (bin_edges(reference, keys, value, n_bins, max_group_rows) if edges is None else edges).persist()
     bins = e.select(*keys, "n_ref", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
-    ref = histogram(reference, e, keys, value).withColumnRenamed("n", "_r")
-    liv = histogram(live, e, keys, value).withColumnRenamed("n", "_l")
+    ref = histogram(reference, e, keys, value, n_bins).withColumnRenamed("n", "_r")
+    liv = histogram(live, e, keys, value, n_bins).withColumnRenamed("n", "_l")
     n_live = live.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_live"))
     d = (bins.join(ref, [*keys, "bin"], "left").join(liv, [*keys, "bin"], "left")
          .join(n_live, keys, "left").fillna(0, ["_r", "_l", "n_live"]))
@@ -68,7 +72,6 @@ def overall(report: DataFrame, feature: str = "tag", group: Sequence[str] = ())
     """Worst feature (first by name on a tie) and its status."""
     worst = F.max_by(F.struct(feature, "psi", "status"),
                      F.struct(F.col("psi"), -F.col("_order")))
-    from pyspark.sql import Window
     d = report.withColumn("_order", F.dense_rank().over(Window.partitionBy(*group).orderBy(feature)))
     return d.groupBy(*group).agg(worst.alias("w")).select(
         *group, F.col("w.status").alias("overall_status"), F.col("w.psi").alias("max_psi"),

@@ -17,6 +17,11 @@ from .scale import CHUNK, with_chunk
 BEFORE = (Window.unboundedPreceding, -1)
 
 
+def as_found(result: DataFrame, given: DataFrame) -> DataFrame:
+    """Primitives drop the chunk column unless their input already had it."""
+    return result if CHUNK in given.columns else result.drop(CHUNK)
+
+
 def ordered_window(keys: Sequence[str], order: Sequence, seconds: int | None) -> Window:
     parts = list(keys) + ([CHUNK] if seconds else [])
     return Window.partitionBy(*parts).orderBy(*order)
@@ -68,7 +73,7 @@ def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence, ts: str = "t
          total: overall(keys, F.sum("__n"))},
         params,
     )
-    return d.withColumn(rn, F.row_number().over(w) + F.col("__before")).drop("__before", CHUNK)
+    return as_found(d.withColumn(rn, F.row_number().over(w) + F.col("__before")).drop("__before"), df)
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, out: str,
@@ -85,8 +90,8 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence, value: s
         {"__lag": before(keys, F.max("__m")).getField("__v")},
     )
     first = F.row_number().over(w) == 1
-    return d.withColumn(out, F.when(first, F.col("__lag")).otherwise(F.lag(value).over(w))) \
-            .drop("__lag", CHUNK)
+    return as_found(d.withColumn(out, F.when(first, F.col("__lag")).otherwise(F.lag(value).over(w)))
+                    .drop("__lag"), df)
 
 
 def _plain(order) -> Column:
@@ -103,6 +108,7 @@ def with_halo(df: DataFrame, keys: Sequence[str], rows_before: int, rows_after:
     """
     if not block_rows:
         return df, list(keys), F.lit(True)
+    df = df.drop(CHUNK)
     block_rows = max(block_rows, rows_before, rows_after, 1)
     own = F.floor((F.col(rn) - 1) / block_rows)
     pos = (F.col(rn) - 1) % block_rows
@@ -129,7 +135,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence, value: Co
         return d.withColumn(out, F.sum("__x").over(frame)).drop("__x")
     d = chunk_carry(with_chunk(d, ts, seconds), keys, {"__s": F.sum("__x")},
                     {"__base": F.coalesce(before(keys, F.sum("__s")), F.lit(0))})
-    return d.withColumn(out, F.sum("__x").over(frame) + F.col("__base")).drop("__x", "__base", CHUNK)
+    return as_found(d.withColumn(out, F.sum("__x").over(frame) + F.col("__base")).drop("__x", "__base"), df)
 
 
 def last_known(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column, out: str,
@@ -145,8 +151,8 @@ def last_known(df: DataFrame, keys: Sequence[str], order: Sequence, value: Colum
         {"__m": F.max(F.when(F.col("__x").isNotNull(), marker))},
         {"__lag": before(keys, F.max("__m")).getField("__x")},
     )
-    return d.withColumn(out, F.coalesce(F.last("__x", ignorenulls=True).over(w), F.col("__lag"))) \
-            .drop("__x", "__lag", CHUNK)
+    return as_found(d.withColumn(out, F.coalesce(F.last("__x", ignorenulls=True).over(w), F.col("__lag")))
+                    .drop("__x", "__lag"), df)
 
 
 def next_known(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column, out: str,
@@ -162,5 +168,5 @@ def next_known(df: DataFrame, keys: Sequence[str], order: Sequence, value: Colum
         {"__m": F.min(F.when(F.col("__x").isNotNull(), marker))},
         {"__lead": after(keys, F.min("__m")).getField("__x")},
     )
-    return d.withColumn(out, F.coalesce(F.first("__x", ignorenulls=True).over(w), F.col("__lead"))) \
-            .drop("__x", "__lead", CHUNK)
+    return as_found(d.withColumn(out, F.coalesce(F.first("__x", ignorenulls=True).over(w), F.col("__lead")))
+                    .drop("__x", "__lead"), df)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import plus_minutes
 from .ordered import last_known, running_total
+from .scale import with_chunk
 
 RUN_STREAM = ["asset", "scenario", "o_detector", "o_tag_key"]
 
@@ -66,6 +67,7 @@ def co_occurrence_counts(sessions: DataFrame, window_minutes: float = 90.0,
                           F.struct(F.col("_hi").alias("ts"), F.lit(2).alias("_side")))).alias("_p"),
     ).select(*RUN_STREAM, "_ask", "_p.*")
     both = events.unionByName(asks, allowMissingColumns=True).withColumn("_us", F.unix_micros("ts"))
+    both = with_chunk(both, "ts", seconds) if seconds else both
     order = ["_us", "_side"]
     both = running_total(both, RUN_STREAM, order, F.coalesce("_one", F.lit(0)), "_seen", seconds=seconds)
     both = last_known(both, RUN_STREAM, order, F.col("_open"), "_last_end", seconds=seconds)

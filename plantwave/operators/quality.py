@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import last_known, previous_value
+from .scale import with_chunk
 
 MIN_ROWS, MAX_ROWS = 60, 100_000
 NAME_PATTERN = r"^[a-z0-9_]{2,40}$"
@@ -70,6 +71,7 @@ def quality_flags(raw: DataFrame, tag_map: DataFrame, keys: Sequence[str] = ("as
     d = d.withColumn("_x", x).withColumn("_us", F.unix_micros(F.col(ts)))
     good = d.filter(F.col("_x").isNotNull())
     lost = d.filter(F.col("_x").isNull()).withColumn("quality", F.lit(3))
+    good = with_chunk(good, ts, seconds) if seconds else good
     good = previous_value(good, keys, ["_us"], "_x", "_prev", ts, seconds)
     moved = F.col("_prev").isNull() | (F.abs(F.col("_x") - F.col("_prev")) >= 1e-9)
     good = last_known(good, keys, ["_us"], F.when(moved, F.col("_us")), "_changed", ts, seconds)

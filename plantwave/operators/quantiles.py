@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scale import TARGET_ROWS, salted_join
+from .scale import TARGET_ROWS, attach_small
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
@@ -33,8 +33,9 @@ def _by_bucket(d: DataFrame, sizes: DataFrame, keys: list[str], probs, out: str,
     cuts = [i / buckets for i in range(1, buckets)]
     edges = counted.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx("_v", F.array(*[F.lit(c) for c in cuts]), 10_000)).alias("_e"))
-    placed = salted_join(counted, edges.join(sizes, keys), keys, F.col("_v")) if keys else \
-        counted.join(F.broadcast(edges.join(sizes)))
+    table = edges.join(sizes, keys) if keys else edges.join(F.broadcast(sizes))
+    placed = attach_small(counted, table.persist(), keys, F.col("_v")) if keys else \
+        counted.join(F.broadcast(table))
     # position of the first edge not below the value, by binary search over the sorted edges
     placed = placed.withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col("_v")))).drop("_e")
     totals = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_t"), F.first("n").alias("n"))

@@ -249,7 +249,7 @@ def scan(df: DataFrame, recurrence, keys: Sequence[str], order: Sequence[str] =
     """Run a recurrence over every series of `df` and return its output rows."""
     order, keys = list(order), list(keys)
     extra = T.StructType.fromDDL(recurrence.out_ddl) if recurrence.out_ddl else T.StructType([])
-    out_schema = T.StructType(df.schema.fields + extra.fields)
+    out_schema = T.StructType([f for f in df.schema.fields if f.name != CHUNK] + extra.fields)
     names, extra_names, needs = out_schema.names, extra.names, list(recurrence.needs)
 
     def run(batches):

@@ -66,23 +66,30 @@ def trend_fits(df: DataFrame, rows: int, smooth_rows: int, step: int = 1, keys:
     Evaluated at rows rows, rows+step, …; slope is per minute.
     """
     d = index_rows(df, keys, [ts, *tie], ts, seconds)
-    d, parts, own = with_halo(d, keys, rows + smooth_rows, block_rows=TARGET_ROWS if seconds else None)
+    # short blocks spread a long series over tasks and keep the sums below well conditioned
+    reach = rows + smooth_rows
+    d, parts, own = with_halo(d, keys, reach, block_rows=max(512, 8 * reach))
     d = d.withColumn("smooth", F.avg(value).over(row_frame(parts, "rn", -(smooth_rows - 1), 0)))
     # minutes from a point inside the block: least squares does not depend on the origin
     origin = F.min(ts).over(Window.partitionBy(*parts))
     d = d.withColumn("_min", (F.unix_micros(F.col(ts)) - F.unix_micros(origin)) / 60e6)
     w = row_frame(parts, "rn", -(rows - 1), 0)
     y, x = F.col("smooth"), F.col("_min")
-    d = (d.withColumn("_n", F.count(y).over(w))
-         .withColumn("slope", F.regr_slope(y, x).over(w))
-         .withColumn("r2", F.regr_r2(y, x).over(w))
-         .withColumn("_var", F.var_pop(y).over(w)))
+    n = F.lit(float(rows))
+    d = (d.withColumn("_n", F.count(y).over(w)).withColumn("_sx", F.sum(x).over(w))
+         .withColumn("_sy", F.sum(y).over(w)).withColumn("_sxx", F.sum(x * x).over(w))
+         .withColumn("_sxy", F.sum(x * y).over(w)).withColumn("_var", F.var_pop(y).over(w)))
     at = ((F.col("rn") - F.lit(rows)) % F.lit(step) == 0) & (F.col("rn") >= rows)
     d = d.filter(own & at & (F.col("_n") == rows))
-    flat = F.col("_var") * F.lit(rows) < 1e-12
-    return (d.withColumn("r2", F.when(flat, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("r2"))))
-            .withColumn("slope", F.coalesce(F.col("slope"), F.lit(0.0)))
-            .drop("_n", "_var", "_min", "_own", "_block", "n_rows"))
+    cxx = F.col("_sxx") - F.col("_sx") * F.col("_sx") / n
+    cxy = F.col("_sxy") - F.col("_sx") * F.col("_sy") / n
+    cyy = F.col("_var") * n
+    # fewer than three rows, one instant or no variation: no trend
+    level = F.lit(rows < 3) | (cxx < 1e-12)
+    d = d.withColumn("slope", F.when(level, 0.0).otherwise(cxy / cxx))
+    d = d.withColumn("r2", F.when(level | (cyy < 1e-12), 0.0).otherwise(
+        F.least(F.greatest(cxy * cxy / (cxx * cyy), F.lit(0.0)), F.lit(1.0))))
+    return d.drop("_n", "_sx", "_sy", "_sxx", "_sxy", "_var", "_min", "_own", "_block", "n_rows")
 
 
 def time_to_limit(fits: DataFrame, min_r2: float = 0.25, horizon_minutes: float = 240) -> DataFrame:

@@ -65,13 +65,10 @@ def session_context(sessions: DataFrame, readings: DataFrame, window_minutes: fl
     # readings of runs without sessions, or of tags no probe asks for, never join in
     wanted = probes.select("asset", "scenario", "tag").distinct()
     used = readings.join(wanted, ["asset", "scenario", "tag"], "left_semi")
-    rolled = trailing(used.filter(F.col("value").isNotNull()), 15.0, {
-        "_sd": F.stddev_samp("value"), "_cnt": F.count("value")}, seconds=seconds)
-    packed = rolled.withColumn("_still", F.when((F.col("_cnt") >= 5) & (F.col("_sd") < 1e-4), 1.0)
-                               .otherwise(0.0))
-    looked = asof_backward(probes, packed, out="v", seconds=seconds)
-    still = asof_backward(probes.join(sessions.select("session_id", "tag"), ["session_id", "tag"], "left_semi"),
-                          packed, value="_still", out="still", seconds=seconds)
+    looked = asof_backward(probes, used, out="v", seconds=seconds, at="at")
+    anchors = (looked.join(sessions.select("session_id", "tag"), ["session_id", "tag"], "left_semi")
+               .filter(F.col("at").isNotNull()).select("session_id", "asset", "scenario", "tag", F.col("at").alias("ts")))
+    still = still_signal(anchors, used, seconds=seconds)
     wide = (looked.groupBy("session_id")
             .agg(*[F.max(F.when(F.col("tag") == t, F.col("v"))).alias("v_" + physical_name(t))
                    for t in needed]))
@@ -88,6 +85,24 @@ def session_context(sessions: DataFrame, readings: DataFrame, window_minutes: fl
             .withColumn("purity_spec", F.lit(float(spec_min))))
 
 
+def still_signal(anchors: DataFrame, readings: DataFrame, minutes: float = 15.0, min_rows: int = 5,
+                 min_std: float = 1e-4, seconds: int | None = None) -> DataFrame:
+    """`still` = 1.0 when the last `minutes` before an anchor reading hardly vary.
+
+    Only readings in the time buckets next to an anchor are looked at.
+    """
+    width = int(minutes * 60e6)
+    key = ["asset", "scenario", "tag"]
+    bucket = F.floor(F.unix_micros("ts") / width)
+    near = anchors.select(*key, F.explode(F.array(bucket - 1, bucket)).alias("_near")).distinct()
+    local = (readings.filter(F.col("value").isNotNull()).withColumn("_near", bucket)
+             .join(near, [*key, "_near"], "left_semi").drop("_near"))
+    rolled = trailing(local, minutes, {"_sd": F.stddev_samp("value"), "_cnt": F.count("value")}, seconds=seconds)
+    flat = (F.col("_cnt") >= min_rows) & (F.col("_sd") < min_std)
+    at = rolled.groupBy(*key, "ts").agg(F.max(F.when(flat, 1.0).otherwise(0.0)).alias("still"))
+    return anchors.join(at, [*key, "ts"]).select("session_id", "still")
+
+
 def action(kind: str, text: str, target: Column | str | None = None, current: Column | None = None,
            proposed: Column | None = None, adjustment: Column | float | None = None,
            units: str | None = None) -> Column:

@@ -33,6 +33,13 @@ def chunk_seconds_for(df: DataFrame, keys: Sequence[str], ts: str = "ts",
 
 
 def with_chunk(df: DataFrame, ts: str, seconds: int) -> DataFrame:
+    """Add the chunk number, or keep the one an earlier step put there.
+
+    Keeping it lets consecutive steps share one shuffle.  Any chunking that grows with
+    time gives the same results.
+    """
+    if CHUNK in df.columns:
+        return df
     return df.withColumn(CHUNK, F.floor(F.unix_seconds(F.col(ts)) / F.lit(seconds)))
 
 
@@ -46,6 +53,13 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
+def attach_small(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column) -> DataFrame:
+    """Join a parameter table: broadcast when counted small, else salted over its keys."""
+    if fits(small):
+        return big.join(F.broadcast(small), list(on))
+    return salted_join(big, small, on, spread)
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column,
                 salts: int = 32, how: str = "inner") -> DataFrame:
     """Equi-join whose hot keys are split over `salts` tasks.

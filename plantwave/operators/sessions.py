@@ -9,6 +9,7 @@ from ..functions.ids import stable_id
 from ..functions.times import minutes_between
 from ..model import severity_rank
 from .ordered import last_known, previous_value
+from .scale import CHUNK, with_chunk
 
 STREAM = ["asset", "scenario", "detector", "tag_key"]
 
@@ -17,10 +18,11 @@ def mark_sessions(alerts: DataFrame, gap_minutes: float = 30.0, seconds: int | N
     """Add `session_start`: a gap above the limit opens a session, an equal gap joins."""
     d = alerts.withColumn("tag_key", F.coalesce("tag", F.lit(""))) \
               .withColumn("_us", F.unix_micros("ts"))
+    d = with_chunk(d, "ts", seconds) if seconds else d
     d = previous_value(d, STREAM, ["_us"], "_us", "_prev", seconds=seconds)
     opens = F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") > F.lit(int(gap_minutes * 60e6)))
     d = last_known(d, STREAM, ["_us"], F.when(opens, F.col("ts")), "session_start", seconds=seconds)
-    return d.drop("_prev", "_us")
+    return d.drop("_prev", "_us", CHUNK)
 
 
 def sessionise(alerts: DataFrame, gap_minutes: float = 30.0, seconds: int | None = None) -> DataFrame:

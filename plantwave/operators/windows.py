@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import index_rows, last_known, next_known, row_frame, with_halo
-from .scale import TARGET_ROWS, chunk_seconds_for
+from .scale import TARGET_ROWS, chunk_seconds_for, with_chunk
 
 
 def forecast_windows(wide: DataFrame, features: Sequence[str], targets: Sequence[str], lookback: int,
@@ -61,11 +61,13 @@ def time_split(df: DataFrame, fraction: float = 0.2, ts: str = "now_ts", tie: Se
 def fill_both_ways(df: DataFrame, columns: Sequence[str], keys: Sequence[str], ts: str = "ts",
                    tie: Sequence[str] = (), seconds: int | None = None) -> DataFrame:
     """Forward fill, then backward fill what is still missing."""
+    had = df.columns
+    df = with_chunk(df, ts, seconds) if seconds else df
     for c in columns:
         df = last_known(df, keys, [ts, *tie], F.col(c), "_f", ts, seconds)
         df = next_known(df, keys, [ts, *tie], F.col(c), "_b", ts, seconds)
         df = df.withColumn(c, F.coalesce("_f", "_b")).drop("_f", "_b")
-    return df
+    return df.select(*had)
 
 
 def scaler(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
