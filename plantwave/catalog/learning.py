@@ -11,7 +11,7 @@ from ..plans import retrain
 from ..streaming import detectors, live
 from .history import dim
 from .registry import READINGS_SQL, query, r6, readings, table, us, user_readings
-from .sqlparts import INDEXED, thin_sql
+from .sqlparts import BASELINE, CUSUM, EWMA, INDEXED, SHEWHART, thin_sql
 
 FOUR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -190,10 +190,22 @@ def _(spark, sf):
     return out.groupBy(F.col("asset").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n_tags"))
 
 
-@query("stream_charts")
+KEYED = """r AS (SELECT user_id || '|' || event_type AS tag, epoch_us(ts) AS us, value FROM events),
+ix AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY us) AS rn FROM r),
+b AS MATERIALIZED (SELECT tag, avg(value) AS mean, greatest(stddev_samp(value), 1e-9) AS sigma FROM r GROUP BY tag)"""
+CHARTS_SQL = KEYED + SHEWHART.removeprefix(BASELINE) + EWMA.removeprefix(BASELINE) + CUSUM.removeprefix(BASELINE) + """,
+ev AS (SELECT e.tag, us, ewma AS value FROM e JOIN b USING (tag) WHERE ewma > mean + sigma OR ewma < mean - sigma),
+cv AS (SELECT tag, us, value FROM c WHERE direction IS NOT NULL)""" + thin_sql("v", "tag", 600_000_000, name="tv") + thin_sql(
+    "ev", "tag", 600_000_000, name="te") + thin_sql("cv", "tag", 1_800_000_000, name="tc")
+
+
+@query("stream_charts", f"""WITH RECURSIVE {CHARTS_SQL}, u AS (SELECT tag, us, value, 'SPC.Shewhart' AS detector FROM tv
+ UNION ALL SELECT tag, us, value, 'SPC.EWMA' FROM te UNION ALL SELECT tag, us, value, 'Regime.CUSUM' FROM tc)
+SELECT tag AS series, us AS ts_us, detector, round(value, 6) AS value FROM u""")
 def _(spark, sf):
     base = charts.fit_baseline(user_readings(spark, sf), ["asset", "tag"])
-    return live.run_to_parquet(detectors.chart_stream(event_stream(spark, sf), base, 10), "charts")
+    out = live.run_to_parquet(detectors.chart_stream(event_stream(spark, sf), base, 10), "charts")
+    return out.select(F.concat_ws("|", "asset", "tag").alias("series"), us("ts").alias("ts_us"), "detector", r6("value").alias("value"))
 
 
 @query("stream_quality", """WITH d AS (SELECT * FROM (VALUES ('click', 0.0, 150.0), ('view', 5.0, 200.0), ('purchase', 0.0, 300.0), ('error', 1.0, 100.0)) t(tag, lo, hi)),

@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .reports import regression_metrics
 from .windows import lag_features, time_split
@@ -85,6 +86,17 @@ def fit_soft_sensor(train: DataFrame, features: Sequence[str], target: str, key:
     return SoftSensor(list(features), target, models, n)
 
 
+def predict_with(df: DataFrame, features: Sequence[str], model, out: str = "predicted") -> DataFrame:
+    """Score with a foreign model: `model(array of rows × features)` returns a number per row."""
+    cols = list(features)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+
+    def score(batches):
+        for pdf in batches:
+            yield pdf.assign(**{out: model(pdf[cols].to_numpy(float))})
+    return df.mapInPandas(score, schema)
+
+
 @dataclass
 class Forecaster:
     """One linear model per (target, horizon) on lagged inputs."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..model import severity_rank
 from ..operators.drift import psi_report
 from ..session import shared_dir
+from ..sources.tables import routed
 
 
 def session_stream(alerts: DataFrame, gap: str = "30 minutes", late: str = "30 minutes") -> DataFrame:
@@ -74,6 +75,36 @@ def drift_batches(edges: DataFrame, reference: DataFrame, sink: Callable[[DataFr
     return body
 
 
+def routing_batches(sink: Callable[[DataFrame, int], None], threshold: str = "critical", chat: bool = False):
+    """foreachBatch body sending request bodies of urgent recommendations to `sink`."""
+    def body(batch: DataFrame, epoch: int) -> None:
+        sink(routed(batch, threshold, chat), epoch)
+    return body
+
+
+def evaluation_batches(recent: Callable[[DataFrame], DataFrame], evaluate: Callable[[DataFrame], DataFrame],
+                       stored: Callable[[], DataFrame | None], sink: Callable[[DataFrame, int], None],
+                       min_samples: int = 30):
+    """foreachBatch body re-running a batch evaluation on the recent buffer.
+
+    `recent` widens a micro-batch to the rolling buffer, `evaluate` turns readings into
+    recommendations, and only ids not in `stored` reach the sink.
+    """
+    def body(batch: DataFrame, epoch: int) -> None:
+        buffer = recent(batch)
+        if buffer.limit(min_samples).count() < min_samples:
+            return
+        recs, seen = evaluate(buffer), stored()
+        sink(recs if seen is None else recs.join(seen.select("id"), "id", "left_anti"), epoch)
+    return body
+
+
+def emitted_between(events: DataFrame, start, end, ts: str = "ts") -> DataFrame:
+    """Replay step: events in (start, end]; no start means everything up to `end`."""
+    d = events.filter(F.col(ts) <= end)
+    return d if start is None else d.filter(F.col(ts) > start)
+
+
 def run_to_parquet(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything available into the shared folder and read the result.
 

@@ -152,6 +152,11 @@ def test_soft_sensor_and_forecaster_learn(spark):
     assert all(r.r2 > 0.99 for r in met.collect())
 
 
+def test_foreign_model(spark):
+    d = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "a double, b double")
+    assert sorted(r.predicted for r in learn.predict_with(d, ["a", "b"], lambda x: x.sum(axis=1)).collect()) == [3.0, 7.0]
+
+
 def test_promotion_rule(spark):
     d = spark.createDataFrame([(1.0, None), (None, 1.0), (0.9, 1.0), (1.0, 1.0), (0.96, 1.0)], "new double, base double")
     got = [r.p for r in d.select(learn.should_promote(F.col("new"), F.col("base")).alias("p")).collect()]

@@ -110,3 +110,26 @@ def test_deferred_outcomes(spark, feed):
     assert got and {r.id for r in got} <= set(want)
     assert len(got) > 0.8 * len(want)
     assert all(r.actual == pytest.approx(want[r.id]) for r in got)
+
+
+def test_foreach_batch_bodies(spark, feed):
+    static, stream = feed
+    store, bodies = {}, []
+    def evaluate(d):
+        return d.filter("value > 3").select(F.concat_ws("|", "tag", F.unix_micros("ts")).alias("id"), "ts")
+    def sink(d, i):
+        rows = [r.id for r in d.collect()]
+        assert not set(rows) & set(store)
+        store.update(dict.fromkeys(rows, i))
+    seen = lambda: spark.createDataFrame([(k,) for k in store], "id string") if store else None
+    live.run_batches(stream, "evaluate", live.evaluation_batches(lambda b: static, evaluate, seen, sink))
+    assert set(store) == {r.id for r in evaluate(static).collect()} and len(set(store.values())) == 1
+    few = live.evaluation_batches(lambda b: static.limit(5), evaluate, seen, lambda d, i: bodies.append(i))
+    few(static, 0)
+    assert bodies == []
+    recs = spark.createDataFrame([("1", "critical"), ("2", "low")], "id string, urgency string").selectExpr(
+        "*", "'s' scenario", "timestamp'2026-01-01' ts", "'R' rule_id", "'d' diagnosis", "'go' action_text")
+    live.routing_batches(lambda d, i: bodies.extend(r.id for r in d.collect()))(recs, 0)
+    assert bodies == ["1"]
+    end = F.lit("2026-01-01 01:00:00").cast("timestamp")
+    assert live.emitted_between(static, None, end).count() > live.emitted_between(static, F.lit("2026-01-01 00:30:00").cast("timestamp"), end).count() > 0
