@@ -100,14 +100,17 @@ def _(spark, sf):
 
 # --- models (no SQL twin) ---------------------------------------------------------
 
-ROW_KEY = F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+def row_key():
+    return F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+
+
 SOFT = dict(n_models=3, trees=8, depth=4, step=0.3)
 
 
 @query("soft_sensor_metrics")
 def _(spark, sf):
-    train, test = learn.holdout(table(spark, sf, "lineitem"), ROW_KEY)
-    m = learn.fit_soft_sensor(train, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", ROW_KEY, **SOFT)
+    train, test = learn.holdout(table(spark, sf, "lineitem"), row_key())
+    m = learn.fit_soft_sensor(train, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", row_key(), **SOFT)
     return reports.regression_metrics(m.predict(test), ["l_returnflag"], "l_extendedprice", "predicted")
 
 
@@ -116,7 +119,7 @@ def _(spark, sf):
     """Measured, predicted and spread of the last 50 lines per flag."""
     from ..operators.history import recent_rows
     l = table(spark, sf, "lineitem")
-    m = learn.fit_soft_sensor(l, ["l_quantity", "l_tax"], "l_extendedprice", ROW_KEY, n_models=2, trees=5, depth=3, step=0.3)
+    m = learn.fit_soft_sensor(l, ["l_quantity", "l_tax"], "l_extendedprice", row_key(), n_models=2, trees=5, depth=3, step=0.3)
     last = recent_rows(l, 50, ["l_returnflag"], ts="l_shipdate", tie=["l_orderkey", "l_partkey", "l_extendedprice"])
     return m.predict(last).select("l_returnflag", us("l_shipdate").alias("ts_us"), F.col("l_extendedprice").alias("measured"),
                                   "predicted", "std")
@@ -125,13 +128,13 @@ def _(spark, sf):
 @query("soft_sensor_importances")
 def _(spark, sf):
     l = table(spark, sf, "lineitem")
-    m = learn.fit_soft_sensor(l, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", ROW_KEY, n_models=2, trees=5, depth=3, step=0.3)
+    m = learn.fit_soft_sensor(l, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", row_key(), n_models=2, trees=5, depth=3, step=0.3)
     return m.importances(spark)
 
 
 @query("holdout_split")
 def _(spark, sf):
-    train, test = learn.holdout(table(spark, sf, "lineitem"), ROW_KEY)
+    train, test = learn.holdout(table(spark, sf, "lineitem"), row_key())
     n = F.count(F.lit(1)).alias("n")
     return train.groupBy(F.lit("train").alias("part")).agg(n).unionByName(test.groupBy(F.lit("test").alias("part")).agg(n))
 
@@ -153,7 +156,7 @@ def _(spark, sf):
     l = table(spark, sf, "lineitem")
     history = l.groupBy().agg(F.avg(F.abs(F.col("l_extendedprice") - 1500 * F.col("l_quantity"))).alias("mae")).select(
         F.lit("soft_sensor").alias("model"), F.lit("2024-01-01").cast("timestamp").alias("run_ts"), "mae")
-    _, out = retrain.retrain_soft_sensor(l, ["l_quantity", "l_discount"], "l_extendedprice", ROW_KEY, history, "from-tables",
+    _, out = retrain.retrain_soft_sensor(l, ["l_quantity", "l_discount"], "l_extendedprice", row_key(), history, "from-tables",
                                          F.lit("2024-02-01").cast("timestamp"), n_models=2, trees=5, depth=3, step=0.3)
     return out
 
