@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import versioning
-from ..sources import live
+from ..session import shared_dir
+from ..sources import live, samples, tables
 from .history import dim
 from .registry import query, table, us
 
@@ -40,10 +43,11 @@ def _(spark, sf):
     return doc_files(spark, sf).drop("lang")
 
 
-@query("snapshot_ids", """SELECT s_nationkey AS folder, count(*) AS n_files, substr(sha256(string_agg(s_name || '=' || sha256(CAST(s_acctbal AS DECIMAL(12, 2))::VARCHAR), chr(10) ORDER BY s_name)), 1, 12) AS snapshot_id FROM supplier GROUP BY 1""")
+@query("snapshot_ids", """SELECT o_custkey AS folder, count(*) AS n_files, substr(sha256(string_agg(o_orderkey || '=' || sha256(CAST(o_totalprice AS DECIMAL(12, 2))::VARCHAR), chr(10) ORDER BY CAST(o_orderkey AS VARCHAR))), 1, 12) AS snapshot_id FROM orders GROUP BY 1""")
 def _(spark, sf):
-    f = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("folder"), F.col("s_name").alias("name"),
-                                            F.sha2(F.col("s_acctbal").cast("decimal(12,2)").cast("string"), 256).alias("sha256"))
+    """A folder per customer, a file per order."""
+    f = table(spark, sf, "orders").select(F.col("o_custkey").alias("folder"), F.col("o_orderkey").cast("string").alias("name"),
+                                          F.sha2(F.col("o_totalprice").cast("decimal(12,2)").cast("string"), 256).alias("sha256"))
     return versioning.snapshot_id(f, ("folder",)).select("folder", "n_files", "snapshot_id")
 
 
@@ -72,6 +76,24 @@ def _(spark, sf):
     return versioning.file_meta(spark, sf, "*.parquet").select("name", "sha256", "size_bytes")
 
 
+@query("scenario_files", """SELECT event_type AS scenario, count(*) AS n, round(sum(CASE WHEN value < 200 THEN value END), 4) AS s FROM events GROUP BY 1""")
+def _(spark, sf):
+    """Scenario CSV files written from the events and scanned back; unreadable numbers become null."""
+    base = f"{shared_dir(spark)}/scenarios-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events").select("event_type", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+                                          F.when(F.col("value") < 200, F.col("value").cast("string")).otherwise("bad").alias("level"))
+    e.write.partitionBy("event_type").option("header", True).csv(base)
+    w = samples.read_scenarios(spark, base, ["level", "absent"], scenario=samples.partition_value("event_type"))
+    return w.groupBy("scenario").agg(F.count("ts").alias("n"), F.round(F.sum("level"), 4).alias("s"))
+
+
+@query("report_files", """SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1""")
+def _(spark, sf):
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    tables.write_report(table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")), path)
+    return spark.read.schema("l_returnflag STRING, n LONG").option("header", True).csv(path)
+
+
 # --- live samples -----------------------------------------------------------------
 
 @query("live_samples", """WITH d(tag) AS (VALUES ('click'), ('view'), ('purchase'), ('error')), m AS (SELECT event_id, ts, event_type, value FROM events)

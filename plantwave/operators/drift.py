@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ladders import psi_status
@@ -70,10 +70,8 @@ def psi_report(reference: DataFrame, live: DataFrame, keys: Sequence[str] = ("ta
 
 def overall(report: DataFrame, feature: str = "tag", group: Sequence[str] = ()) -> DataFrame:
     """Worst feature (first by name on a tie) and its status."""
-    worst = F.max_by(F.struct(feature, "psi", "status"),
-                     F.struct(F.col("psi"), -F.col("_order")))
-    d = report.withColumn("_order", F.dense_rank().over(Window.partitionBy(*group).orderBy(feature)))
-    return d.groupBy(*group).agg(worst.alias("w")).select(
+    worst = F.min_by(F.struct(feature, "psi", "status"), F.struct(-F.col("psi"), F.col(feature)))
+    return report.groupBy(*group).agg(worst.alias("w")).select(
         *group, F.col("w.status").alias("overall_status"), F.col("w.psi").alias("max_psi"),
         F.col(f"w.{feature}").alias("worst_feature"))
 

@@ -301,9 +301,12 @@ def thin(df: DataFrame, keys: Sequence[str], cooldown_s: float | None = None, st
          ts: str = "ts", tie: Sequence[str] = (), seconds: int | None = None) -> DataFrame:
     """Keep the first row of each series and then each row that has cooled down.
 
-    Pass `cooldown_s`, or give the frame a `cooldown_s` column of its own.
+    Pass `cooldown_s`, or give the frame a `cooldown_s` column of its own.  Chunks are made
+    a few cooldowns wide, as a shorter chunk's summary would list every row.
     """
     own = cooldown_s is None
+    if seconds and not own and CHUNK not in df.columns:
+        seconds = max(seconds, int(4 * cooldown_s))
     d = df if own else df.withColumn("cooldown_s", F.lit(float(cooldown_s)))
     d = d.withColumn("_us", F.unix_micros(F.col(ts)))
     out = scan(d, Cooldown(strict), keys, ["_us", *tie], ts, seconds).drop("_us")

@@ -97,7 +97,8 @@ def monitor(readings: DataFrame, dim: DataFrame, cfg: Settings = Settings(),
     sessions = sessionise(alerts, cfg.gap_minutes,
                           chunk_seconds_for(alerts, ["asset", "scenario", "detector"])).checkpoint()
     ctx = session_context(sessions, readings, causal=cfg.causal, seconds=seconds)
-    recs = recommend(ctx, list(rules)).checkpoint()
+    per_run = chunk_seconds_for(sessions, ["asset", "scenario"], "start_ts")
+    recs = recommend(ctx, list(rules), seconds=per_run).checkpoint()
     decided = dec.decide(recs, dim.select("tag", "safe_min", "safe_max"), cfg.mode, policy).checkpoint()
     executed = dec.execute(decided, cfg.mode)
     outcomes = dec.measure(executed, recs, readings, seconds=seconds)

@@ -14,8 +14,14 @@ def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1)
 
 
+def partition_value(name: str) -> Column:
+    """Scenario from a `name=value` folder, for scenarios spread over many files."""
+    return F.regexp_extract(F.col("_metadata.file_path"), f"/{name}=([^/]+)/", 1)
+
+
 def read_scenarios(spark: SparkSession, paths: str | Sequence[str], tags: Sequence[str],
-                   asset: str = "plant", time_column: str = "timestamp") -> DataFrame:
+                   asset: str = "plant", time_column: str = "timestamp",
+                   scenario: Column | None = None) -> DataFrame:
     """Wide samples of one or many scenario CSV files; the scenario is the file stem.
 
     Columns are matched by header name, absent tags are null; NaN text becomes null.
@@ -26,7 +32,7 @@ def read_scenarios(spark: SparkSession, paths: str | Sequence[str], tags: Sequen
     cols = [(F.expr(f"try_cast(`{t}` AS DOUBLE)") if t in have else F.lit(None).cast("double"))
             for t in tags]
     clean = [F.when(~F.isnan(c), c).alias(physical_name(t)) for c, t in zip(cols, tags)]
-    return raw.select(F.lit(asset).alias("asset"), file_stem(F.col("_metadata.file_path")).alias("scenario"),
+    return raw.select(F.lit(asset).alias("asset"), (file_stem(F.col("_metadata.file_path")) if scenario is None else scenario).alias("scenario"),
                       F.to_timestamp(F.col(f"`{time_column}`")).alias("ts"), *clean)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plantwave.functions import faults, physics
 from plantwave.functions.stats import f_quantile, residual_limit
-from plantwave.operators import divergence, drift, learn, pareto, reports, windows
+from plantwave.operators import divergence, drift, learn, pareto, reports, scale, windows
 from plantwave.operators.quantiles import exact_quantiles
 
 
@@ -55,6 +55,15 @@ def test_drift_against_a_hand_count(spark):
         assert drift.overall(rep).first().worst_feature == "T"
 
 
+def test_salted_join_is_the_plain_join(spark, monkeypatch):
+    big = spark.range(2000).selectExpr("CASE WHEN id < 1500 THEN 'hot' ELSE concat('k', id % 7) END AS k", "id")
+    small = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(5)], "k string, p int")
+    want = sorted(map(tuple, big.join(small, "k").select("k", "id", "p").collect()))
+    assert sorted(map(tuple, scale.salted_join(big, small, ["k"], F.col("id")).select("k", "id", "p").collect())) == want
+    monkeypatch.setattr(scale, "fits", lambda *a: False)
+    assert sorted(map(tuple, scale.attach_small(big, small, ["k"], F.col("id")).select("k", "id", "p").collect())) == want
+
+
 def test_drift_single_value_reference(spark):
     one = spark.createDataFrame([("t", 3.0)], "tag string, value double")
     assert drift.bin_edges(one).first().edges == [2.5, 3.5]
