@@ -8,6 +8,7 @@ from ..functions.times import minutes_between
 from ..operators import decisions as dec
 from ..operators import history, quality, reports
 from ..operators.charts import training_rows
+from ..operators.scale import checked_broadcast
 from ..operators.windows import scaler, time_split
 from ..sources import samples, tables
 from .registry import (DEC_SQL, DEC_TIE, DEC_TIE_SQL, READINGS_SQL, RECS_SQL, decisions, query, r6, readings, recs,
@@ -176,7 +177,6 @@ WHERE o.recommendation_id NOT IN (SELECT id FROM m) AND o.status IN ('accepted',
  AS BIGINT)""")
 def _(spark, sf):
     from ..model import IMPACT_DDL
-    from ..operators.rules import impact
     r = recs(spark, sf).withColumn("asset", F.lit("plant")).withColumn("expected_impact", F.array(F.struct(
         F.lit("x").alias("variable"), F.lit(0.0).alias("current_value"), F.lit(1.0).alias("predicted_value"),
         (F.col("id") % 50).cast("double").alias("time_to_effect_minutes"), F.lit("").alias("description")))
@@ -386,7 +386,7 @@ def _(spark, sf):
  count(*) FILTER (value > max_range) AS n_high, bool_and(writable) AS writable
 FROM events LEFT JOIN dim ON event_type = dim.tag GROUP BY 1""")
 def _(spark, sf):
-    d = table(spark, sf, "events").withColumnRenamed("event_type", "tag").join(F.broadcast(dim(spark)), "tag", "left")
+    d = table(spark, sf, "events").withColumnRenamed("event_type", "tag").join(checked_broadcast(dim(spark)), "tag", "left")
     return d.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > F.col("max_range")).alias("n_high"),
                                 F.bool_and("writable").alias("writable"))
 

@@ -10,6 +10,7 @@ from ..operators import asof, charts, drift, overlap, rolling, sessions, windows
 from ..operators.alerts import as_alerts, union_alerts
 from ..operators.recurrences import thin
 from ..operators.scale import chunk_seconds_for
+from ..session import ensure_checkpoint_dir
 from .registry import READINGS_SQL, query, r6, readings, table, us, user_readings
 from .sqlparts import BASELINE, CUSUM, EWMA, INDEXED, SHEWHART, SIGMA_RANK, sessions_sql, thin_sql
 
@@ -188,7 +189,8 @@ ALERTS_SQL = f"""{READINGS_SQL}, a AS (SELECT user_id, tag, us, value, 90.0 AS l
 def raw_sessions(spark, sf):
     a = raw_alerts(spark, sf)
     sec = chunk_seconds_for(a, ["asset", "scenario", "detector", "tag"])
-    return sessions.sessionise(a, 1440.0, seconds=sec), sec
+    ensure_checkpoint_dir(spark)
+    return sessions.sessionise(a, 1440.0, seconds=sec).checkpoint(), sec  # several steps read the sessions
 
 
 @query("alert_sessions", f"""WITH {ALERTS_SQL} SELECT user_id, CASE WHEN tag <> 'signup' THEN tag END AS tag, start_us, end_us,

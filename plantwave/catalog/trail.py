@@ -9,7 +9,7 @@ from ..functions.times import hours_between
 from ..model import ACTION_DDL, IMPACT_DDL, dim_tag, physical_name
 from ..operators import decisions as dec
 from ..operators import pareto, rules
-from ..operators.scale import chunk_seconds_for
+from ..operators.scale import checked_broadcast, chunk_seconds_for
 from .registry import READINGS_SQL, query, r6, readings, table, us, user_readings
 
 # --- decision cascade -------------------------------------------------------------
@@ -289,7 +289,7 @@ SELECT tag, us AS ts_us, CASE WHEN h >= 100 THEN 42.0 ELSE value END AS frozen,
 def _(spark, sf):
     r = readings(spark, sf)
     first = r.groupBy("tag").agg(F.min("ts").alias("t0"), F.min_by("value", "ts").alias("v0"))
-    d = r.join(F.broadcast(first), "tag")  # five tags
+    d = r.join(checked_broadcast(first), "tag")
     h, v = hours_between(F.col("ts"), F.col("t0")), F.col("value")
     return d.select("tag", us("ts").alias("ts_us"), faults.freeze(v, h, 100, 42.0).alias("frozen"), r6(faults.drift(v, h, 100, 0.15, 300)).alias("drifted"),
                     r6(faults.bias(v, h, 100, F.col("v0"))).alias("biased"), r6(faults.relative_drift(v, h, 100)).alias("scaled"))

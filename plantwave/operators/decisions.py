@@ -11,6 +11,7 @@ from ..functions.ids import stable_id
 from ..functions.times import plus_minutes
 from ..model import ACTION_DDL
 from .asof import asof_nearest
+from .scale import checked_broadcast
 
 DEFAULT_DELAY = 30.0
 TOLERANCE = 0.5
@@ -35,7 +36,7 @@ def is_automated(action: Column) -> Column:
 
 def within_safety(recs: DataFrame, limits: DataFrame) -> DataFrame:
     """Add `safe`: the proposed value respects the hard limits of its target, if any."""
-    lim = F.broadcast(limits.select(F.col("tag").alias("_t"), "safe_min", "safe_max"))
+    lim = checked_broadcast(limits.select(F.col("tag").alias("_t"), "safe_min", "safe_max"))
     p = F.col("action.proposed_value")
     d = recs.join(lim, F.col("action.target_variable") == F.col("_t"), "left")
     bad = (p < F.col("safe_min")) | (p > F.col("safe_max"))

@@ -11,7 +11,7 @@ from ..functions.ladders import severity_from_divergence
 from .alerts import as_alerts, extra_struct
 from .ordered import index_rows, last_known, previous_value
 from .recurrences import thin
-from .scale import with_chunk
+from .scale import checked_broadcast, with_chunk
 
 
 def divergence_runs(scored: DataFrame, keys: Sequence[str], min_rows: int, cooldown_rows: int,
@@ -71,7 +71,7 @@ def forecast_violations(forecasts: DataFrame, limits: DataFrame, period_min: flo
     `forecasts`: keys, ts, tag, current, trajectory array.  `limits` (fixed rows): tag,
     limit, direction, near, far, far_offset.
     """
-    d = forecasts.join(F.broadcast(limits), "tag")
+    d = forecasts.join(checked_broadcast(limits), "tag")
     crossed = F.transform("trajectory", lambda v: F.when(
         F.col("direction") == "below", v < F.col("limit")).otherwise(v > F.col("limit")))
     step = F.array_position(crossed, F.lit(True))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import last_known, previous_value
-from .scale import with_chunk
+from .scale import checked_broadcast, with_chunk
 
 MIN_ROWS, MAX_ROWS = 60, 100_000
 NAME_PATTERN = r"^[a-z0-9_]{2,40}$"
@@ -66,7 +66,7 @@ def quality_flags(raw: DataFrame, tag_map: DataFrame, keys: Sequence[str] = ("as
 
     `tag_map` is the tag dimension (tag, min_range, max_range).
     """
-    d = raw.join(F.broadcast(tag_map.select("tag", "min_range", "max_range")), "tag")
+    d = raw.join(checked_broadcast(tag_map.select("tag", "min_range", "max_range")), "tag")
     x = F.expr(f"try_cast(`{value}` AS DOUBLE)")
     d = d.withColumn("_x", x).withColumn("_us", F.unix_micros(F.col(ts)))
     good = d.filter(F.col("_x").isNotNull())
@@ -89,7 +89,7 @@ def bad_per_sample(flagged: DataFrame, keys: Sequence[str] = ("asset", "ts")) ->
 
 def setpoint_gate(requests: DataFrame, tag_map: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """Status of each (tag, value[, readback]) write request against the tag map."""
-    m = F.broadcast(tag_map.select("tag", "min_range", "max_range", "writable",
+    m = checked_broadcast(tag_map.select("tag", "min_range", "max_range", "writable",
                                    F.lit(True).alias("_known")))
     d = requests.join(m, "tag", "left")
     v = F.col("value")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import hours_between, minutes_between
+from .scale import checked_broadcast
 
 
 def kpi_summary(readings: DataFrame, dim: DataFrame, keys: Sequence[str] = ("asset", "scenario")) -> DataFrame:
@@ -15,7 +16,7 @@ def kpi_summary(readings: DataFrame, dim: DataFrame, keys: Sequence[str] = ("ass
     d = readings.filter(F.col("value").isNotNull()).groupBy(*keys, "tag").agg(
         F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"),
         F.stddev_samp("value").alias("std"))
-    specs = F.broadcast(dim.filter("is_kpi").select("tag", "spec_min", "spec_max"))
+    specs = checked_broadcast(dim.filter("is_kpi").select("tag", "spec_min", "spec_max"))
     low = F.coalesce(F.col("min") < F.col("spec_min"), F.lit(False))
     high = F.coalesce(F.col("max") > F.col("spec_max"), F.lit(False))
     return d.join(specs, "tag").withColumn("spec_violated", low | high)

@@ -12,7 +12,7 @@ from ..model import SERIES
 from .alerts import as_alerts, extra_struct
 from .ordered import index_rows, row_frame, with_halo
 from .recurrences import thin
-from .scale import TARGET_ROWS
+from .scale import TARGET_ROWS, checked_broadcast
 
 
 def sampling_period(df: DataFrame, keys: Sequence[str] = SERIES, ts: str = "ts",
@@ -106,9 +106,9 @@ def trend_alerts(df: DataFrame, limits: DataFrame, rows: int, smooth_rows: int,
                  min_r2: float = 0.25, horizon_minutes: float = 240, cooldown_s: float = 1800,
                  seconds: int | None = None) -> DataFrame:
     """`limits` is a dimension (tag, low, high) of declared tags."""
-    lim = F.broadcast(limits.select("tag", "low", "high")
+    lim = checked_broadcast(limits.select("tag", "low", "high")
                       .filter(F.col("low").isNotNull() | F.col("high").isNotNull()))
-    fits = trend_fits(df.join(F.broadcast(limits.select("tag")), "tag", "left_semi"),
+    fits = trend_fits(df.join(checked_broadcast(limits.select("tag")), "tag", "left_semi"),
                       rows, smooth_rows, step, seconds=seconds)
     v = time_to_limit(fits.join(lim, "tag"), min_r2, horizon_minutes)
     v = thin(v, SERIES, cooldown_s, seconds=seconds)

@@ -37,20 +37,23 @@ def sessionise(alerts: DataFrame, gap_minutes: float = 30.0, seconds: int | None
     distance = F.abs(F.coalesce("value", F.lit(0.0)) - F.coalesce("lim", F.lit(0.0)))
     peak_key = F.struct(severity_rank("severity"), distance, -F.unix_micros("ts"))
     groups = [*STREAM, "session_start"]
-    # only detectors that name contributors are exploded for the merge
-    merged = (d.filter(F.col("contributors").isNotNull())
-              .select(*groups, F.explode("contributors").alias("_k", "_v"))
-              .groupBy(*groups, "_k").agg(F.max("_v").alias("_v"))
-              .groupBy(*groups).agg(F.map_from_entries(F.array_sort(
-                  F.array_agg(F.struct("_k", F.greatest("_v", F.lit(0.0)).alias("_v"))))).alias("contributors")))
-    base = d.groupBy(*groups).agg(
-        F.max("ts").alias("end_ts"),
-        F.count(F.lit(1)).alias("alert_count"),
-        F.max(severity_rank("severity")).alias("peak_rank"),
-        F.min_by("_a", F.unix_micros("ts")).alias("first_alert"),
-        F.max_by("_a", peak_key).alias("peak_alert"),
-    )
-    out = base.join(merged, groups, "left")
+    # one pass over the alerts: per contributor first, then per session
+    d = d.select(*groups, "ts", "severity", "_a", peak_key.alias("_key"),
+                 F.posexplode_outer("contributors").alias("_pos", "_k", "_v"))
+    part = d.groupBy(*groups, "_k").agg(
+        F.max("_v").alias("_v"), F.max("ts").alias("end_ts"), F.max(severity_rank("severity")).alias("peak_rank"),
+        F.count_if(F.coalesce("_pos", F.lit(0)) == 0).alias("alert_count"),
+        F.min("ts").alias("_first_ts"), F.min_by("_a", F.unix_micros("ts")).alias("first_alert"),
+        F.max("_key").alias("_key"), F.max_by("_a", "_key").alias("peak_alert"))
+    entries = F.array_sort(F.array_agg(F.when(F.col("_k").isNotNull(), F.struct(
+        "_k", F.greatest("_v", F.lit(0.0)).alias("_v")))))
+    out = part.groupBy(*groups).agg(
+        F.max("end_ts").alias("end_ts"), F.max("peak_rank").alias("peak_rank"),
+        F.sum("alert_count").alias("alert_count"),
+        F.min_by("first_alert", "_first_ts").alias("first_alert"), F.max_by("peak_alert", "_key").alias("peak_alert"),
+        entries.alias("_entries"))
+    out = out.withColumn("contributors", F.when(
+        F.size("_entries") > 0, F.map_from_entries(F.array_compact("_entries"))))
     return out.select(
         "asset", "scenario",
         stable_id("SES", *[F.col(c) for c in STREAM], F.unix_micros("session_start")).alias("session_id"),

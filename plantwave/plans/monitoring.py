@@ -12,7 +12,7 @@ from ..model import SERIES
 from ..operators import charts, decisions as dec, pca, rolling
 from ..operators.alerts import after_warmup, run_starts, union_alerts
 from ..operators.rules import PILOT_RULES, Rule, recommend, session_context
-from ..operators.scale import chunk_seconds_for
+from ..operators.scale import checked_broadcast, chunk_seconds_for
 from ..operators.sessions import sessionise
 from ..session import ensure_checkpoint_dir
 from ..sources.samples import to_wide
@@ -68,7 +68,7 @@ def detect(readings: DataFrame, dim: DataFrame, cfg: Settings, extra: Sequence[D
         charts.shewhart_alerts(live, base, seconds=seconds),
         charts.ewma_alerts(live, base, seconds=seconds),
         charts.cusum_alerts(live, base, seconds=seconds),
-        rolling.frozen_alerts(live.join(F.broadcast(dim.filter("measured").select("tag")), "tag", "left_semi"),
+        rolling.frozen_alerts(live.join(checked_broadcast(dim.filter("measured").select("tag")), "tag", "left_semi"),
                               w, seconds=seconds),
         rolling.trend_alerts(live, dim, rolling.rows_for(60, cfg.period_s, 5),
                              rolling.rows_for(5, cfg.period_s, 2), rolling.rows_for(1, cfg.period_s, 1),

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.recurrences import Cooldown, Cusum, Ewma
+from ..operators.scale import checked_broadcast
 from ..session import ROCKSDB
 
 OUT_DDL = ("asset STRING, tag STRING, ts TIMESTAMP, detector STRING, value DOUBLE, lim DOUBLE, side STRING, "
@@ -150,6 +150,6 @@ def chart_stream(readings: DataFrame, baseline: DataFrame, frozen_rows: int = 20
 
 def quality_stream(readings: DataFrame, tag_map: DataFrame, stale_s: float = 10.0) -> DataFrame:
     d = readings.select("asset", "tag", "ts", "value").join(
-        F.broadcast(tag_map.select("tag", "min_range", "max_range")), "tag")
+        checked_broadcast(tag_map.select("tag", "min_range", "max_range")), "tag")
     return _stateful(d, StaleProcessor(stale_s),
                      "asset STRING, tag STRING, ts TIMESTAMP, value DOUBLE, quality INT")

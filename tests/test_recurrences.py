@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plantwave.operators import charts, ordered
-from plantwave.operators.recurrences import Cooldown, Cusum, Ewma, scan, thin
+from plantwave.operators import ordered
+from plantwave.operators.recurrences import Cusum, Ewma, scan, thin
 
 KEYS = ["asset", "scenario", "tag"]
 
