@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ladders import psi_status
 from .history import recent_rows
 from .quantiles import exact_quantiles
-from .scale import TARGET_ROWS, attach_small
+from .scale import TARGET_ROWS, attach_small, fits
 
 N_BINS = 10
 EPSILON = 1e-6
@@ -37,10 +37,14 @@ def bin_edges(reference: DataFrame, keys: Sequence[str] = ("tag",), value: str =
 
 
 def histogram(df: DataFrame, edges: DataFrame, keys: Sequence[str] = ("tag",), value: str = "value",
-              n_bins: int = N_BINS) -> DataFrame:
-    """Counts per bin; the outer edges are open.  Readings are not shuffled, only counts."""
+              n_bins: int = N_BINS, small: bool | None = None) -> DataFrame:
+    """Counts per bin; the outer edges are open.
+
+    With a countably small edge table readings are not shuffled, only counts; `small` says
+    so when the caller has counted already.
+    """
     d = attach_small(df.filter(F.col(value).isNotNull()).select(*keys, value), edges.select(*keys, "edges"), keys,
-                     F.col(value))
+                     F.col(value), small)
     b = F.lit(0)
     for i in range(1, n_bins):
         inside = (F.size("edges") - 1 > i) & (F.get("edges", F.lit(i)) <= F.col(value))
@@ -54,9 +58,10 @@ def psi_report(reference: DataFrame, live: DataFrame, keys: Sequence[str] = ("ta
     """PSI, status and sizes per reference feature; a feature without live rows scores 0."""
     keys = list(keys)
     e = (bin_edges(reference, keys, value, n_bins, max_group_rows) if edges is None else edges).persist()
+    small = fits(e)
     bins = e.select(*keys, "n_ref", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
-    ref = histogram(reference, e, keys, value, n_bins).withColumnRenamed("n", "_r")
-    liv = histogram(live, e, keys, value, n_bins).withColumnRenamed("n", "_l")
+    ref = histogram(reference, e, keys, value, n_bins, small).withColumnRenamed("n", "_r")
+    liv = histogram(live, e, keys, value, n_bins, small).withColumnRenamed("n", "_l")
     n_live = live.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_live"))
     d = (bins.join(ref, [*keys, "bin"], "left").join(liv, [*keys, "bin"], "left")
          .join(n_live, keys, "left").fillna(0, ["_r", "_l", "n_live"]))

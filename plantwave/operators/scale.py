@@ -53,9 +53,10 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
-def attach_small(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column) -> DataFrame:
+def attach_small(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column,
+                 counted_small: bool | None = None) -> DataFrame:
     """Join a parameter table: broadcast when counted small, else salted over its keys."""
-    if fits(small):
+    if fits(small) if counted_small is None else counted_small:
         return big.join(F.broadcast(small), list(on))
     return salted_join(big, small, on, spread)
 
