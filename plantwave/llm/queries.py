@@ -33,3 +33,9 @@ def op8(spark, sf):
     from . import idfiles
     files = idfiles.token_files(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
     return idfiles.digests(spark, files)
+
+
+@query("op10_jaccard_join")
+def op10(spark, sf):
+    from . import jaccard
+    return jaccard.jaccard_classes(table(spark, sf, "documents"))
