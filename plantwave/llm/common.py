@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -57,34 +58,37 @@ class WordCache:
     """Ids of texts through a tokenizer that never joins text across certain cuts.
 
     `cut` splits a text into pieces whose encodings, put one after another, are the encoding of
-    the whole.  Pieces repeat a lot, so only new ones go to the library, many per call; it
-    encodes them on several threads.  The store is emptied when it holds `most` pieces.
+    the whole.  Pieces repeat a lot, so each goes to the library once per call of `encode`, many at
+    a time; it encodes them on several threads.  `direct`, if given, may return the packed ids of a
+    piece by a shorter way, or None.  Ids of up to `most` pieces are kept between calls.
     """
 
-    def __init__(self, tokenizer, cut: Callable[[str], list[str]], dtype: str, most: int = 400_000,
-                 longest: int = 200):
-        self.tokenizer, self.cut, self.dtype = tokenizer, cut, dtype
+    def __init__(self, tokenizer, cut: Callable[[str], list[str]], dtype: str,
+                 direct: Callable[[str], bytes | None] | None = None, most: int = 200_000, longest: int = 200):
+        self.tokenizer, self.cut, self.direct = tokenizer, cut, direct
+        self.code = np.dtype(dtype).char
         self.most, self.longest = most, longest
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """One packed id array per text."""
         pieces = [self.cut(t) for t in texts]
+        ids: dict[str, bytes] = {}
+        new = []
+        for piece in set().union(*pieces):
+            packed = self.direct(piece) if self.direct is not None else None
+            if packed is None:
+                packed = self.known.get(piece)
+            if packed is None:
+                new.append(piece)
+            else:
+                ids[piece] = packed
         if len(self.known) > self.most:
             self.known = {}
-        known = self.known
-        new = list(set().union(*pieces).difference(known)) if pieces else []
-        rare: dict[str, bytes] = {}
         for i in range(0, len(new), 50_000):
             some = new[i:i + 50_000]
             for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                packed = np.array(got.ids, dtype=self.dtype).tobytes()
-                (known if len(piece) <= self.longest else rare)[piece] = packed
-        if rare:
-            return [b"".join([known[p] if p in known else rare[p] for p in row]) for row in pieces]
-        return [b"".join(map(known.__getitem__, row)) for row in pieces]
-
-
-def spark_conf_int(spark: SparkSession, key: str, default: int) -> int:
-    value = spark.conf.get(key, None)
-    return int(value) if value else default
+                ids[piece] = array(self.code, got.ids).tobytes()
+                if len(piece) <= self.longest:
+                    self.known[piece] = ids[piece]
+        return [b"".join(map(ids.__getitem__, row)) for row in pieces]

@@ -16,9 +16,9 @@ repeated task leaves no second copy.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from uuid import uuid4
@@ -36,31 +36,33 @@ MAGIC = b"TIDS1"
 #: Ids of one image at most, unless a single document has more.
 IMAGE_IDS = 1_000_000
 _HEAD = struct.Struct("<5sQQQQ")
-_SPACE = re.compile(r"[ \t\n\r\f\v]+")
 #: Byte lengths of the four ids that a control byte describes.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
 # --- the coding, on numpy arrays --------------------------------------------------------------
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of one document's ranks."""
-    ranks = np.asarray(ranks, dtype=np.uint32)
+def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of documents whose ranks lie end to end, `counts` of them each."""
+    ranks = np.ascontiguousarray(ranks, dtype="<u4")
     extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    four = np.zeros(-len(ranks) % 4 + len(ranks), dtype=np.uint8)
-    four[:len(ranks)] = extra
-    control = (four.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    wide = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), wide[np.arange(4) <= extra[:, None]].tobytes()
+    four = np.zeros(int(((counts + 3) // 4).sum()) * 4, dtype=np.uint8)
+    four[_slots(counts)] = extra
+    control = four[0::4] | four[1::4] << 2 | four[2::4] << 4 | four[3::4] << 6
+    wide = ranks.view(np.uint8).reshape(-1, 4)
+    return control.tobytes(), wide[np.arange(4, dtype=np.uint8) <= extra[:, None]].tobytes()
 
 
-def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Ranks of all documents of an image, from a table lookup of the control bytes."""
-    lengths = LENGTHS[control].ravel()
+def _slots(counts: np.ndarray) -> np.ndarray:
+    """The place of each id among the four-id groups, where each document starts a new group."""
     blocks = (counts + 3) // 4
     first = np.cumsum(blocks * 4) - blocks * 4
-    own = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    lengths = lengths[own]
+    return np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Ranks of all documents of an image, from a table lookup of the control bytes."""
+    lengths = LENGTHS[control].ravel()[_slots(counts)]
     at = np.cumsum(lengths, dtype=np.int64) - lengths
     ranks = data[at].astype(np.uint32)
     for k in range(1, 4):
@@ -72,14 +74,13 @@ def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 def image(doc_ids: list[int | None], rank_arrays: list[np.ndarray]) -> bytes:
-    parts = [pack(r) for r in rank_arrays]
-    control, data = b"".join(p[0] for p in parts), b"".join(p[1] for p in parts)
-    counts = np.array([len(r) for r in rank_arrays], dtype="<u8")
+    counts = np.array([len(r) for r in rank_arrays], dtype=np.int64)
+    control, data = pack(np.concatenate(rank_arrays), counts)
     return b"".join([
         _HEAD.pack(MAGIC, len(doc_ids), int(counts.sum()), len(control), len(data)),
         np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(),
         np.array([d is not None for d in doc_ids], dtype="u1").tobytes(),
-        counts.tobytes(), control, data])
+        counts.astype("<u8").tobytes(), control, data])
 
 
 def read_image(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -105,7 +106,69 @@ _ENCODERS: dict[tuple, tuple] = {}
 
 
 def _cut(text: str) -> list[str]:
-    return _SPACE.split(text)
+    return text.replace("\n", " ").split(" ")
+
+
+#: ASCII punctuation that ends a word; a tokenizer that splits letters from the rest cuts before it.
+_MARKS = ".,;:!?%&#$*|"
+
+
+class _Direct:
+    """Words of letters, with marks after them, straight to the tokenizer's merges.
+
+    Skips the normaliser and the splitter, which leave lower-cased letters in composed form as they are.
+    `fits` tells whether this holds for a given tokenizer; it compares both ways on its probe words.
+    """
+
+    def __init__(self, tokenizer, dtype: str, most: int = 400_000):
+        from tokenizers.pre_tokenizers import ByteLevel
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.code, self.most = np.dtype(dtype).char, most
+        splitter = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {b: splitter.pre_tokenize_str(chr(b))[0][0][-1] for b in range(128)}
+        for b in range(128, 192):  # continuation and lead bytes of two-byte characters
+            self.bytes[b] = splitter.pre_tokenize_str(bytes([0xC3, b]).decode())[0][0][-1]
+        for b in range(0xC3, 0xCA):
+            self.bytes[b] = splitter.pre_tokenize_str(bytes([b, 0x80]).decode())[0][0][0]
+        self.ends: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+
+    def __call__(self, piece: str) -> bytes | None:
+        word = piece.rstrip(_MARKS)
+        ids = self.words.get(word)
+        if ids is None:
+            low = self.spelled(word)
+            if low is None:
+                return None
+            if len(self.words) > self.most:
+                self.words.clear()
+            ids = self.words[word] = array(self.code, [t.id for t in self.model.tokenize(low)]).tobytes()
+        if len(word) == len(piece):
+            return ids
+        end = piece[len(word):]
+        if end not in self.ends:
+            if len(self.ends) > self.most:
+                self.ends.clear()
+            self.ends[end] = array(self.code, self.tokenizer.encode(end, add_special_tokens=False).ids).tobytes()
+        return ids + self.ends[end]
+
+    def spelled(self, word: str) -> str | None:
+        """The word as the merges know it, or None when it needs the whole tokenizer."""
+        if not word.isalpha() or len(word) > 100:
+            return None
+        low = word.lower()
+        if low.isascii():
+            return low
+        # Latin letters in composed form, one or two bytes each, that lower-case one by one
+        if max(word) >= "\u0250" or min(c for c in word if c > "\x7f") < "\xc0" or "\u0130" in word:
+            return None
+        return low.encode().decode("latin-1").translate(self.bytes)
+
+    def fits(self) -> bool:
+        probe = ["the", "Straße,", "été", "Ñandú!!", "ABCdef%%%", "œuvre|", "x", "zażółć.", "señor", "Éa&&&", "don", "ll",
+                 "Ümläut;", "ſt", "ǅ", "internationalisation", "re", "ve", "ŋ", "ÿ", "Ÿ?", "ªb", "µm"]
+        return all(got is None or array(self.code, got).tolist() == self.tokenizer.encode(
+            w, add_special_tokens=False).ids for w in probe for got in [self(w)])
 
 
 def _encoder(path: str) -> tuple[WordCache, int]:
@@ -114,7 +177,9 @@ def _encoder(path: str) -> tuple[WordCache, int]:
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
         size = tokenizer.get_vocab_size()
-        _ENCODERS[path] = (WordCache(tokenizer, _cut, "<u2" if size <= 65536 else "<u4"), size)
+        dtype = "<u2" if size <= 65536 else "<u4"
+        direct = _Direct(tokenizer, dtype)
+        _ENCODERS[path] = (WordCache(tokenizer, _cut, dtype, direct if direct.fits() else None), size)
     return _ENCODERS[path]
 
 
@@ -122,12 +187,12 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str =
            text_col: str = "text") -> DataFrame:
     """`(doc_id, ids)`: packed ids (u16, or u32 for large vocabularies) with the end id last.
 
-    For tokenizers that drop ASCII white space and treat the parts between it separately.  A null
+    For tokenizers that drop spaces and line feeds and treat the parts between them separately.  A null
     text counts as empty: its only id is the end id.
     """
     def work(batches) -> Iterator[pa.RecordBatch]:
         cache, _ = _encoder(tokenizer_path)
-        end = np.array([end_id], dtype=cache.dtype).tobytes()
+        end = array(cache.code, [end_id]).tobytes()
         for batch in row_batches(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             packed = [ids + end for ids in cache.encode(texts)]
@@ -143,11 +208,10 @@ def id_counts(encoded: DataFrame, dtype: str) -> dict[int, int]:
     def work(batches):
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for raw in batch.column("ids"):
-                got = np.bincount(np.frombuffer(raw.as_buffer(), dtype))
-                if len(got) > len(total):
-                    got, total = total, got
-                total[:len(got)] += got
+            got = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype))
+            if len(got) > len(total):
+                got, total = total, got
+            total[:len(got)] += got
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["id", "n"])
 
