@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,3 +42,23 @@ def op8(spark, sf):
 def op10(spark, sf):
     from . import jaccard
     return jaccard.jaccard_classes(table(spark, sf, "documents"))
+
+
+@query("op5_language_id")
+def op5(spark, sf):
+    from . import langid
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    model = langid.learn(docs.filter(~held_out))
+    rows = langid.with_language(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return rows.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+@query("op1_quality_rules")
+def op1(spark, sf):
+    from . import quality
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rules = quality.learn(docs, table(spark, sf, "labels"), crc_mod(F.col("doc_id"), 4) != 2)
+    rows = quality.with_score(docs, rules)
+    return rows.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+                       F.when(F.col("score") >= quality.KEEP_FROM, 1).otherwise(0).alias("predicted"))
