@@ -120,7 +120,7 @@ class _Direct:
     `fits` tells whether this holds for a given tokenizer; it compares both ways on its probe words.
     """
 
-    def __init__(self, tokenizer, dtype: str, most: int = 400_000):
+    def __init__(self, tokenizer, dtype: str, most: int = 700_000):
         from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.code, self.most = np.dtype(dtype).char, most
@@ -193,7 +193,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str =
     def work(batches) -> Iterator[pa.RecordBatch]:
         cache, _ = _encoder(tokenizer_path)
         end = array(cache.code, [end_id]).tobytes()
-        for batch in row_batches(batches, "text"):
+        for batch in row_batches(batches, "text", 8_000_000):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             packed = [ids + end for ids in cache.encode(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())],
@@ -270,24 +270,28 @@ def write(encoded: DataFrame, path: str, vocabulary: int, image_ids: int = IMAGE
     return IdFiles(path, vocabulary)
 
 
-def read(spark: SparkSession, files: IdFiles) -> DataFrame:
-    """`(part, seq, pos, doc_id, ids)`: the documents of each image in order, original ids as packed u32."""
+def _documents(spark: SparkSession, files: IdFiles, make, names: list[str], schema: str) -> DataFrame:
+    """A row `(part, seq, pos, doc_id, *make(ids))` for each document of the images, ids being packed u32."""
     order = np.frombuffer(spark.read.parquet(f"{files.path}/ranks").first().ids, "<u4")
 
     def work(batches):
         for batch in batches:
             for part, seq, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "image"))):
-                names, counts, ranks = read_image(raw)
-                ids, n = order[ranks], len(names)
-                ends = np.cumsum(counts)
-                packed = [ids[e - c:e].tobytes() for c, e in zip(counts, ends)]
+                docs, counts, ranks = read_image(raw)
+                ids, n, ends = order[ranks], len(docs), np.cumsum(counts)
+                made = zip(*(make(ids[e - c:e].tobytes()) for c, e in zip(counts.tolist(), ends.tolist())))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * n, pa.int64()), pa.array([seq] * n, pa.int64()),
-                     pa.array(np.arange(n, dtype=np.int64)), pa.array(names, pa.int64()),
-                     pa.array(packed, pa.binary())], ["part", "seq", "pos", "doc_id", "ids"])
+                     pa.array(np.arange(n, dtype=np.int64)), pa.array(docs, pa.int64()), *map(pa.array, made)],
+                    ["part", "seq", "pos", "doc_id", *names])
 
     return spark.read.parquet(f"{files.path}/images").select("part", "seq", "image").mapInArrow(
-        work, "part long, seq long, pos long, doc_id long, ids binary")
+        work, f"part long, seq long, pos long, doc_id long, {schema}")
+
+
+def read(spark: SparkSession, files: IdFiles) -> DataFrame:
+    """`(part, seq, pos, doc_id, ids)`: the documents of each image in order, original ids as packed u32."""
+    return _documents(spark, files, lambda ids: (ids,), ["ids"], "ids binary")
 
 
 def digests(spark: SparkSession, files: IdFiles) -> DataFrame:
@@ -296,17 +300,8 @@ def digests(spark: SparkSession, files: IdFiles) -> DataFrame:
     The start of an image is a running sum in two levels: over the images of a range, and over
     the ranges, of which there are as many as tasks that wrote them.
     """
-    def work(batches):
-        for batch in batches:
-            raws = [r.as_buffer() for r in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("part", "seq", "pos", "doc_id")),
-                 pa.array([r.size // 4 for r in raws], pa.int64()),
-                 pa.array([zlib.crc32(r) for r in raws], pa.int64())],
-                ["part", "seq", "pos", "doc_id", "n_tokens", "ids_crc32"])
-
-    rows = read(spark, files).mapInArrow(
-        work, "part long, seq long, pos long, doc_id long, n_tokens long, ids_crc32 long")
+    rows = _documents(spark, files, lambda ids: (len(ids) // 4, zlib.crc32(ids)), ["n_tokens", "ids_crc32"],
+                      "n_tokens long, ids_crc32 long")
     sizes = spark.read.parquet(f"{files.path}/images").select("part", "seq", "n_ids")
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
     parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(
