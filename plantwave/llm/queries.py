@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat, mixing
 from .common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +63,13 @@ def op1(spark, sf):
     rows = quality.with_score(docs, rules)
     return rows.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
                        F.when(F.col("score") >= quality.KEEP_FROM, 1).otherwise(0).alias("predicted"))
+
+
+@query("op4_chat_prefix_targets", chat.SQL)
+def op4(spark, sf):
+    return chat.digests(chat.examples(chat.with_planted(table(spark, sf, "conversations"))))
+
+
+@query("op2_poisson_mixing", mixing.sql())
+def op2(spark, sf):
+    return mixing.mix(table(spark, sf, "documents"))
