@@ -92,3 +92,19 @@ class WordCache:
                 if len(piece) <= self.longest:
                     self.known[piece] = ids[piece]
         return [b"".join(map(ids.__getitem__, row)) for row in pieces]
+
+
+def free(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be none of `columns`."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def fields(df: DataFrame) -> str:
+    """The schema of `df` as a DDL string."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

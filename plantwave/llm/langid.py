@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_batches, spread_sample
+from .common import fields, free, row_batches, spread_sample
 
 #: Rows the model is trained on, about, and the longest text among them.
 TRAIN_ROWS = 3_000
@@ -142,19 +142,21 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     return train([t for _, t, _ in some], [k for _, _, k in some])
 
 
-def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with lang_pred, score and accepted; every row stays."""
-    names = docs.columns
+def with_language(docs: DataFrame, model: Model, names=("lang_pred", "score", "accepted")) -> DataFrame:
+    """`docs` with the language, its probability and whether it is accepted; every row stays.
+
+    A column that already has one of these names is replaced.
+    """
+    rows = docs.drop(*names)
+    kept = rows.columns
+    text, = free(kept, "_text")
 
     def work(batches):
-        for batch in row_batches(batches, "_text"):
-            got = [model.predict(t) for t in batch.column("_text").to_pylist()]
-            columns = {n: batch.column(n) for n in names}
-            columns["lang_pred"] = pa.array([g[0] for g in got], pa.string())
-            columns["score"] = pa.array([g[1] for g in got], pa.float64())
-            columns["accepted"] = pa.array([g[0] != UNKNOWN and g[1] >= model.threshold for g in got])
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(
-        work, f"{fields}, lang_pred string, score double, accepted boolean")
+        for batch in row_batches(batches, text):
+            got = [model.predict(t) for t in batch.column(text).to_pylist()]
+            new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
+                   pa.array([g[0] != UNKNOWN and g[1] >= model.threshold for g in got])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *new], [*kept, *names])
+
+    return rows.withColumn(text, F.col("text").cast("string")).mapInArrow(
+        work, f"{fields(rows)}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")

@@ -20,6 +20,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 #: Target weights of the query and the pipeline: four levels over twenty sources.
 WEIGHTS = {f"src{i}": 1.0 + i % 4 for i in range(20)}
 REST = 1.0
@@ -63,26 +65,28 @@ def uniform(seed: int, *parts: Column) -> Column:
 
 
 def counted(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, rest: float = REST,
-            rows_out: int | None = None, seed: int = SEED) -> DataFrame:
-    """`docs` with `copies`, the Poisson count of each row."""
+            rows_out: int | None = None, seed: int = SEED, copies: str = "copies") -> DataFrame:
+    """`docs` with one more column, the Poisson count of each row; one of that name is replaced."""
     means = rates(docs, weights, rest, rows_out)
+    key, drawn = free(docs.columns, "_key", "_draw")
     draw = uniform(seed, F.col("doc_id"), F.col("source"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    copies = F.lit(0)
-    for key, mean in means.items():
-        steps = F.array(*(F.lit(s) for s in poisson_steps(mean))) if mean > 0 else None
-        n = F.size(F.filter(steps, lambda s: s <= F.col("_draw"))) if mean > 0 else F.lit(0)
-        copies = F.when(F.col("_key") == key, n).otherwise(copies)
-    return docs.withColumn("_key", _key(weights)).withColumn("_draw", draw).withColumn("copies", copies).drop(
-        "_key", "_draw")
+    times = F.lit(0)
+    for name, mean in means.items():
+        steps = poisson_steps(mean)
+        if steps:
+            n = F.size(F.filter(F.array(*map(F.lit, steps)), lambda s: s <= F.col(drawn)))
+            times = F.when(F.col(key) == name, n).otherwise(times)
+    return docs.withColumn(key, _key(weights)).withColumn(drawn, draw).withColumn(copies, times).drop(key, drawn)
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, rest: float = REST, rows_out: int | None = None,
-        seed: int = SEED) -> DataFrame:
+        seed: int = SEED, copy: str = "copy") -> DataFrame:
     """The mixed rows in global random order: the columns of `docs`, and `copy`, from 1 for each row."""
-    rows = counted(docs, weights, rest, rows_out, seed).filter("copies > 0")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text"), F.col("copy"))
-    return rows.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order").drop("_order")
+    times, order = free([*docs.columns, copy], "_copies", "_order")
+    rows = counted(docs, weights, rest, rows_out, seed, times).filter(F.col(times) > 0)
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times)
+    place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text"), F.col(copy))
+    return rows.withColumn(order, place).repartition(order).sortWithinPartitions(order).drop(order)
 
 
 def sql(columns: str = "doc_id, text, lang, source, n_chars") -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
-from .common import spread_sample
+from .common import free, spread_sample
 
 #: Labelled rows the classifier is fitted on, about.
 TRAIN_ROWS = 6_000
@@ -146,8 +146,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int =
 
 
 def with_score(docs: DataFrame, rules: Rules, score: str = "score") -> DataFrame:
-    """`docs` with one more column, the score from 0 to 1 of the column `text`."""
+    """`docs` with one more column, the score from 0 to 1 of the column `text`; one of that name is replaced."""
     stats = statistics(F.col("text"))
-    held = docs.withColumn("_statistics", F.struct(*(c.alias(k) for k, c in stats.items())))
-    column = rules.column({k: F.col("_statistics")[k] for k in stats})
-    return held.withColumn(score, column).drop("_statistics")
+    held, = free(docs.columns, "_statistics")
+    rows = docs.withColumn(held, F.struct(*(c.alias(k) for k, c in stats.items())))
+    return rows.withColumn(score, rules.column({k: F.col(held)[k] for k in stats})).drop(held)

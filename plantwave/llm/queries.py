@@ -73,3 +73,9 @@ def op4(spark, sf):
 @query("op2_poisson_mixing", mixing.sql())
 def op2(spark, sf):
     return mixing.mix(table(spark, sf, "documents"))
+
+
+@query("op6_sentencepiece")
+def op6(spark, sf):
+    from . import pieces
+    return pieces.encoded_documents(table(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"))
