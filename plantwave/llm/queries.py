@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing
+from . import chat, mixing, topk
 from .common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,14 @@ def op2(spark, sf):
 def op6(spark, sf):
     from . import pieces
     return pieces.encoded_documents(table(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op7_multi_index_hashing")
+def op7(spark, sf):
+    from . import mih
+    return mih.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op9_term_at_a_time", topk.SQL)
+def op9(spark, sf):
+    return topk.search(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, 10)
