@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantwave.llm import jaccard, langid, mixing, pieces, quality
-from plantwave.llm.common import crc_mod, free, staged
+from plantwave.llm.common import crc_mod, free, short_batches, staged
 from plantwave.llm.queries import table, tokenizer_path
 
 #: Models decide, so no SQL gives the rows; tests compare the stages with brute-force versions.
@@ -19,6 +19,7 @@ ORACLE_SQL = None
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language is uncertain."""
+    short_batches(spark)
     model = langid.learn(docs.filter(crc_mod(F.col("doc_id"), 3) != 1))
     names = free(docs.columns, "lang_pred", "lang_score", "accepted")
     return langid.with_language(docs, model, tuple(names)).filter(F.col(names[2])).select(*docs.columns)

@@ -9,13 +9,13 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
 #: Characters of text handled at a time inside a task; one longer text is a batch of its own.
-CHARS_AT_A_TIME = 4_000_000
+CHARS_AT_A_TIME = 3_000_000
 
 
 def staged(df: DataFrame, name: str, **options) -> DataFrame:
@@ -26,6 +26,13 @@ def staged(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Fewer rows to an Arrow batch than Spark's default, as texts are long; a session's own choice stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 def row_batches(batches: Iterable[pa.RecordBatch], text: str,
                 most: int = CHARS_AT_A_TIME) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of one piece have about `most` bytes in all."""

@@ -138,7 +138,7 @@ class Codec:
         lines = not any("\n" in p for p in usable)
         self.parts = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+" if lines else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.dtype = "<u2" if len(model.pieces) <= 65536 else "<u4"
-        self.cache = WordCache(self.tokenizer, self._cut, self.dtype)
+        self.cache = WordCache(self.tokenizer, self._cut, self.dtype, most=100_000)
         # decoding: the bytes of each piece
         self.bytes = []
         for piece, kind in zip(model.pieces, model.types):
