@@ -91,3 +91,10 @@ def op7(spark, sf):
 @query("op9_term_at_a_time", topk.SQL)
 def op9(spark, sf):
     return topk.search(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+@query("op3_html_blocks")
+def op3(spark, sf):
+    from . import pages
+    html = table(spark, sf, "pages")
+    return pages.main_text(html, pages.learn(html))
