@@ -297,12 +297,11 @@ def dim(spark):
 
 
 @query("missing_tags", """WITH t(tag) AS (VALUES ('click'), ('view'), ('purchase'), ('error'), ('heartbeat')),
-u AS (SELECT DISTINCT user_id FROM events WHERE ts < TIMESTAMP '2024-01-02')
-SELECT user_id, tag FROM u CROSS JOIN t WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.ts < TIMESTAMP '2024-01-02'
- AND e.user_id = u.user_id AND e.event_type = t.tag)""")
+u AS (SELECT DISTINCT user_id FROM events)
+SELECT user_id, tag FROM u CROSS JOIN t WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.event_type = t.tag)""")
 def _(spark, sf):
     wanted = spark.createDataFrame([(t,) for t in ("click", "view", "purchase", "error", "heartbeat")], "tag string")
-    d = quality.missing_tags(user_readings(spark, sf).filter(F.col("ts") < "2024-01-02"), wanted)
+    d = quality.missing_tags(user_readings(spark, sf), wanted)
     return d.select(F.col("asset").cast("long").alias("user_id"), "tag")
 
 
@@ -391,15 +390,17 @@ def _(spark, sf):
                                 F.bool_and("writable").alias("writable"))
 
 
-@query("wide_long_round_trip", """SELECT user_id, count(*) AS n_ts, round(sum(value) FILTER (event_type = 'click'), 4) AS click,
- round(sum(value) FILTER (event_type = 'view'), 4) AS view FROM events WHERE event_type IN ('click', 'view') GROUP BY 1""")
+@query("wide_long_round_trip", """SELECT user_id, count(DISTINCT ts) AS n_ts, round(sum(value) FILTER (event_type = 'click'), 4) AS click,
+ round(sum(value) FILTER (event_type = 'view'), 4) AS view, round(sum(value) FILTER (event_type = 'purchase'), 4) AS purchase,
+ round(sum(value) FILTER (event_type = 'signup'), 4) AS signup, round(sum(value) FILTER (event_type = 'error'), 4) AS error
+ FROM events GROUP BY 1""")
 def _(spark, sf):
-    tags = ["click", "view"]
+    tags = ["click", "view", "purchase", "signup", "error"]
     long = user_readings(spark, sf)
     back = samples.to_long(samples.to_wide(long, tags), tags)
     w = samples.to_wide(back, tags)
     return w.groupBy(F.col("asset").cast("long").alias("user_id")).agg(
-        F.count(F.lit(1)).alias("n_ts"), F.round(F.sum("click"), 4).alias("click"), F.round(F.sum("view"), 4).alias("view"))
+        F.count(F.lit(1)).alias("n_ts"), *[F.round(F.sum(t), 4).alias(t) for t in tags])
 
 
 # --- reports ----------------------------------------------------------------------
@@ -556,12 +557,12 @@ def _(spark, sf):
 
 
 @query("promotion_rule", """WITH m AS (SELECT l_suppkey AS model, avg(abs(l_extendedprice - 1500 * l_quantity)) FILTER (l_linestatus = 'F') AS base,
- avg(abs(l_extendedprice - 1500 * l_quantity)) FILTER (l_linestatus = 'O') AS new FROM lineitem WHERE l_quantity > 30 GROUP BY 1)
+ avg(abs(l_extendedprice - 1500 * l_quantity)) FILTER (l_linestatus = 'O') AS new FROM lineitem GROUP BY 1)
 SELECT model, new IS NULL OR base IS NULL OR new < base * (1 - 0.02) AS promoted FROM m""")
 def _(spark, sf):
     from ..operators.learn import should_promote
     e = F.abs(F.col("l_extendedprice") - 1500 * F.col("l_quantity"))
-    d = table(spark, sf, "lineitem").filter("l_quantity > 30").groupBy(F.col("l_suppkey").alias("model")).agg(
+    d = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("model")).agg(
         F.avg(F.when(F.col("l_linestatus") == "F", e)).alias("base"), F.avg(F.when(F.col("l_linestatus") == "O", e)).alias("new"))
     return d.select("model", should_promote(F.col("new"), F.col("base"), 0.02).alias("promoted"))
 
@@ -605,9 +606,9 @@ def _(spark, sf):
 
 
 @query("detected_rules", f"""WITH {RECS_SQL} SELECT scenario, string_agg(rule_id, ', ' ORDER BY rule_id) AS rules
-FROM (SELECT DISTINCT scenario, rule_id FROM recs WHERE price > 300000) GROUP BY 1""")
+FROM (SELECT DISTINCT scenario, rule_id FROM recs) GROUP BY 1""")
 def _(spark, sf):
-    return reports.detected_rules(recs(spark, sf).filter("price > 300000"), ["scenario"])
+    return reports.detected_rules(recs(spark, sf), ["scenario"])
 
 
 @query("first_actionable", f"""WITH {RECS_SQL} SELECT rule_id, count(*) AS n_recs,
@@ -633,12 +634,28 @@ def _(spark, sf):
     return first_per_rule(recs(spark, sf)).select("scenario", "rule_id", "id", us("ts").alias("ts_us"))
 
 
-@query("recommendation_order", f"""WITH {RECS_SQL} SELECT id, us AS ts_us, round(CASE urgency WHEN 'critical' THEN 90.0 WHEN 'high' THEN 70.0
- WHEN 'medium' THEN 50.0 ELSE 25.0 END + 10 * confidence, 6) AS priority FROM recs ORDER BY us, priority DESC, id LIMIT 1000""")
+def numbered(ordered):
+    """Rows of a globally sorted frame with their place: offsets of partitions plus the place inside."""
+    from pyspark.sql import Window
+
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(ordered.sparkSession)
+    d = ordered.withColumn("_part", F.spark_partition_id()).withColumn(
+        "_in", F.monotonically_increasing_id() % F.lit(1 << 33)).checkpoint()
+    sizes = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    start = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return d.join(sizes.select("_part", start.alias("_start")), "_part").withColumn(
+        "place", F.col("_start") + F.col("_in") + 1).drop("_part", "_in", "_start")
+
+
+@query("recommendation_order", f"""WITH {RECS_SQL}, p AS (SELECT id, us AS ts_us, round(CASE urgency WHEN 'critical' THEN 90.0 WHEN 'high' THEN 70.0
+ WHEN 'medium' THEN 50.0 ELSE 25.0 END + 10 * confidence, 6) AS priority FROM recs), n AS (SELECT *, row_number() OVER (ORDER BY ts_us, priority DESC, id) AS place FROM p)
+SELECT id, ts_us, priority, place FROM n""")
 def _(spark, sf):
     from ..functions.ladders import priority_score
+    from ..operators.rules import in_report_order
     d = recs(spark, sf).withColumn("priority", F.round(priority_score(F.col("urgency"), F.col("confidence")), 6))
-    return d.orderBy("ts", F.desc("priority"), "id").limit(1000).select("id", us("ts").alias("ts_us"), "priority")
+    return numbered(in_report_order(d)).select("id", us("ts").alias("ts_us"), "priority", "place")
 
 
 @query("set_operations", """SELECT 'both' AS kind, count(*) AS n FROM (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT

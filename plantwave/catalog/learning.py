@@ -11,6 +11,7 @@ from ..plans import retrain
 from ..streaming import detectors, live
 from .history import dim
 from .registry import READINGS_SQL, query, r6, readings, table, us, user_readings
+from .series import PSI_SQL
 from .sqlparts import BASELINE, CUSUM, EWMA, INDEXED, SHEWHART, thin_sql
 
 FOUR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -233,8 +234,12 @@ def _(spark, sf):
     return live.run_to_parquet(out, "outcomes")
 
 
-@query("stream_drift", """WITH ref AS (SELECT event_type AS tag, value AS v FROM events WHERE ts < TIMESTAMP '2024-01-16'), n AS (SELECT event_type AS tag, count(*) AS n_live FROM events GROUP BY 1)
-SELECT tag, count(*) AS n_ref, any_value(n_live) AS n_live FROM ref JOIN n USING (tag) GROUP BY 1""")
+STREAM_PSI_SQL = PSI_SQL.replace(
+    PSI_SQL[PSI_SQL.index("liv AS ("):PSI_SQL.index("q AS (")], "liv AS (SELECT event_type AS tag, value AS v FROM events),\n")
+
+
+@query("stream_drift", f"""WITH {STREAM_PSI_SQL} SELECT tag, n_ref, n_live, round(psi, 6) AS psi,
+ CASE WHEN psi >= 0.25 THEN 'significant' WHEN psi >= 0.1 THEN 'moderate' ELSE 'none' END AS status FROM psi""")
 def _(spark, sf):
     import uuid
     from ..operators.drift import bin_edges
@@ -244,7 +249,7 @@ def _(spark, sf):
     edges = bin_edges(ref)
     body = live.drift_batches(edges, ref, lambda d, i: d.withColumn("epoch", F.lit(i)).write.mode("append").parquet(path))
     live.run_batches(event_stream(spark, sf), "drift", body)
-    return spark.read.parquet(path).select("tag", "n_ref", "n_live")
+    return spark.read.parquet(path).select("tag", "n_ref", "n_live", F.round("psi", 6).alias("psi"), "status")
 
 
 @query("stream_buffer", f"""WITH {READINGS_SQL} SELECT user_id, (us // 86400000000 + 1) * 86400000000 AS as_of_us, count(*) AS n_values, min(us) AS oldest_us, max(us) AS newest_us FROM r GROUP BY ALL""")

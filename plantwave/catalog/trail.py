@@ -142,7 +142,7 @@ def rule_context(spark, sf):
     """`orders` as session contexts: every column a rule can read is derived from the order."""
     k, c, p = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
     det = F.element_at(F.array(*[F.lit(d) for d in DETECTORS]), (c % 8 + 1).cast("int"))
-    tag = F.when(c % 8 != 2, F.element_at(F.array(*[F.lit(t) for t in TAGS]), (k % 8 + 1).cast("int")))
+    tag = F.when(c % 8 == 2, None).when(c % 7 == 3, "batch.conversion").otherwise(F.element_at(F.array(*[F.lit(t) for t in TAGS]), (k % 8 + 1).cast("int")))
     share = p / 500000.0
     value = F.when(k % 8 == 0, 78 + share * 6).when(k % 8 == 4, 250 + share * 80).otherwise(share * 10)
     sev = F.when(c % 4 == 0, "critical").when(c % 4 == 1, "high").when(c % 4 == 2, "medium").otherwise("low")
@@ -158,7 +158,7 @@ def rule_context(spark, sf):
     return table(spark, sf, "orders").select(
         F.lit("plant").alias("asset"), F.concat(F.lit("S"), c % 25).alias("scenario"), F.lpad(k.cast("string"), 12, "0").alias("session_id"),
         F.col("o_orderdate").cast("timestamp").alias("start_ts"), det.alias("detector"), tag.alias("tag"), sev.alias("peak_severity"),
-        (c % 40).alias("alert_count"), peak.alias("peak_alert"), (c % 3).alias("co_C_A"), (c % 2).alias("co_purity"), (k % 2).alias("co_T_R"),
+        (c % 40).alias("alert_count"), peak.alias("peak_alert"), (c % 3).alias("co_C_A"), (F.floor(k / 32) % 2).alias("co_purity"), (F.floor(k / 16) % 2).alias("co_T_R"),
         (c % 5).alias("co_F_cool_cusum"), (k % 3).alias("co_batch_T_R"), F.when(c % 10 == 0, 1.0).otherwise(0.0).alias("still"),
         (p / 1000).alias("v_own"), F.lit(98.5).alias("purity_spec"), *[v.alias("v_" + physical_name(t)) for t, v in cols.items()])
 
@@ -166,7 +166,7 @@ def rule_context(spark, sf):
 DETECTORS = ["SPC.EWMA", "SPC.Shewhart", "PCA.T2", "Regime.CUSUM", "Trend.Projection", "FrozenSensor", "SoftSensor.Divergence", "LSTM.Forecast"]
 TAGS = ["cstr.T_R_C", "column.purity_B", "column.RR", "cstr.F_cool", "column.Q_reb_kW", "cstr.C_A", "batch.T_R_C", "batch.dHdt"]
 CONTEXT_SQL = f"""x AS (SELECT o_orderkey AS k, o_custkey AS c, o_totalprice / 500000.0 AS share, o_orderstatus AS st, epoch_us(o_orderdate) AS us,
- {DETECTORS!r}[o_custkey % 8 + 1] AS det, CASE WHEN o_custkey % 8 <> 2 THEN {TAGS!r}[o_orderkey % 8 + 1] END AS tag FROM orders),
+ {DETECTORS!r}[o_custkey % 8 + 1] AS det, CASE WHEN o_custkey % 8 = 2 THEN NULL WHEN o_custkey % 7 = 3 THEN 'batch.conversion' ELSE {TAGS!r}[o_orderkey % 8 + 1] END AS tag FROM orders),
 y AS (SELECT *, CASE k % 8 WHEN 0 THEN 78 + share * 6 WHEN 4 THEN 250 + share * 80 ELSE share * 10 END AS peak, CASE WHEN st = 'F' THEN 'below' ELSE 'above' END AS side,
  ['critical', 'high', 'medium', 'low'][c % 4 + 1] AS sev, CASE WHEN c % 2 = 0 THEN 'below' ELSE 'above' END AS dir, 0.2 + (c % 40) / 100.0::DOUBLE AS fc, 78 + (c % 50) / 10.0::DOUBLE AS tr,
  CASE WHEN c % 29 <> 0 THEN 97 + (c % 31) / 10.0::DOUBLE END AS pu, 4 + (c % 35) / 10.0::DOUBLE AS rr, CASE WHEN c % 11 <> 0 THEN 0.5 + (c % 40) / 100.0::DOUBLE END AS bf,
@@ -175,10 +175,10 @@ PILOT_SQL = f"""{CONTEXT_SQL}, f AS (
 SELECT *, 'R01_ThermalDrift' AS rule_id, CASE WHEN peak > 82 THEN 'high' WHEN peak > 80.5 THEN 'medium' ELSE 'low' END AS urgency, CASE WHEN c % 40 > 20 THEN 0.85 ELSE 0.7 END AS conf,
  least(fc * 1.15, 0.6) AS prop, 2 AS n_imp FROM y WHERE spc AND tag = 'cstr.T_R_C' AND peak >= 79.8 AND side <> 'below'
 UNION ALL SELECT *, 'R02_FeedComposition', CASE WHEN pu < 97.5 THEN 'high' ELSE 'medium' END, 0.8, CASE WHEN pu < 98.5 THEN least(rr + 0.3, 7.0) END, CASE WHEN pu < 98.5 THEN 2 ELSE 0 END
- FROM y WHERE det = 'PCA.T2' AND c % 3 > 0 AND c % 2 > 0 AND pu < 99.0
+ FROM y WHERE det = 'PCA.T2' AND c % 3 > 0 AND (k // 32) % 2 > 0 AND pu < 99.0
 UNION ALL SELECT *, 'R03_ControllerOscillation', 'medium', 0.8, NULL, 2 FROM y WHERE det = 'Regime.CUSUM' AND tag = 'cstr.F_cool' AND c % 5 >= 3
 UNION ALL SELECT *, 'R04_ColumnEfficiencyLoss', CASE WHEN pu < 97.5 THEN 'high' WHEN pu < 98.5 THEN 'medium' ELSE 'low' END, 0.75, least(rr + 0.4, 7.0), 1
- FROM y WHERE spc AND tag = 'column.purity_B' AND k % 2 = 0 AND c % 3 = 0 AND pu IS NOT NULL
+ FROM y WHERE spc AND tag = 'column.purity_B' AND (k // 16) % 2 = 0 AND c % 3 = 0 AND pu IS NOT NULL
 UNION ALL SELECT *, 'R05_ExcessReflux', 'low', 0.9, greatest(rr - 0.3, 4.0), 2 FROM y WHERE det = 'SPC.EWMA' AND tag = 'column.Q_reb_kW' AND side <> 'below' AND peak > 290 AND pu > 99.3
 UNION ALL SELECT *, 'R06_PurityDeviation', CASE WHEN c % 60 < 15 THEN 'critical' WHEN c % 60 < 30 THEN 'high' ELSE 'medium' END, least(0.95, 0.5 + (c % 50) / 100.0::DOUBLE + 0.1), least(rr + 0.25, 7.0), 1
  FROM y WHERE det = 'Trend.Projection' AND tag = 'column.purity_B' AND pu IS NOT NULL
@@ -188,7 +188,8 @@ UNION ALL SELECT *, 'R09_SoftSensorDivergence', CASE WHEN abs(share * 3 - 1.5) >
 UNION ALL SELECT *, 'R10_PredictedExcursion', CASE WHEN c % 45 <= 10 THEN 'high' WHEN c % 45 <= 30 THEN 'medium' ELSE 'low' END, 0.75, NULL, 1 FROM y WHERE det = 'LSTM.Forecast' AND c % 9 <> 0)"""
 BATCH_SQL = f"""{CONTEXT_SQL}, f AS (
 SELECT *, 'B01_HighReactorTemp' AS rule_id, sev AS urgency, 0.85 AS conf, least(bf * 1.3, 1.0) AS prop, 2 AS n_imp FROM y WHERE tag = 'batch.T_R_C' AND sev IN ('high', 'critical') AND bf IS NOT NULL
-UNION ALL SELECT *, 'B02_RunawayRisk', 'critical', 0.9, 1.0, 1 FROM y WHERE tag = 'batch.dHdt' AND sev IN ('high', 'critical') AND k % 3 > 0 AND bf IS NOT NULL)"""
+UNION ALL SELECT *, 'B02_RunawayRisk', 'critical', 0.9, 1.0, 1 FROM y WHERE tag = 'batch.dHdt' AND sev IN ('high', 'critical') AND k % 3 > 0 AND bf IS NOT NULL
+UNION ALL SELECT *, 'B03_LowConversion', 'medium', 0.7, NULL, 0 FROM y WHERE tag = 'batch.conversion' AND sev IN ('medium', 'high', 'critical'))"""
 FIRED_SQL = """ SELECT k AS id, rule_id, urgency, round(conf, 6) AS confidence, round(CASE urgency WHEN 'critical' THEN 90 WHEN 'high' THEN 70 WHEN 'medium' THEN 50 ELSE 25 END + 10 * conf, 6) AS priority,
  round(prop, 6) AS proposed, n_imp AS n_impacts FROM f QUALIFY row_number() OVER (PARTITION BY c % 25, rule_id, coalesce(tag, 'multi'), us ORDER BY k) = 1"""
 
@@ -375,11 +376,11 @@ def _(spark, sf):
 SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, coalesce(nullif(l_tax, 0.0), d) AS tax, coalesce(CASE WHEN l_quantity > 10 THEN l_quantity END, q) AS quantity FROM lineitem, cur""")
 def _(spark, sf):
     l = table(spark, sf, "lineitem")
-    cur = l.orderBy(F.desc("l_shipdate"), "l_orderkey", "l_partkey", "l_extendedprice").limit(1).select(
-        F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("tax"))
+    cur = l.select(F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("tax"), "l_shipdate", *[
+        (-F.col(c)).alias(f"_{c}") for c in ("l_orderkey", "l_partkey", "l_extendedprice")])
     ask = l.select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", F.nullif("l_tax", F.lit(0.0)).alias("tax"),
                    F.when(F.col("l_quantity") > 10, F.col("l_quantity")).alias("quantity"))
-    return pareto.fill_from_current(ask, cur, ["tax", "quantity"])
+    return pareto.fill_from_current(ask, cur, ["tax", "quantity"], ["l_shipdate", "_l_orderkey", "_l_partkey", "_l_extendedprice"])
 
 
 @query("operating_envelope", """SELECT l_returnflag, min(l_quantity) AS l_quantity_min, max(l_quantity) AS l_quantity_max, min(l_extendedprice) AS l_extendedprice_min, max(l_extendedprice) AS l_extendedprice_max FROM lineitem GROUP BY 1""")

@@ -20,7 +20,7 @@ MIN_LIVE = 30
 def raise_ties(edges: Column, step: float = EPSILON) -> Column:
     """Each edge not above its predecessor becomes predecessor + step, left to right."""
     start = F.slice(edges, 1, 1)
-    return F.aggregate(F.slice(edges, 2, 10_000), start, lambda acc, e: F.concat(
+    return F.aggregate(F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 1, F.lit(0))), start, lambda acc, e: F.concat(
         acc, F.array(F.when(e <= F.element_at(acc, -1), F.element_at(acc, -1) + step).otherwise(e))))
 
 

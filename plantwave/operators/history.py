@@ -13,8 +13,11 @@ from .quality import latest_first_window
 MAX_LIMIT = 10_000
 
 
-def clamp(limit: int) -> int:
-    return min(limit, MAX_LIMIT)
+def checked_limit(limit: int, max_limit: int = MAX_LIMIT) -> int:
+    """`limit`, or an error where it is beyond what a history query may return."""
+    if limit > max_limit:
+        raise ValueError(f"limit {limit} is above {max_limit}")
+    return limit
 
 
 def _filtered(df: DataFrame, ts: str, from_ts=None, to_ts=None, **equal) -> DataFrame:
@@ -32,31 +35,33 @@ def _filtered(df: DataFrame, ts: str, from_ts=None, to_ts=None, **equal) -> Data
 
 def query_samples(samples: DataFrame, scenario: str | None = None, from_ts=None, to_ts=None,
                   tags: Sequence[str] | None = None, limit: int = 1000, default_scenario: str | None = None,
-                  ts: str = "ts", tie: Sequence[str] = ()) -> DataFrame:
+                  ts: str = "ts", tie: Sequence[str] = (), max_limit: int = MAX_LIMIT) -> DataFrame:
     """Wide samples in time order; unknown tags are ignored."""
     d = _filtered(samples, ts, from_ts, to_ts, scenario=scenario or default_scenario)
     keys = [ts, "scenario"]
     known = [c for c in samples.columns if c not in keys]
     chosen = [t for t in tags if t in known] if tags else known
-    out = d.orderBy(ts, *tie).limit(clamp(limit))
+    out = d.orderBy(ts, *tie).limit(checked_limit(limit, max_limit))
     return out.select(*keys, *chosen)
 
 
 def query_recommendations(recs: DataFrame, scenario: str | None = None, from_ts=None, to_ts=None,
                           status: Sequence[str] | None = None, urgency: Sequence[str] | None = None,
-                          limit: int = 200, ts: str = "ts", tie: Sequence[str] = ("id",)) -> DataFrame:
+                          limit: int = 200, ts: str = "ts", tie: Sequence[str] = ("id",),
+                          max_limit: int = MAX_LIMIT) -> DataFrame:
     d = _filtered(recs, ts, from_ts, to_ts, scenario=scenario,
                   status=list(status) if status else None, urgency=list(urgency) if urgency else None)
-    return d.orderBy(F.desc(ts), *tie).limit(clamp(limit))
+    return d.orderBy(F.desc(ts), *tie).limit(checked_limit(limit, max_limit))
 
 
 def query_decisions(decisions: DataFrame, recs: DataFrame, scenario: str | None = None, from_ts=None,
-                    to_ts=None, limit: int = 200, tie: Sequence[Column | str] = ("id",)) -> DataFrame:
+                    to_ts=None, limit: int = 200, tie: Sequence[Column | str] = ("id",),
+                    max_limit: int = MAX_LIMIT) -> DataFrame:
     """Decisions with the scenario, urgency, rule and diagnosis of their recommendation."""
     d = _filtered(decisions, "decided_at", from_ts, to_ts)
     r = _filtered(recs, "ts", scenario=scenario).select(
         F.col("id").alias("recommendation_id"), "scenario", "urgency", "rule_id", "diagnosis")
-    return d.join(r, "recommendation_id").orderBy(F.desc("decided_at"), *tie).limit(clamp(limit))
+    return d.join(r, "recommendation_id").orderBy(F.desc("decided_at"), *tie).limit(checked_limit(limit, max_limit))
 
 
 def scenario_catalogue(catalogue: DataFrame) -> DataFrame:
@@ -75,7 +80,7 @@ def visible_at(df: DataFrame, now: Column, limit: int, ts: str = "ts", tie: Sequ
     """Rows up to the cursor, latest first, with the total before the limit."""
     seen = df.filter(F.col(ts) <= now)
     total = seen.agg(F.count(F.lit(1)).alias("total"))
-    return seen.orderBy(F.desc(ts), *tie).limit(clamp(limit)).join(F.broadcast(total))
+    return seen.orderBy(F.desc(ts), *tie).limit(limit).join(F.broadcast(total))
 
 
 def events_in_window(streams: dict[str, tuple[DataFrame, str]], start: Column | None, end: Column) -> DataFrame:
@@ -123,7 +128,7 @@ def enriched_decisions(decisions: DataFrame, recs: DataFrame) -> DataFrame:
 
 
 def latest_first(df: DataFrame, limit: int, ts: str = "ts", tie: Sequence[str] = ("id",)) -> DataFrame:
-    return df.orderBy(F.desc(ts), *tie).limit(clamp(limit))
+    return df.orderBy(F.desc(ts), *tie).limit(limit)
 
 
 def steady_state_means(samples: DataFrame, columns: Sequence[str], keys: Sequence[str], rows: int = 200,

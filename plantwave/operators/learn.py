@@ -38,6 +38,14 @@ def bootstrap_weight(key: Column, seed: int) -> Column:
     return out
 
 
+def _complete(columns: Sequence[str]) -> Column:
+    """True where no input is null or NaN."""
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`").cast("double"))
+    return ok
+
+
 @dataclass
 class SoftSensor:
     """An ensemble of boosted trees; prediction is their mean, spread their deviation."""
@@ -48,11 +56,15 @@ class SoftSensor:
     n_train: int = 0
 
     def predict(self, df: DataFrame) -> DataFrame:
-        d = VectorAssembler(inputCols=self.features, outputCol="_x", handleInvalid="skip").transform(df)
+        """Every row stays; one with a missing input has a null prediction.
+
+        Fill gaps before, with `fill_both_ways`, to predict from the nearest readings.
+        """
+        d = VectorAssembler(inputCols=self.features, outputCol="_x", handleInvalid="keep").transform(df)
         for i, m in enumerate(self.models):
             d = m.setPredictionCol(f"_p{i}").transform(d)
         cols = [F.col(f"_p{i}") for i in range(len(self.models))]
-        mean = sum(cols[1:], cols[0]) / len(cols)
+        mean = F.when(_complete(self.features), sum(cols[1:], cols[0]) / len(cols))
         var = sum([F.pow(c - F.col("predicted"), F.lit(2.0)) for c in cols], F.lit(0.0)) / len(cols)
         return (d.withColumn("predicted", mean).withColumn("std", F.sqrt(var))
                 .drop("_x", *[f"_p{i}" for i in range(len(self.models))]))
@@ -111,14 +123,14 @@ class Forecaster:
         return [f"{f}__lag{k}" for f in self.features for k in self.lags]
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """`p_<target>__h<h>` columns for rows made by :func:`lag_features`."""
-        d = VectorAssembler(inputCols=self.inputs(), outputCol="_x", handleInvalid="skip").transform(rows)
+        """`p_<target>__h<h>` columns for rows made by :func:`lag_features`; null where an input is missing."""
+        d = VectorAssembler(inputCols=self.inputs(), outputCol="_x", handleInvalid="keep").transform(rows)
         d = d.withColumn("_a", vector_to_array("_x"))
         out = {}
         for (t, h), (weights, bias) in self.models.items():
             dot = F.aggregate(F.zip_with("_a", F.array(*[F.lit(w) for w in weights]), lambda a, b: a * b),
                               F.lit(0.0), lambda acc, v: acc + v)
-            out[f"p_{t}__h{h}"] = dot + F.lit(bias)
+            out[f"p_{t}__h{h}"] = F.when(_complete(self.inputs()), dot + F.lit(bias))
         return d.withColumns(out).drop("_x", "_a")
 
 

@@ -110,13 +110,22 @@ def pareto_front(df: DataFrame, objectives: Sequence[tuple[str, str]], slice_row
     return d.join(lost, cols, "left_anti").drop(*cols)
 
 
-def pareto_ranks(df: DataFrame, objectives: Sequence[tuple[str, str]], id_column: str, max_rank: int) -> DataFrame:
-    """Successive fronts 0 … max_rank; deeper points get rank null."""
+def pareto_ranks(df: DataFrame, objectives: Sequence[tuple[str, str]], id_column: str,
+                 max_rank: int | None = None, at_least: int | None = None) -> DataFrame:
+    """Successive fronts until no point is left.
+
+    With `max_rank` deeper points get rank null; with `at_least` ranking stops once so many points have a rank,
+    which is all that a selection of that many needs.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    rest, out = df, None
-    for r in range(max_rank + 1):
+    rest, out, r, held = df, None, -1, 0
+    while (max_rank is None or r < max_rank) and (at_least is None or held < at_least):
+        r += 1
+        if r and rest.isEmpty():
+            break
         front = pareto_front(rest, objectives).withColumn("rank", F.lit(r)).checkpoint()
         out = front if out is None else out.unionByName(front)
+        held += front.count() if at_least is not None else 0
         rest = rest.join(front.select(id_column), id_column, "left_anti").checkpoint()
     return out.unionByName(rest.withColumn("rank", F.lit(None).cast("int")))
 
@@ -222,10 +231,12 @@ def compare_points(front: DataFrame, nominal: DataFrame, current: DataFrame) ->
     return out
 
 
-def fill_from_current(requests: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Missing inputs of a what-if request come from the single current row."""
-    c = current.select(*[F.col(x).alias(f"_c_{x}") for x in columns]).limit(1)
-    d = requests.join(F.broadcast(c))
+def fill_from_current(requests: DataFrame, current: DataFrame, columns: Sequence[str], order: Sequence[Column | str],
+                      keys: Sequence[str] = ()) -> DataFrame:
+    """Missing inputs of a what-if request come from the row that `order` puts last, one for each of `keys`."""
+    row = F.max_by(F.struct(*columns), F.struct(*order)).alias("_row")
+    c = current.groupBy(*keys).agg(row).select(*keys, *[F.col("_row")[x].alias(f"_c_{x}") for x in columns])
+    d = requests.join(c, list(keys), "left") if keys else requests.join(F.broadcast(c))
     return d.withColumns({x: F.coalesce(F.col(x), F.col(f"_c_{x}")) for x in columns}).drop(
         *[f"_c_{x}" for x in columns])
 

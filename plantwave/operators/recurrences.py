@@ -37,12 +37,6 @@ class Ewma:
         self.needs = [value, "mean"]
 
     def _average(self, x: np.ndarray, start: float) -> np.ndarray:
-        if len(x) <= 48:
-            out, e = np.empty(len(x)), start
-            for i, v in enumerate(x):
-                e = self.lam * v + (1.0 - self.lam) * e
-                out[i] = e
-            return out
         full = np.concatenate([[start], x])
         return pd.Series(full).ewm(alpha=self.lam, adjust=False).mean().to_numpy()[1:]
 

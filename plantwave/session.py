@@ -30,7 +30,8 @@ def build_session(app: str = "plantwave", master: str | None = None, **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    Only a session without one (a local test) gets a temporary folder.
+    Only a session whose tasks run inside the driver (`local[n]`, as in tests) may go without one; it gets a
+    temporary folder.  Anywhere else a missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -38,6 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="plantwave-")
 
 

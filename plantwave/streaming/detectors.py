@@ -23,8 +23,8 @@ STATE_DDL = ("last_us LONG, ewma ARRAY<DOUBLE>, cusum ARRAY<DOUBLE>, fired_shewh
 class ChartProcessor(StatefulProcessor):
     """Shewhart, EWMA, CUSUM and frozen checks with cooldown.
 
-    Rows of a batch are put in time order first; rows not newer than the last one seen
-    are counted and dropped.  Each input row carries its series' parameters.
+    Rows of a batch are put in time order first, equal times by value; rows older than the last one
+    seen are counted and dropped.  Each input row carries its series' parameters.
     """
 
     def __init__(self, frozen_rows: int = 20, min_std: float = 1e-4, lam: float = 0.2):
@@ -40,11 +40,10 @@ class ChartProcessor(StatefulProcessor):
         return [None if v is None else (list(v) if isinstance(v, (list, tuple, np.ndarray)) else v) for v in s]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).dropna(subset=["value"]).sort_values("ts", kind="stable")
-        pdf = pdf.drop_duplicates("ts")
+        pdf = pd.concat(list(rows)).dropna(subset=["value"]).sort_values(["ts", "value"], kind="stable")
         last, ewma, cusum, f_sh, f_ew, f_cu, f_fr, ring, dropped = self._load()
         us = pdf["ts"].astype("datetime64[us]").astype("int64")
-        fresh = us > (last if last is not None else -(1 << 62))
+        fresh = us >= (last if last is not None else -(1 << 62))
         dropped = int(dropped or 0) + int((~fresh).sum())
         pdf = pdf[fresh].assign(_us=us[fresh])
         out = []
@@ -148,6 +147,11 @@ def chart_stream(readings: DataFrame, baseline: DataFrame, frozen_rows: int = 20
     return _stateful(d, ChartProcessor(frozen_rows), OUT_DDL)
 
 
+def without_baseline(readings: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Readings that `chart_stream` cannot judge, as their series has no baseline: to be counted or stored."""
+    return readings.join(baseline.select("asset", "tag"), ["asset", "tag"], "left_anti")
+
+
 def quality_stream(readings: DataFrame, tag_map: DataFrame, stale_s: float = 10.0) -> DataFrame:
     d = readings.select("asset", "tag", "ts", "value").join(
         checked_broadcast(tag_map.select("tag", "min_range", "max_range")), "tag")
