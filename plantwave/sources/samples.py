@@ -19,21 +19,36 @@ def partition_value(name: str) -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), f"/{name}=([^/]+)/", 1)
 
 
+def headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """The different first lines of the files, each with the files that have it."""
+    lines = spark.read.text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at")).filter("start = 0")
+    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    return {r.header: r.paths for r in first.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()}
+
+
 def read_scenarios(spark: SparkSession, paths: str | Sequence[str], tags: Sequence[str],
                    asset: str = "plant", time_column: str = "timestamp",
                    scenario: Column | None = None) -> DataFrame:
     """Wide samples of one or many scenario CSV files; the scenario is the file stem.
 
-    Columns are matched by header name, absent tags are null; NaN text becomes null.
+    Files are grouped by their header line and each group is read with its own columns, so headers may
+    differ in order and number.  Absent tags are null; NaN text becomes null.
     """
-    probe = [paths] if isinstance(paths, str) else list(paths)
-    raw = spark.read.option("header", True).option("enforceSchema", False).csv(probe)
-    have = set(raw.columns)
-    cols = [(F.expr(f"try_cast(`{t}` AS DOUBLE)") if t in have else F.lit(None).cast("double"))
-            for t in tags]
-    clean = [F.when(~F.isnan(c), c).alias(physical_name(t)) for c, t in zip(cols, tags)]
-    return raw.select(F.lit(asset).alias("asset"), (file_stem(F.col("_metadata.file_path")) if scenario is None else scenario).alias("scenario"),
-                      F.to_timestamp(F.col(f"`{time_column}`")).alias("ts"), *clean)
+    out = None
+    for files in headers(spark, [paths] if isinstance(paths, str) else paths).values():
+        raw = spark.read.option("header", True).option("enforceSchema", False).csv(files)
+        cols = [(F.expr(f"try_cast(`{t}` AS DOUBLE)") if t in raw.columns else F.lit(None).cast("double")) for t in tags]
+        clean = [F.when(~F.isnan(c), c).alias(physical_name(t)) for c, t in zip(cols, tags)]
+        d = raw.select(
+            F.lit(asset).alias("asset"),
+            (file_stem(F.col("_metadata.file_path")) if scenario is None else scenario).alias("scenario"),
+            F.to_timestamp(F.col(f"`{time_column}`")).alias("ts"), *clean)
+        out = d if out is None else out.unionByName(d)
+    if out is None:
+        raise FileNotFoundError(f"no scenario file under {paths}")
+    return out
 
 
 def existing_scenarios(spark: SparkSession, folder: str, wanted: Sequence[str]) -> DataFrame:
@@ -84,17 +99,15 @@ def reingest(stored: DataFrame, incoming: DataFrame, force: bool, scenario: str
 
 
 def write_samples(df: DataFrame, path: str, replace: bool = False) -> None:
-    """Partitioned Parquet by scenario and week; `replace` rewrites only touched partitions."""
-    spark = df.sparkSession
-    out = df.withColumn("week", F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd"))
-    writer = out.repartition("scenario", "week").sortWithinPartitions("ts").write.partitionBy("scenario", "week")
+    """Parquet partitioned by scenario; `replace` rewrites the touched scenarios whole, whatever weeks they had.
+
+    A scenario is written by as many tasks as it has weeks, each week in time order, so that time filters
+    prune row groups.
+    """
+    week = F.date_trunc("week", "ts")
+    writer = df.repartition(F.col("scenario"), week).sortWithinPartitions("scenario", "ts").write.partitionBy("scenario")
     if replace:
-        before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            writer.mode("overwrite").parquet(path)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+        writer.option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     else:
         writer.mode("append").parquet(path)
 

@@ -44,7 +44,7 @@ def test_idempotent_and_partitioned_writes(spark, folder, tmp_path):
     w = samples.read_scenarios(spark, str(folder), TAGS)
     out = str(tmp_path / "store")
     samples.write_samples(w, out)
-    stored = spark.read.parquet(out).drop("week")
+    stored = spark.read.parquet(out)
     assert samples.new_samples(w, stored, ["scenario", "ts"], ["asset"]).count() == 0
     twice = w.unionByName(w).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
     assert samples.new_samples(twice, stored, ["scenario", "ts"], ["asset"]).count() == 35
@@ -109,9 +109,11 @@ def test_upload_checks(spark):
     assert quality.row_count_check(d, [], 3, 3).first().verdict == "ok"
 
 
-def test_history_clamps_and_half_open_window(spark):
+def test_history_limits_and_half_open_window(spark):
     d = spark.range(20000).select(F.col("id"), F.timestamp_seconds("id").alias("ts"), F.lit("s").alias("scenario"))
-    assert history.query_recommendations(d, limit=50000).count() == 10000
+    with pytest.raises(ValueError):
+        history.query_recommendations(d, limit=50000)
+    assert history.query_recommendations(d, limit=10000).count() == 10000
     w = history.events_in_window({"r": (d, "ts")}, F.timestamp_seconds(F.lit(5)), F.timestamp_seconds(F.lit(10)))
     assert sorted(int(r.id) for r in w.collect()) == [6, 7, 8, 9, 10]
     assert history.events_in_window({"r": (d, "ts")}, None, F.timestamp_seconds(F.lit(1))).count() == 2
@@ -150,3 +152,20 @@ def test_snapshots(spark, folder):
         versioning.load_snapshot(both, "none")
     with pytest.raises(FileNotFoundError):
         versioning.take_snapshot(spark, str(folder), pattern="*.nothing")
+
+
+def test_files_with_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("timestamp,x,y\n2024-01-01T00:00:00,1,2\n")
+    (tmp_path / "b.csv").write_text("y,timestamp\n3,2024-01-01T00:01:00\nNaN,2024-01-01T00:02:00\n")
+    w = samples.read_scenarios(spark, str(tmp_path), ["x", "y"])
+    assert sorted((r.scenario, r.x, r.y) for r in w.collect() if r.y is not None) == [("a", 1.0, 2.0), ("b", None, 3.0)]
+    assert w.count() == 3
+
+
+def test_forced_reingest_on_disk_drops_old_weeks(spark, tmp_path):
+    path = str(tmp_path / "samples")
+    rows = lambda *r: spark.createDataFrame(list(r), "scenario string, ts string, v int").withColumn(
+        "ts", F.to_timestamp("ts"))
+    samples.write_samples(rows(("a", "2024-01-01", 1), ("a", "2024-02-01", 2), ("b", "2024-01-01", 3)), path)
+    samples.write_samples(rows(("a", "2024-02-01", 9)), path, replace=True)
+    assert sorted((r.scenario, r.v) for r in spark.read.parquet(path).collect()) == [("a", 9), ("b", 3)]
