@@ -54,6 +54,14 @@ def _(spark, sf):
     return v.select("tag", us("ts").alias("ts_us"), "value")
 
 
+@query("alert_messages", f"""WITH RECURSIVE {SHEWHART}{thin_sql('v', 'tag', HALF_DAY * 1_000_000)} SELECT t.tag, us AS ts_us,
+ format('{{}} at {{:.3f}} is {{}} its three-sigma limit {{:.3f}}', t.tag, value, CASE WHEN value > mean THEN 'above' ELSE 'below' END,
+  CASE WHEN value > mean THEN mean + 3 * sigma ELSE mean - 3 * sigma END) AS message FROM t JOIN b ON t.tag = b.tag""")
+def _(spark, sf):
+    r, b, sec = baselined(spark, sf)
+    return charts.shewhart_alerts(r, b, HALF_DAY, seconds=sec).select("tag", us("ts").alias("ts_us"), "message")
+
+
 @query("shewhart_sessions", f"""WITH RECURSIVE {SHEWHART}{thin_sql('(SELECT *, ' + SIGMA_RANK + ' AS rank FROM v)', 'tag', HALF_DAY * 1_000_000)}
 {sessions_sql('t', 'tag', int(GAP_MIN * 60e6))}
 SELECT tag, start_us, end_us, alert_count, peak_rank, peak_value, peak_us FROM s""")

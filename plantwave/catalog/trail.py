@@ -10,7 +10,7 @@ from ..model import ACTION_DDL, IMPACT_DDL, dim_tag, physical_name
 from ..operators import decisions as dec
 from ..operators import pareto, rules
 from ..operators.scale import checked_broadcast, chunk_seconds_for
-from .registry import READINGS_SQL, query, r6, readings, table, us, user_readings
+from .registry import DEC_TIE, READINGS_SQL, decisions, query, r6, readings, table, us, user_readings
 
 # --- decision cascade -------------------------------------------------------------
 
@@ -124,6 +124,19 @@ def _(spark, sf):
     return outcome_rows(dec.measure(exe, r, rd, seconds=chunk_seconds_for(rd, ["asset", "scenario", "tag"])))
 
 
+@query("outcome_summary", f"""WITH {OUTCOME_SQL} SELECT user_id, exec_us AS ts_us, 'R' AS rule_id, 'high' AS urgency, exec_us + 2880 * 60000000::BIGINT AS measured_us,
+ 2880.0::DOUBLE AS delay, count(*) FILTER (pct < 0.5) || '/' || count(*) || ' metrics within tolerance' AS notes FROM w GROUP BY ALL""")
+def _(spark, sf):
+    r = error_recs(spark, sf)
+    exe = r.select(F.col("id"), F.col("id").alias("decision_id"), F.col("id").alias("recommendation_id"), "asset", "scenario", "ts",
+                   F.lit("success").alias("status"), F.lit("x").alias("executor"))
+    rd = user_readings(spark, sf)
+    d = dec.outcome_summary(dec.measure(exe, r, rd, seconds=chunk_seconds_for(rd, ["asset", "scenario", "tag"])), r)
+    parts = F.split("recommendation_id", r"\|")
+    return d.select(parts[0].cast("long").alias("user_id"), parts[1].cast("long").alias("ts_us"), "rule_id", "urgency",
+                    us("measured_at").alias("measured_us"), F.col("measurement_delay_minutes").alias("delay"), "notes")
+
+
 @query("override_outcomes", f"""WITH {OUTCOME_SQL}, w2 AS (SELECT * FROM w WHERE ev > 30 AND exec_us + 2880 * 60000000::BIGINT <= epoch_us(TIMESTAMP '2024-01-25'))
 {OUT_SQL.replace('FROM w ', 'FROM w2 ')}""")
 def _(spark, sf):
@@ -136,6 +149,14 @@ def _(spark, sf):
     return outcome_rows(dec.measure(dec.override_executions(due), r, rd, seconds=chunk_seconds_for(rd, ["asset", "scenario", "tag"])))
 
 
+@query("decision_ids", """SELECT count(*) AS n_decisions, count(*) AS n_ids FROM lineitem""")
+def _(spark, sf):
+    """As many ids as decisions, over all of them."""
+    from ..functions.ids import stable_id
+    d = decisions(spark, sf).select(stable_id("DEC", *[F.col(c) for c in DEC_TIE]).alias("id"))
+    return d.agg(F.count(F.lit(1)).alias("n_decisions"), F.countDistinct("id").alias("n_ids"))
+
+
 # --- rules ------------------------------------------------------------------------
 
 def rule_context(spark, sf):
