@@ -34,7 +34,7 @@ def test_shingle_sets_equal_plain_ones(monkeypatch):
 
 # --- Jaccard join -----------------------------------------------------------------------------------------
 
-def corpus(seed, docs=260):
+def corpus(seed, docs=150):
     """Clusters of edited copies, chains of edits, exact copies, a shared passage, short texts and loners."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdef") for _ in range(r.randint(2, 5)))
@@ -64,6 +64,7 @@ def test_classes_equal_all_pairs(spark, monkeypatch, rows, pivots, copies):
     monkeypatch.setattr(jaccard, "REGION_ROWS", rows)
     monkeypatch.setattr(jaccard, "PIVOTS", pivots)
     monkeypatch.setattr(jaccard, "MOST_COPIES", copies)
+    monkeypatch.setattr(jaccard, "LEVELS", 2)
     data = corpus(rows + copies)
     got = jaccard.jaccard_classes(spark.createDataFrame(data, "doc_id long, text string").repartition(5), sketch_bits=8)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute.classes(data)
