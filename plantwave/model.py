@@ -122,6 +122,12 @@ OPERATIONAL_LIMITS = {
     "batch.dHdt": (None, 250.0),
     "batch.conversion": (0.85, None),
 }
+# --- Fixed values: limits that a profile sets in place of the defaults ------------
+PROFILE_LIMITS = {
+    "cstr.T_R_C": (76.0, 82.0),
+    "column.purity_B": (98.5, None),
+    "column.Q_reb_kW": (None, 320.0),
+}
 # --- Fixed values: hard safety limits per manipulated variable -------------------
 SAFETY_LIMITS = {
     "cstr.F_cool": (0.05, 0.80),
@@ -162,7 +168,7 @@ def dim_tag(spark: SparkSession) -> DataFrame:
         ("batch_reactor", BATCH_TAGS, "batch_normal"),
     ):
         for tag, label, units, smin, smax, kpi, measured, lo, hi, writable in tags:
-            low, high = OPERATIONAL_LIMITS.get(tag, (None, None))
+            low, high = PROFILE_LIMITS.get(tag) or OPERATIONAL_LIMITS.get(tag, (None, None))
             safe_min, safe_max = SAFETY_LIMITS.get(tag, (None, None))
             rows.append((profile, tag, label, units, smin, smax, kpi, measured, low, high,
                          lo, hi, writable, safe_min, safe_max, baseline))

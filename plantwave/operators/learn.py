@@ -118,6 +118,7 @@ class Forecaster:
     lags: list[int]
     horizons: list[int]
     models: dict
+    n_train: int = 0
 
     def inputs(self) -> list[str]:
         return [f"{f}__lag{k}" for f in self.features for k in self.lags]
@@ -139,6 +140,7 @@ def fit_forecaster(train: DataFrame, features: Sequence[str], targets: Sequence[
     """Inputs are standardised inside the solver from the training rows only."""
     f = Forecaster(list(features), list(targets), list(lags), list(horizons), {})
     d = VectorAssembler(inputCols=f.inputs(), outputCol="_x").transform(train).persist()
+    f.n_train = d.count()
     for t in targets:
         for h in horizons:
             m = LinearRegression(featuresCol="_x", labelCol=f"{t}__h{h}", regParam=ridge, standardization=True,

@@ -77,7 +77,11 @@ def detect(readings: DataFrame, dim: DataFrame, cfg: Settings, extra: Sequence[D
     if cfg.pca_tags:
         wide = to_wide(live, cfg.pca_tags)
         cols = [c for c in wide.columns if c not in ("asset", "scenario", "ts")]
-        fit_on = wide if cfg.baseline_scenario is None else wide.filter(F.col("scenario") == cfg.baseline_scenario)
+        if cfg.baseline_scenario is None:  # what comes after the training slice must not set its own limits
+            fit_on = to_wide(charts.training_rows(
+                readings.filter(F.col("tag").isin(list(cfg.pca_tags))), cfg.training_fraction, seconds=seconds), cfg.pca_tags)
+        else:
+            fit_on = wide.filter(F.col("scenario") == cfg.baseline_scenario)
         streams.append(pca.pca_alerts(wide, pca.fit_pca(fit_on, cols), seconds=seconds))
     streams += [d(live) for d in extra]
     return after_warmup(union_alerts(*streams), run_starts(live), cfg.warmup_minutes)

@@ -40,10 +40,11 @@ def retrain_soft_sensor(samples: DataFrame, features: Sequence[str], target: str
 
 
 def retrain_forecaster(wide: DataFrame, features, targets, lags, horizons, history: DataFrame, snapshot: str,
-                       run_ts: Column, keys=("asset", "scenario"), ts: str = "ts", threshold: float = 0.0):
-    model, metrics = evaluate_forecaster(wide, features, targets, lags, horizons, keys, ts)
+                       run_ts: Column, keys=("asset", "scenario"), ts: str = "ts", threshold: float = 0.0,
+                       seconds: int | None = None):
+    model, metrics = evaluate_forecaster(wide, features, targets, lags, horizons, keys, ts, seconds=seconds)
     flat = metrics.agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.avg("r2").alias("r2"),
                        F.max("n").alias("n"))
     worst = collapse_metrics(metrics).select("mae_worst")
-    new = _stamped(flat, "forecaster", snapshot, run_ts, 0)
+    new = _stamped(flat, "forecaster", snapshot, run_ts, model.n_train)
     return model, with_promotion(new, history, threshold).join(F.broadcast(worst)), metrics
