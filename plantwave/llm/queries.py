@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, topk
+from . import chat, jaccard, mixing, topk
 from .common import crc_mod, short_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,9 +40,8 @@ def op8(spark, sf):
     return idfiles.digests(spark, files)
 
 
-@query("op10_jaccard_join")
+@query("op10_jaccard_join", jaccard.SQL)
 def op10(spark, sf):
-    from . import jaccard
     return jaccard.jaccard_classes(table(spark, sf, "documents"))
 
 
