@@ -122,7 +122,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 2.0
 
 
 def _calibrate(model: Model, logits: np.ndarray, y: np.ndarray) -> None:
-    """The temperature of least log loss, and a threshold at half of what one row in 500 falls under."""
+    """The temperature of least log loss, and a threshold at half of what one row in 500 falls under, 0.4 at most."""
     def soft(t):
         e = np.exp(logits / t - (logits / t).max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
@@ -130,7 +130,7 @@ def _calibrate(model: Model, logits: np.ndarray, y: np.ndarray) -> None:
     losses = [-np.log(np.clip(soft(t)[np.arange(len(y)), y], 1e-9, 1)).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(losses))])
     best = soft(model.temperature).max(axis=1)
-    model.threshold = float(min(0.5, 0.5 * np.quantile(best, 0.002)))
+    model.threshold = float(min(0.4, 0.5 * np.quantile(best, 0.002)))
 
 
 def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
