@@ -64,8 +64,8 @@ def test_classes_equal_all_pairs(spark, monkeypatch, rows, pivots, copies):
     monkeypatch.setattr(jaccard, "REGION_ROWS", rows)
     monkeypatch.setattr(jaccard, "PIVOTS", pivots)
     monkeypatch.setattr(jaccard, "MOST_COPIES", copies)
-    monkeypatch.setattr(jaccard, "LEVELS", 2)
-    data = corpus(rows + copies)
+    monkeypatch.setattr(jaccard, "LEVELS", 2 if copies else 1)
+    data = corpus(rows + copies, 150 if rows > 100 else 60)
     got = jaccard.jaccard_classes(spark.createDataFrame(data, "doc_id long, text string").repartition(5), sketch_bits=8)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute.classes(data)
 
@@ -86,7 +86,7 @@ def test_region_join_equals_all_pairs():
 
 
 def test_components_of_long_chains(spark):
-    n = 500
+    n = 60
     edges = [(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1000), (7, 7)]
     got = jaccard.components(spark.createDataFrame(edges, "a long, b long"))
     labels = {r.x: r.component for r in got.collect()}
