@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -13,6 +14,9 @@ from ..operators.drift import psi_report
 from ..session import shared_dir
 from ..sources.tables import routed
 
+#: Folders of closing rows start so; a closing row is later than any reading or decision.
+CLOSING, CLOSING_DDL, CLOSED = "closing-", "closing_ts timestamp", "9999-01-01"
+
 
 def session_stream(alerts: DataFrame, gap: str = "30 minutes", late: str = "30 minutes") -> DataFrame:
     """Sessions of a live alert stream; alerts exactly one gap apart stay together."""
@@ -46,19 +50,39 @@ def unseen(recs: DataFrame, late: str = "1 day", id_column: str = "id") -> DataF
     return recs.withWatermark("ts", late).dropDuplicatesWithinWatermark([id_column])
 
 
+def _closing(spark: SparkSession) -> str:
+    """An empty folder of closing rows; `run_to_parquet` fills it once the streams that read it have run dry."""
+    path = f"{shared_dir(spark)}/{CLOSING}{uuid.uuid4().hex}"
+    spark.createDataFrame([], CLOSING_DDL).write.parquet(path)
+    return path
+
+
+def _closed_by(stream: DataFrame, path: str, ts: str, keys: Sequence[str]) -> DataFrame:
+    """The stream with the closing row of a folder; its keys are not null, as joins filter nulls before the watermark."""
+    rows = stream.sparkSession.readStream.schema(CLOSING_DDL).parquet(path).withColumnRenamed("closing_ts", ts)
+    rows = rows.withColumns({k: F.lit(0).cast(stream.schema[k].dataType) for k in keys})
+    return stream.unionByName(rows, allowMissingColumns=True)
+
+
 def deferred_outcomes(decisions: DataFrame, readings: DataFrame, reach: str = "5 minutes",
                       late: str = "10 minutes") -> DataFrame:
-    """Predicted against actual once event time has passed each decision's due time.
+    """Predicted against actual, one row per decision, once event time has passed its due time and `reach`.
 
     `decisions`: id, asset, tag, due_ts, predicted.  The nearest reading within `reach`
-    counts, the earlier one on a tie.
+    counts, the earlier one on a tie; `actual` is null where there is none.  `run_to_parquet` ends event time
+    after the last row, so decisions still waiting then are put out as well.
     """
-    d = decisions.withWatermark("due_ts", late)
-    r = readings.select(F.col("asset").alias("r_asset"), F.col("tag").alias("r_tag"), F.col("ts").alias("r_ts"),
-                        "value").withWatermark("r_ts", late)
+    r = readings.select(F.col("asset").alias("r_asset"), F.col("tag").alias("r_tag"), F.col("ts").alias("r_ts"), "value")
+    d = decisions
+    if d.isStreaming and r.isStreaming:
+        path = _closing(d.sparkSession)
+        d, r = _closed_by(d, path, "due_ts", ["asset", "tag"]), _closed_by(r, path, "r_ts", ["r_asset", "r_tag"])
+    # a condition on the event time itself, so that the closing row passes the watermark first
+    d = d.withWatermark("due_ts", late).filter(F.col("due_ts") < F.lit(CLOSED).cast("timestamp"))
+    r = r.withWatermark("r_ts", late)
     span = F.expr(f"INTERVAL {reach}")
     j = d.join(r, (F.col("asset") == F.col("r_asset")) & (F.col("tag") == F.col("r_tag"))
-               & (F.col("r_ts") >= F.col("due_ts") - span) & (F.col("r_ts") <= F.col("due_ts") + span))
+               & (F.col("r_ts") >= F.col("due_ts") - span) & (F.col("r_ts") <= F.col("due_ts") + span), "left_outer")
     gap = F.abs(F.unix_micros("r_ts") - F.unix_micros("due_ts"))
     return (j.groupBy("id", "asset", "tag", F.window("due_ts", "1 second").alias("w"))
             .agg(F.first("predicted").alias("predicted"),
@@ -108,17 +132,30 @@ def emitted_between(events: DataFrame, start, end, ts: str = "ts") -> DataFrame:
 def run_to_parquet(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything available into the shared folder and read the result.
 
-    In complete mode every batch replaces the result, so the last one remains.
+    In complete mode every batch replaces the result, so the last one remains.  A stream with closing rows runs
+    on from its state with them, which puts out what still waits for later event times.
     """
     spark: SparkSession = stream.sparkSession
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     out = f"{base}/out"
-    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-    if mode == "append":
-        w = w.format("parquet").option("path", out)
-    else:
-        w = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
-    w.start().awaitTermination()
+
+    def run():
+        w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+        if mode == "append":
+            w = w.format("parquet").option("path", out)
+        else:
+            w = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+        q = w.start()
+        q.awaitTermination()
+        return q
+
+    last = run().lastProgress
+    sources = [re.search(rf"\[(.*/{CLOSING}[0-9a-f]+)\]", x["description"]) for x in (last or {"sources": []})["sources"]]
+    folders = {m[1] for m in sources if m}
+    for folder in folders:
+        spark.sql(f"SELECT timestamp'{CLOSED}' AS closing_ts").write.mode("append").parquet(folder)
+    if folders:
+        run()
     return spark.read.schema(stream.schema).parquet(out)
 
 

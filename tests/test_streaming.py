@@ -1,5 +1,6 @@
 """Streams over several micro-batches give the batch answer."""
 
+import os
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -112,6 +113,49 @@ def test_deferred_outcomes(spark, feed):
     assert all(r.actual == pytest.approx(want[r.id]) for r in got)
 
 
+def test_every_decision_has_its_outcome(spark, tmp_path):
+    """Sparse readings, ties, and decisions due near and after the end of the stream."""
+    t0, minute = datetime(2026, 1, 1), timedelta(minutes=1)
+    reads = [("a", "x", t0 + m * minute, float(m)) for m in (0, 3, 7, 40, 42, 90, 118)]
+    due = [(f"d{m}", "a", "x", t0 + m * minute, 10.0) for m in (0, 5, 20, 38, 41, 60, 89, 113, 119, 121, 130, 500)]
+    due += [("other", "b", "x", t0 + 5 * minute, 10.0), ("none", "a", None, t0 + 5 * minute, 10.0)]
+    ddl = {"r": "asset string, tag string, ts timestamp, value double",
+           "d": "id string, asset string, tag string, due_ts timestamp, predicted double"}
+    streams, static = {}, {}
+    for k, rows in (("r", reads), ("d", sorted(due, key=lambda x: x[3]))):
+        static[k] = spark.createDataFrame(rows, ddl[k])
+        for part in np.array_split(np.arange(len(rows)), 3):
+            spark.createDataFrame([rows[i] for i in part], ddl[k]).coalesce(1).write.mode("append").parquet(str(tmp_path / k))
+        streams[k] = spark.readStream.schema(ddl[k]).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / k))
+    want = {}
+    for i, asset, tag, ts, _ in due:
+        near = [(abs(t - ts), t, v) for a, g, t, v in reads if (a, g) == (asset, tag) and abs(t - ts) <= 5 * minute]
+        want[i] = min(near)[2] if near else None
+    assert want["d5"] == 3.0 and want["d20"] is None and want["d121"] == 118.0
+    rows = lambda d: sorted((tuple(r) for r in d.select("id", "asset", "tag", "predicted", "actual", "dev_pct", "within").collect()), key=str)
+    got = rows(live.run_to_parquet(live.deferred_outcomes(streams["d"], streams["r"], "5 minutes", "10 minutes"), "o"))
+    assert {r[0]: r[4] for r in got} == want and len(got) == len(want)
+    assert got == rows(live.deferred_outcomes(static["d"], static["r"], "5 minutes", "10 minutes"))
+
+
+def test_deferred_outcomes_query_answers_all(spark):
+    import __spark_entry__ as entry
+    from plantwave.catalog.registry import user_readings
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    e = user_readings(spark, sf).select("asset", "tag", "ts", "value").toPandas()
+    want = {}
+    for a, ts in e[e.tag == "error"][["asset", "ts"]].itertuples(index=False):
+        x = e[(e.asset == a) & (e.tag == "purchase")]
+        due = ts + pd.Timedelta(days=1)
+        gap = (x.ts - due).abs()
+        near = sorted(zip(gap[gap <= pd.Timedelta(days=1)], x.ts[gap <= pd.Timedelta(days=1)], x.value[gap <= pd.Timedelta(days=1)]))
+        want[f"{a}|{ts.value // 1000}"] = near[0][2] if near else None
+    got = entry.queries()["stream_deferred_outcomes"](spark, sf).collect()
+    assert len(got) == len(want) and {r.id: r.actual for r in got} == want
+
+
 def test_foreach_batch_bodies(spark, feed):
     static, stream = feed
     store, bodies = {}, []
