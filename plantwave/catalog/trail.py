@@ -349,26 +349,41 @@ rk AS (SELECT *, 0 AS rank FROM f0 UNION ALL SELECT *, 1 FROM f1)"""
 
 @query("pareto_ranks", f"WITH {RANK_SQL} SELECT id, rank FROM rk UNION ALL SELECT id, NULL FROM c WHERE id NOT IN (SELECT id FROM rk)")
 def _(spark, sf):
+    """As its SQL: the first two fronts, null beyond them; `pareto_ranks_all` ranks every customer."""
     return pareto.pareto_ranks(customers(spark, sf), OBJ, "id", 1).select("id", "rank")
 
 
+@query("pareto_ranks_all")
+def _(spark, sf):
+    return pareto.pareto_ranks(customers(spark, sf), OBJ, "id").select("id", "rank")
+
+
 def _axis(col):
     return f"""SELECT rank, id, CASE WHEN lag({col}) OVER w IS NULL OR lead({col}) OVER w IS NULL THEN 1e300 WHEN max({col}) OVER p > min({col}) OVER p
  THEN (lead({col}) OVER w - lag({col}) OVER w) / (max({col}) OVER p - min({col}) OVER p) ELSE 0 END AS d FROM sg WINDOW w AS (PARTITION BY rank ORDER BY {col}, id), p AS (PARTITION BY rank)"""
 
 
+def _crowding(ranks):
+    c = pareto.crowding(ranks.filter("rank IS NOT NULL"), OBJ, "id")
+    return c.select("rank", "id", F.when(F.col("crowding") == float("inf"), -1.0).otherwise(r6("crowding")).alias("crowding"))
+
+
 @query("crowding_distance", f"""WITH {RANK_SQL}, sg AS (SELECT rank, id, -spend AS s, n_orders, urgent FROM rk), ax AS ({_axis('s')} UNION ALL {_axis('n_orders')} UNION ALL {_axis('urgent')})
 SELECT rank, id, round(CASE WHEN max(d) > 1e299 THEN -1 ELSE sum(d) END, 6) AS crowding FROM ax GROUP BY ALL""")
 def _(spark, sf):
-    d = pareto.pareto_ranks(customers(spark, sf), OBJ, "id", 1).filter("rank IS NOT NULL")
-    c = pareto.crowding(d, OBJ, "id")
-    return c.select("rank", "id", F.when(F.col("crowding") == float("inf"), -1.0).otherwise(r6("crowding")).alias("crowding"))
+    """As its SQL: the first two fronts; `crowding_distance_all` covers every customer."""
+    return _crowding(pareto.pareto_ranks(customers(spark, sf), OBJ, "id", 1))
+
+
+@query("crowding_distance_all")
+def _(spark, sf):
+    return _crowding(pareto.pareto_ranks(customers(spark, sf), OBJ, "id"))
 
 
 @query("select_by_rank", f"""WITH {RANK_SQL}, sg AS (SELECT rank, id, -spend AS s, n_orders, urgent FROM rk), ax AS ({_axis('s')} UNION ALL {_axis('n_orders')} UNION ALL {_axis('urgent')}),
 z AS (SELECT rank, id, CASE WHEN max(d) > 1e299 THEN 1e300 ELSE round(sum(d), 9) END AS crowding FROM ax GROUP BY ALL) SELECT rank, id FROM z ORDER BY rank, crowding DESC, id LIMIT 10""")
 def _(spark, sf):
-    d = pareto.pareto_ranks(customers(spark, sf), OBJ, "id", 1).filter("rank IS NOT NULL")
+    d = pareto.pareto_ranks(customers(spark, sf), OBJ, "id", at_least=10).filter("rank IS NOT NULL")
     c = pareto.crowding(d, OBJ, "id").withColumn("crowding", F.when(F.col("crowding") == float("inf"), F.col("crowding")).otherwise(F.round("crowding", 9)))
     return pareto.select_best(c, 10, "id").select("rank", "id")
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from plantwave.catalog import trail
 from plantwave.functions.ids import stable_id
 from plantwave.operators import drift, history, learn, pareto, rules
@@ -51,6 +52,19 @@ def test_all_ranks(spark):
     assert some.count() == 2
 
 
+def test_registered_ranks_reach_every_customer(spark, tmp_path):
+    """Six fronts of two customers: more orders for more money, and less of it front by front."""
+    rows = [(10 * f + n, 100.0 * n - f, "5-LOW") for f in range(6) for n in (1, 2) for _ in range(n)]
+    spark.createDataFrame(rows, "o_custkey long, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    q = entry.queries()
+    want = sorted((10 * f + n, f) for f in range(6) for n in (1, 2))
+    assert sorted(map(tuple, q["pareto_ranks_all"](spark, str(tmp_path)).collect())) == want
+    got = q["crowding_distance_all"](spark, str(tmp_path)).collect()
+    assert sorted((r.id, r["rank"]) for r in got) == want and {r.crowding for r in got} == {-1.0}
+    got = q["select_by_rank"](spark, str(tmp_path)).collect()
+    assert sorted((r.id, r["rank"]) for r in got) == [w for w in want if w[1] < 5]
+
+
 def test_every_rule_fires(spark):
     ctx = trail.rule_context(spark, "/root/testdata/sf0.01")
     for pack, n in ((rules.PILOT_RULES, 10), (rules.BATCH_RULES, 3)):
