@@ -18,6 +18,10 @@ import numpy as np
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 FORMATTING = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span "
                  "strike strong sub sup time tt u var".split())
+MATH = set("math maction annotation annotation-xml menclose merror mfenced mfrac mglyph mi mlabeledtr mmultiscripts mn mo mover "
+           "mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder "
+           "munderover none semantics".split())
+FORMATTING |= MATH
 ENDS_PARAGRAPH = set("address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 "
                      "h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -27,11 +31,13 @@ SCOPE = {"ul", "ol", "dl", "table", "select", "article", "section", "div", "body
 TEXT_BLOCKS = set("p li h1 h2 h3 h4 h5 h6 td th dt dd blockquote pre figcaption caption summary title button option label".split())
 CONTROLS = {"input", "button", "select", "textarea"}
 
+_RUN = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?/](?![a-zA-Z])[^>]*(?:>|\Z)"
-    r"|<(script|style|template|svg|math|iframe|noscript|textarea|select|object|canvas|audio|video)\b"
-    r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S | re.I)
+    rf"|<svg(?=[\s/>]){_RUN}(?<=/)>"
+    r"|<(script|style|template|svg|iframe|noscript|textarea|select|object|canvas|audio|video)(?=[\s/>]|\Z)"
+    rf"{_RUN}(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_RUN})(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -61,7 +67,7 @@ def _tokens(attributes: str) -> tuple[str, ...]:
     found = []
     for m in _ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
-        found += [w.lower() for w in _WORD.findall(value[:200])]
+        found += [w.lower() for w in _WORD.findall(value)]
     return tuple(dict.fromkeys(found))
 
 

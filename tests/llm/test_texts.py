@@ -143,6 +143,26 @@ def test_given_pages_whole(spark):
         assert row.text == " ".join(p for p in parts if p) and row.n_chars == len(row.text)
 
 
+def runs(html):
+    return [text for _, text in dom.read_pages([html]).runs]
+
+
+@pytest.mark.parametrize("tag, said", [
+    ("<svg-icon name='x'></svg-icon>", []), ("<video-player src=a></video-player>", []), ("<audio-player></audio-player>", []),
+    ("<svg width='1' />", []), ("<svg/>", []), ("<math/>", []), ("<math />", []), ("<svg><text>no</text></svg>", []),
+    ("<video src=a>no</video>", []), ("<math><mi>x</mi><mo>+</mo><mn>1</mn></math>", ["x+1"])])
+def test_tags_end_where_they_end(page_model, tag, said):
+    body = f"<body>{tag}<article><p>River and stone. Paper light.</p></article></body>"
+    assert runs(body) == [*said, "River and stone. Paper light."]
+    assert page_model.extract([body])[0].endswith("River and stone. Paper light.")
+
+
+def test_math_and_long_names_are_read(page_model):
+    page = "<article><p>River of <math><mi>x</mi><mo>+</mo><mn>1</mn></math> stones.</p></article>"
+    assert page_model.extract([page]) == ["River of x+1 stones."]
+    assert dom.read_pages([f'<div class="{"a1 " * 100} sidebar">x</div>']).tokens[1][-1] == "sidebar"
+
+
 def test_choices_never_contradict(page_model):
     nodes = dom.read_pages([PAGE, "", None, "<p>only", "<div>" * 300 + "deep" + "</p>" * 5, "<a b='", "text & more"])
     keep = dom.decode(nodes, np.random.default_rng(0).normal(size=len(nodes.tag)))
