@@ -1,8 +1,8 @@
 """Web pages as trees of blocks with their text runs, and block features over whole batches.
 
 A page is read leniently, as browsers do: unclosed and stray tags, unfinished tags at the end, unquoted
-attributes.  Formatting tags (`b`, `a`, `span`, …) make no block of their own unless they carry a class, an id or
-a role.  A run is the text between two block borders: character references decoded, white space made one
+attributes.  Formatting tags (`b`, `a`, `span`, …) make no block of their own; the names they carry count for the
+block of their text.  A run is the text between two block borders: character references decoded, white space made one
 space, trimmed.
 """
 
@@ -38,7 +38,8 @@ _TOKEN = re.compile(
     r"|<(script|style|template|svg|iframe|noscript|textarea|select|object|canvas|audio|video)(?=[\s/>]|\Z)"
     rf"{_RUN}(?:>.*?(?:</\1\s*>|\Z)|\Z)"
     rf"|<(/?)([a-zA-Z][^\s/>]*)({_RUN})(?:>|\Z)", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])([^\s=\"'>/]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))")
+_NAMING = {"class", "id", "role", "itemprop", "aria-label"}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -66,6 +67,8 @@ def _tokens(attributes: str) -> tuple[str, ...]:
         return ()
     found = []
     for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() not in _NAMING:
+            continue
         value = m[2] or m[3] or m[4] or ""
         found += [w.lower() for w in _WORD.findall(value)]
     return tuple(dict.fromkeys(found))
@@ -92,15 +95,18 @@ def add_page(nodes: Nodes, html: str | None) -> None:
     nodes.roots.append(root)
     stack = [block("#root", (), -1)]
     parts: list[str] = []
-    links = linked = 0
+    inline: list[tuple[str, tuple[str, ...]]] = []
+    named: dict[str, None] = {}
+    links = linked = told = 0
 
     def flush():
-        nonlocal linked
+        nonlocal linked, told
         if not parts:
             return
         words = "".join(parts).split()
-        parts.clear()
-        linked, in_links = 0, linked
+        names = dict(named)
+        parts.clear(), named.clear()
+        linked, told, in_links = 0, 0, linked
         if not words:
             return
         text = " ".join(words)
@@ -108,6 +114,8 @@ def add_page(nodes: Nodes, html: str | None) -> None:
         if nodes.tag[at] not in TEXT_BLOCKS:
             at = block("#run", (), at)
             nodes.end[at] = at + 1
+        if names:
+            nodes.tokens[at] = tuple(dict.fromkeys([*nodes.tokens[at], *names]))
         nodes.runs.append((at, text))
         nodes.chars[at] += len(text)
         nodes.link_chars[at] += min(in_links, len(text))
@@ -115,17 +123,21 @@ def add_page(nodes: Nodes, html: str | None) -> None:
         nodes.stops[at] += text.count(".") + text.count(",") + text.count("!") + text.count("?")
 
     def close(down_to: int):
-        nonlocal links
+        nonlocal links, told
         flush()
-        links = 0
+        links = told = 0
+        inline.clear()
         while len(stack) > down_to:
             nodes.end[stack.pop()] = len(nodes.tag)
 
     def say(raw: str):
-        nonlocal linked
+        nonlocal linked, told
         if "&" in raw:
             raw = references.unescape(raw)
         parts.append(raw)
+        if len(inline) > told and not raw.isspace():
+            named.update(dict.fromkeys(t for _, tokens in inline[told:] for t in tokens))
+            told = len(inline)
         if links:
             linked += len(raw)
 
@@ -143,14 +155,19 @@ def add_page(nodes: Nodes, html: str | None) -> None:
         if m[2]:
             if tag == "a":
                 links = max(0, links - 1)
+            if tag in FORMATTING:
+                for k in range(len(inline) - 1, -1, -1):
+                    if inline[k][0] == tag:
+                        del inline[k]
+                        told -= k < told
+                        break
+                continue
             if tag in ("br", "p") and tag not in [nodes.tag[i] for i in stack[-3:]]:
                 parts.append(" ")
             for k in range(len(stack) - 1, 0, -1):
                 if nodes.tag[stack[k]] == tag:
                     close(k)
                     break
-                if tag in FORMATTING and nodes.tag[stack[k]] not in FORMATTING:
-                    break
             continue
         tokens = _tokens(m[4])
         if tag in VOID:
@@ -159,16 +176,16 @@ def add_page(nodes: Nodes, html: str | None) -> None:
             if tag in ("br", "hr"):
                 parts.append(" ")
             continue
-        if tag in FORMATTING and not tokens:
+        if tag in FORMATTING:
             links += tag == "a"
+            if tokens:
+                inline.append((tag, tokens))
             continue
         if tag in ENDS_PARAGRAPH:
             for k in range(len(stack) - 1, 0, -1):
                 if nodes.tag[stack[k]] == "p":
                     close(k)
-                    break
-                if nodes.tag[stack[k]] not in FORMATTING:
-                    break
+                break
         if tag in CLOSES:
             for k in range(len(stack) - 1, 0, -1):
                 if nodes.tag[stack[k]] in CLOSES[tag]:
@@ -178,13 +195,9 @@ def add_page(nodes: Nodes, html: str | None) -> None:
                     break
         if tag in ("html", "body") and any(nodes.tag[i] == tag for i in stack):
             continue
-        if not (tag in FORMATTING and not any(p.strip() for p in parts)):
-            flush()
-        elif tag in FORMATTING:
-            flush()
+        flush()
         new = block(tag, tokens, stack[-1])
         stack.append(new)
-        links += tag == "a"
         nodes.controls[new] += tag in CONTROLS
     if at < len(html):
         say(html[at:])

@@ -39,6 +39,8 @@ NOISE = {
     "footer": "footer site-footer bottom copyright legal colophon page-footer".split(),
     "share": "share social sharing social-links follow byline-links tags meta tools".split(),
 }
+#: Names of links and spans inside running text, in articles and around them.
+INLINE = "ref link external tag label highlight name term note tooltip mention keyword text date author count icon title".split()
 SEMANTIC = {"menu": "nav", "header": "header", "sidebar": "aside", "form": "form", "footer": "footer"}
 
 
@@ -66,6 +68,18 @@ class _Layout:
             k = int(self.rng.integers(len(a)))
             a[k] = f"{self.pick(['<b>', '<em>', '<a href=/x>', '<span>'])}{a[k]}{self.pick(['</b>', '</em>', '</a>', '</span>'])}"
             text = " ".join(a)
+        return self.marked(text, 0.3)
+
+    def marked(self, text: str, share: float) -> str:
+        """Some words of the text in a link or span with a class or id."""
+        if self.rng.random() < share:
+            a = text.split(" ")
+            for _ in range(int(self.rng.integers(1, 4))):
+                k, tag = int(self.rng.integers(len(a))), self.pick(["a", "a", "span", "span", "em", "b"])
+                name = self.pick(INLINE) if self.rng.random() < 0.8 else self.pick(NOISE[self.pick(list(NOISE))])
+                href = " href=/x?id=1" if tag == "a" else ""
+                a[k] = f'<{tag}{href} {self.pick(["class", "class", "id"])}="{name}">{a[k]}</{tag}>'
+            text = " ".join(a)
         return text
 
     def named(self, names, semantic: str | None = None) -> tuple[str, str]:
@@ -114,7 +128,7 @@ class _Layout:
                                self.listing(int(r.integers(3, 8))) + f"<p>{self.sentence(3, 12)}</p>", self.sentence(3, 40)])
         else:
             inner = self.listing(int(r.integers(2, 6)))
-        return start + inner + end
+        return start + re.sub(r"<p>([^<]+)", lambda m: "<p>" + self.marked(m[1], 0.3), inner) + end
 
     def article(self) -> str:
         r, out = self.rng, []

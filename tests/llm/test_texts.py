@@ -163,6 +163,19 @@ def test_math_and_long_names_are_read(page_model):
     assert dom.read_pages([f'<div class="{"a1 " * 100} sidebar">x</div>']).tokens[1][-1] == "sidebar"
 
 
+def test_inline_tags_stay_in_their_paragraph(page_model):
+    said = 'see <a class="ref" href="/x">here</a>, wo<span class=x>rd</span> and <a href="/y?id=nav">the <b id=k>other</b></a> one.'
+    assert runs(f"<article><p>{said}</p></article>") == ["see here, word and the other one."]
+    long = "River and stone, paper light under the walk. " * 3
+    for tag in ('a href=/x class="ref"', 'span class="highlight"', 'em id="share"', 'a href="/p?role=menu"', "b class=ad"):
+        page = f"<nav><a class=menu href=/>Home</a></nav><article><h1>Walk</h1><p>{long}<{tag}>green</{tag.split()[0]}>, house.</p></article>"
+        assert page_model.extract([page]) == [f"Walk {long}green, house."]
+    nodes = dom.read_pages(['<p class="lead">one <a class="ref" href="/?id=nav">two</a> <i class="icon"></i></p>'])
+    assert nodes.tag == ["#root", "p"] and nodes.tokens[1] == ("lead", "ref")
+    laid = pages._Layout(np.random.default_rng(0), ["word"])
+    assert any("<span class=" in laid.prose(5, 9) for _ in range(200))
+
+
 def test_choices_never_contradict(page_model):
     nodes = dom.read_pages([PAGE, "", None, "<p>only", "<div>" * 300 + "deep" + "</p>" * 5, "<a b='", "text & more"])
     keep = dom.decode(nodes, np.random.default_rng(0).normal(size=len(nodes.tag)))
