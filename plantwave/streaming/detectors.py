@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.recurrences import Cooldown, Cusum, Ewma
@@ -15,6 +16,8 @@ from ..session import ROCKSDB
 
 OUT_DDL = ("asset STRING, tag STRING, ts TIMESTAMP, detector STRING, value DOUBLE, lim DOUBLE, side STRING, "
            "deviation DOUBLE")
+#: In place of a detector, on rows whose value counts readings of a micro-batch that no detector judged.
+LATE, UNKNOWN = "Dropped.Late", "Dropped.NoBaseline"
 STATE_DDL = ("last_us LONG, ewma ARRAY<DOUBLE>, cusum ARRAY<DOUBLE>, fired_shewhart ARRAY<DOUBLE>, "
              "fired_ewma ARRAY<DOUBLE>, fired_cusum ARRAY<DOUBLE>, fired_frozen ARRAY<DOUBLE>, "
              "ring ARRAY<DOUBLE>, dropped LONG")
@@ -24,7 +27,8 @@ class ChartProcessor(StatefulProcessor):
     """Shewhart, EWMA, CUSUM and frozen checks with cooldown.
 
     Rows of a batch are put in time order first, equal times by value; rows older than the last one
-    seen are counted and dropped.  Each input row carries its series' parameters.
+    seen are dropped and put out as a count, as are those of a series without a baseline.  Each input row carries
+    its series' parameters.
     """
 
     def __init__(self, frozen_rows: int = 20, min_std: float = 1e-4, lam: float = 0.2):
@@ -41,12 +45,17 @@ class ChartProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).dropna(subset=["value"]).sort_values(["ts", "value"], kind="stable")
+        if not len(pdf):
+            return
+        if not pdf["has_baseline"].iloc[0]:
+            yield self._count(pdf, UNKNOWN)
+            return
         last, ewma, cusum, f_sh, f_ew, f_cu, f_fr, ring, dropped = self._load()
         us = pdf["ts"].astype("datetime64[us]").astype("int64")
         fresh = us >= (last if last is not None else -(1 << 62))
         dropped = int(dropped or 0) + int((~fresh).sum())
+        out = [] if fresh.all() else [self._count(pdf[~fresh], LATE)]
         pdf = pdf[fresh].assign(_us=us[fresh])
-        out = []
         if len(pdf):
             last = int(pdf["_us"].iloc[-1])
             x, p = pdf["value"].to_numpy(float), pdf.iloc[0]
@@ -77,6 +86,12 @@ class ChartProcessor(StatefulProcessor):
         if out:
             yield pd.concat(out)
 
+    @staticmethod
+    def _count(rows, name):
+        first = rows.iloc[0]
+        return pd.DataFrame({"asset": [first["asset"]], "tag": [first["tag"]], "ts": [rows["ts"].max()], "detector": [name],
+                             "value": [float(len(rows))], "lim": [np.nan], "side": [None], "deviation": [np.nan]})
+
     @staticmethod
     def _emit(out, name, hit, value, upper, lower, sigma, p, cooldown_s, fired):
         if not len(hit):
@@ -141,14 +156,19 @@ def _stateful(stream: DataFrame, processor: StatefulProcessor, ddl: str) -> Data
 
 
 def chart_stream(readings: DataFrame, baseline: DataFrame, frozen_rows: int = 20) -> DataFrame:
-    """Alerts of a stream of readings against static per-(asset, tag) limits."""
+    """Alerts of a stream of readings against static per-(asset, tag) limits, and counts of what was not judged.
+
+    Rows of detector `LATE` and `UNKNOWN` hold such counts, one per series and micro-batch at most; their sums
+    and the judged readings add up to all readings that have a value.
+    """
     params = baseline.select("asset", "tag", "mean", "sigma", "ucl", "lcl", "ewma_sigma", "ewma_ucl", "ewma_lcl")
-    d = readings.select("asset", "tag", "ts", "value").join(params, ["asset", "tag"])
+    d = readings.select("asset", "tag", "ts", "value").join(params.withColumn("has_baseline", F.lit(True)), ["asset", "tag"], "left")
+    d = d.withColumn("has_baseline", F.coalesce("has_baseline", F.lit(False)))
     return _stateful(d, ChartProcessor(frozen_rows), OUT_DDL)
 
 
 def without_baseline(readings: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Readings that `chart_stream` cannot judge, as their series has no baseline: to be counted or stored."""
+    """Readings that `chart_stream` only counts, as their series has no baseline: to be stored."""
     return readings.join(baseline.select("asset", "tag"), ["asset", "tag"], "left_anti")
 
 

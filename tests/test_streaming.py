@@ -66,6 +66,18 @@ def test_late_rows_are_dropped_by_charts(spark, tmp_path):
     assert sorted(r.ts.minute for r in out.filter("detector = 'SPC.Shewhart'").collect()) == [0, 20, 40]
 
 
+def test_charts_count_what_they_drop(spark, tmp_path):
+    base = charts.fit_baseline(spark.createDataFrame(make(), DDL).filter("tag = 'x'"), ["asset", "tag"])
+    t0 = datetime(2026, 1, 1)
+    for batch in ([("x", 0), ("x", 20), ("new", 0)], [("x", 10), ("x", 15), ("x", 40), ("new", 5), ("new", 6)]):
+        rows = [("a", "s", t0 + timedelta(minutes=m), tag, 0.0) for tag, m in batch]
+        spark.createDataFrame(rows, DDL).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    files = spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = live.run_to_parquet(detectors.chart_stream(files, base), "counts").groupBy("tag", "detector").agg(F.sum("value"))
+    assert sorted(map(tuple, out.collect())) == [("new", detectors.UNKNOWN, 3.0), ("x", detectors.LATE, 2.0)]
+    assert detectors.without_baseline(spark.read.parquet(str(tmp_path / "in")), base).count() == 3
+
+
 def test_sessions_match_batch(spark, feed):
     static, stream = feed
     a = lambda d: d.filter("value > 2").withColumn("detector", F.lit("D")).withColumn("severity", F.lit("low"))
