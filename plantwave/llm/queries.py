@@ -97,3 +97,11 @@ def op3(spark, sf):
     from . import pages
     html = table(spark, sf, "pages")
     return pages.main_text(html, pages.learn(html))
+
+
+@query("op11_byte_pair_cover")
+def op11(spark, sf):
+    import public_tokenizers
+    from . import bytepairs
+    return bytepairs.digests(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"),
+                             public_tokenizers.PATTERN)
