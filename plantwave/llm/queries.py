@@ -105,3 +105,9 @@ def op11(spark, sf):
     from . import bytepairs
     return bytepairs.digests(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"),
                              public_tokenizers.PATTERN)
+
+
+@query("op13_spelling_groups")
+def op13(spark, sf):
+    from . import spelling
+    return spelling.spelling_groups(table(spark, sf, "documents"))
