@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, topk
+from . import balltree, chat, jaccard, mixing, topk
 from .common import crc_mod, short_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op11(spark, sf):
 def op13(spark, sf):
     from . import spelling
     return spelling.spelling_groups(table(spark, sf, "documents"))
+
+
+@query("op12_ball_tree_search", balltree.SQL)
+def op12(spark, sf):
+    return balltree.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
