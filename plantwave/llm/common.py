@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 from uuid import uuid4
 
 import numpy as np
@@ -47,6 +50,27 @@ def row_batches(batches: Iterable[pa.RecordBatch], text: str,
             yield batch.slice(start, end - start)
 
 
+def give_back() -> None:
+    """Return freed memory of this worker process to the system.
+
+    Workers outlive tasks, and several wait on one machine; what they hold on to is memory others lack.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(work: Callable) -> Callable:
+    """A function over batches that gives memory back when its task's batches are through."""
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+    return run
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -14,14 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, free, row_batches, spread_sample
+from .common import fields, free, row_batches, spread_sample, tidy
 
-#: Rows the model is trained on, about, and the longest text among them.
+#: Rows the model is trained on, about, and code points of one text: of a longer one, as many in even pieces from its
+#: first to its last.
 TRAIN_ROWS = 3_000
 TRAIN_CHARS = 100_000
+TRAIN_PIECES = 20
 SLOTS = 1 << 15
 WIDTH = 16
 UNKNOWN = "und"
@@ -133,11 +135,23 @@ def _calibrate(model: Model, logits: np.ndarray, y: np.ndarray) -> None:
     model.threshold = float(min(0.4, 0.5 * np.quantile(best, 0.002)))
 
 
-def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Train on about `train_rows` rows of `(doc_id, text, lang)` that have a language and a letter."""
+def bounded(text: Column, chars: int, pieces: int = TRAIN_PIECES) -> Column:
+    """The text, or `pieces` even pieces of it, `chars` code points in all, spread from its start to its end."""
+    size, length = max(1, chars // pieces), F.length(text)
+    some = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(
+        text, F.floor(i * (length - size) / F.lit(pieces - 1)).cast("int") + 1, F.lit(size)))
+    return F.when(length > chars, F.array_join(some, " ")).otherwise(text)
+
+
+def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> Model:
+    """Train on about `train_rows` rows of `(doc_id, text, lang)` that have a language and a letter.
+
+    Repeated rows count once.  Without such rows, as in an empty table, the model knows no language and every text
+    is `und` with score 0.
+    """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
     some = spread_sample(usable.select("doc_id", "text", "lang"), F.col("doc_id"), train_rows, 3)
-    some = some.filter(F.length("text") <= TRAIN_CHARS).distinct().collect()
+    some = some.withColumn("text", bounded(F.col("text"), train_chars)).distinct().collect()
     some = sorted((r.doc_id or 0, r.text, r.lang) for r in some if _LETTER.search(r.text))
     return train([t for _, t, _ in some], [k for _, _, k in some])
 
@@ -159,4 +173,4 @@ def with_language(docs: DataFrame, model: Model, names=("lang_pred", "score", "a
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *new], [*kept, *names])
 
     return rows.withColumn(text, F.col("text").cast("string")).mapInArrow(
-        work, f"{fields(rows)}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
+        tidy(work), f"{fields(rows)}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")

@@ -22,6 +22,8 @@ from .common import row_batches, spread_sample
 
 #: Pages whose words fill the training pages, about, and the number of those.
 SAMPLE_ROWS = 150
+#: Words of those pages that are used, about; beyond it a hash of the word chooses.
+SAMPLE_WORDS = 20_000
 TRAIN_PAGES = 260
 #: In training pages a run of article text starts with this private character.
 _SIGN = "\ue000"
@@ -228,13 +230,12 @@ def train(words: list[str], pages: int = TRAIN_PAGES, seed: int = 17) -> Model:
     return Model(tags, tokens, trees.fit(x, wanted.astype(float), rounds=40, depth=4, rate=0.25, weight=weight))
 
 
-def learn(pages: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model with words of about `sample_rows` pages; without any it uses a placeholder."""
+def learn(pages: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> Model:
+    """A model with about `sample_words` words of about `sample_rows` whole pages; without any it uses a placeholder."""
     some = spread_sample(pages.filter(F.col("html").isNotNull()).select("page_id", "html"), F.col("page_id"), sample_rows, 31)
-    words: set[str] = set()
-    for row in some.filter(F.length("html") < 200_000).collect():
-        words.update(re.findall(r"[^\W\d_]{1,20}", re.sub(r"<[^>]*>", " ", row.html)))
-    return train(sorted(words))
+    found = F.regexp_extract_all(F.regexp_replace("html", "<[^>]*>", " "), F.lit(r"\p{L}{1,20}"), F.lit(0))
+    words = some.select(F.explode(F.array_distinct(found)).alias("word")).distinct()
+    return train(sorted(r.word for r in spread_sample(words, F.col("word"), sample_words, 33).collect()))
 
 
 def main_text(pages: DataFrame, model: Model) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, fields, free, row_batches
+from .common import WordCache, fields, free, row_batches, tidy
 
 MARK = "▁"
 # piece types and model types of the file format
@@ -213,7 +213,7 @@ def with_pieces(docs: DataFrame, model_path: str, text_col: str = "text", ids_co
                                              [*names, ids_col])
 
     return rows.withColumn(text, F.col(text_col).cast("string")).mapInArrow(
-        work, f"{fields(rows)}, `{ids_col}` array<int>")
+        tidy(work), f"{fields(rows)}, `{ids_col}` array<int>")
 
 
 def _lists(used: Codec, packed: list[bytes]) -> pa.ListArray:
@@ -255,4 +255,4 @@ def encoded_documents(docs: DataFrame, model_path: str) -> DataFrame:
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(
-        work, "doc_id long, piece_ids array<int>, n_pieces long, ids_crc32 long, restored boolean")
+        tidy(work), "doc_id long, piece_ids array<int>, n_pieces long, ids_crc32 long, restored boolean")

@@ -321,3 +321,60 @@ def test_files_give_back_all_ids(spark, tmp_path):
 
 def test_free_names():
     assert common.free(["A", "_a", "b"], "a", "c") == ["__a", "c"]
+
+
+# --- long rows and control characters ----------------------------------------------------------------------
+
+def test_language_learns_from_long_texts_only(spark):
+    """Texts beyond the bound are learnt from in pieces of the whole text; a fixed slot count checks the mean."""
+    rows = documents(spark).filter("lang IS NOT NULL").groupBy("lang").agg(
+        F.min("doc_id").alias("doc_id"), F.array_join(F.collect_list("text"), " ").alias("text"))
+    model = langid.learn(rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(10)))).withColumn(
+        "text", F.concat("text", F.lit(" "), F.col("i").cast("string"))), train_chars=2000)
+    assert set(model.langs) == {"en", "de", "fr", "es"}
+    r = langid.with_language(documents(spark), model).toPandas().dropna(subset=["lang"])
+    assert (r.lang == r.lang_pred).mean() > 0.9
+
+
+def test_pieces_of_a_long_text_span_it(spark):
+    df = spark.createDataFrame([("".join(f"{i:05d}" for i in range(2000)),), ("short",), (None,)], "text string")
+    long, short, none = [r.t for r in df.select(langid.bounded(F.col("text"), 100, 5).alias("t")).collect()]
+    assert long.split() == ["".join(f"{i:05d}" for i in range(2000))[a:a + 20] for a in (0, 2495, 4990, 7485, 9980)]
+    assert short == "short" and none is None
+
+
+def test_mean_embedding_against_plain_counts():
+    """The mean over hashed subwords, one byte after another in Python."""
+    rng = np.random.default_rng(0)
+    table = rng.normal(size=(langid.SLOTS, 3))
+    for text in ("a", "Hallo Welt, 12 é!", "x" * 90, "The 3 büros\n"):
+        raw = f" {text.lower()} ".encode()
+        gap = [32 if b < 128 and not chr(b).isalpha() else b for b in raw]
+        total, count = np.zeros(3), 0
+        for k in (2, 3, 4):
+            for i in range(len(gap) - k + 1):
+                h = sum((gap[i + j] + 1) * int(langid._MULTIPLY[j]) for j in range(k)) & 0xFFFFFFFF
+                total += table[((h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> 17]
+                count += 1
+        got, n = langid._sums(table, text)
+        assert n == count and np.allclose(got, total)
+
+
+def test_words_of_long_pages_train_the_model(spark):
+    df = spark.createDataFrame([(1, "<p>" + "anfang " * 40_000 + "<i>ende</i></p>"), (2, None)], "page_id long, html string")
+    seen = []
+    import plantwave.llm.pages as module
+    kept, module.train = module.train, seen.append
+    try:
+        module.learn(df)
+    finally:
+        module.train = kept
+    assert seen == [["anfang", "ende"]]
+
+
+def test_any_role_reads_back(spark):
+    roles = ["us\x00er", "a\\b", "\\n", "\n\\", "<|x", "<\\|", "<\\\\|s\\s", "", "assistant", "\\s\\n\n<|im_end|>"]
+    rows = [(i, 0, r, "<|im_start|>t") for i, r in enumerate(roles)]
+    made = chat.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = made.select("conv_id", chat.parse(F.col("text")).alias("turns")).collect()
+    assert {r.conv_id: r.turns[0].role for r in got} == dict(enumerate(roles))
