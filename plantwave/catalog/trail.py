@@ -342,20 +342,20 @@ def _(spark, sf):
     return pareto.pareto_front(customers(spark, sf), OBJ).select("id", "n_orders", "urgent")
 
 
-RANK_SQL = f"""{CUST_SQL}, f0 AS MATERIALIZED (SELECT * FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE {DOM})),
-c1 AS MATERIALIZED (SELECT * FROM c WHERE id NOT IN (SELECT id FROM f0)), f1 AS MATERIALIZED (SELECT * FROM c1 a WHERE NOT EXISTS (SELECT 1 FROM c1 b WHERE {DOM})),
-rk AS (SELECT *, 0 AS rank FROM f0 UNION ALL SELECT *, 1 FROM f1)"""
+RANK_SQL = f"""{CUST_SQL}, lv AS (SELECT 0 AS rank, * FROM c
+ UNION ALL SELECT a.rank + 1, a.id, a.spend, a.n_orders, a.urgent FROM lv a WHERE EXISTS (SELECT 1 FROM lv b WHERE {DOM})),
+rk AS (SELECT max(rank) AS rank, id, spend, n_orders, urgent FROM lv GROUP BY ALL)"""
 
 
-@query("pareto_ranks", f"WITH {RANK_SQL} SELECT id, rank FROM rk UNION ALL SELECT id, NULL FROM c WHERE id NOT IN (SELECT id FROM rk)")
+@query("pareto_ranks", f"WITH RECURSIVE {RANK_SQL} SELECT id, rank FROM rk")
 def _(spark, sf):
-    """As its SQL: the first two fronts, null beyond them; `pareto_ranks_all` ranks every customer."""
-    return pareto.pareto_ranks(customers(spark, sf), OBJ, "id", 1).select("id", "rank")
+    return pareto.pareto_ranks(customers(spark, sf), OBJ, "id").select("id", "rank")
 
 
-@query("pareto_ranks_all")
+@query("pareto_ranks_all", f"WITH RECURSIVE {RANK_SQL} SELECT id, rank FROM rk")
 def _(spark, sf):
-    return pareto.pareto_ranks(customers(spark, sf), OBJ, "id").select("id", "rank")
+    """The same ranks in many small slices, each behind the staircases of those before it."""
+    return pareto.pareto_ranks(customers(spark, sf), OBJ, "id", slice_rows=300).select("id", "rank")
 
 
 def _axis(col):
@@ -363,24 +363,25 @@ def _axis(col):
  THEN (lead({col}) OVER w - lag({col}) OVER w) / (max({col}) OVER p - min({col}) OVER p) ELSE 0 END AS d FROM sg WINDOW w AS (PARTITION BY rank ORDER BY {col}, id), p AS (PARTITION BY rank)"""
 
 
-def _crowding(ranks):
-    c = pareto.crowding(ranks.filter("rank IS NOT NULL"), OBJ, "id")
+def _crowding(ranks, most=pareto.TARGET_ROWS):
+    c = pareto.crowding(ranks.filter("rank IS NOT NULL"), OBJ, "id", max_group_rows=most)
     return c.select("rank", "id", F.when(F.col("crowding") == float("inf"), -1.0).otherwise(r6("crowding")).alias("crowding"))
 
 
-@query("crowding_distance", f"""WITH {RANK_SQL}, sg AS (SELECT rank, id, -spend AS s, n_orders, urgent FROM rk), ax AS ({_axis('s')} UNION ALL {_axis('n_orders')} UNION ALL {_axis('urgent')})
+@query("crowding_distance", f"""WITH RECURSIVE {RANK_SQL}, sg AS (SELECT rank, id, -spend AS s, n_orders, urgent FROM rk), ax AS ({_axis('s')} UNION ALL {_axis('n_orders')} UNION ALL {_axis('urgent')})
 SELECT rank, id, round(CASE WHEN max(d) > 1e299 THEN -1 ELSE sum(d) END, 6) AS crowding FROM ax GROUP BY ALL""")
 def _(spark, sf):
-    """As its SQL: the first two fronts; `crowding_distance_all` covers every customer."""
-    return _crowding(pareto.pareto_ranks(customers(spark, sf), OBJ, "id", 1))
+    return _crowding(pareto.pareto_ranks(customers(spark, sf), OBJ, "id"))
 
 
-@query("crowding_distance_all")
+@query("crowding_distance_all", f"""WITH RECURSIVE {RANK_SQL}, sg AS (SELECT rank, id, -spend AS s, n_orders, urgent FROM rk), ax AS ({_axis('s')} UNION ALL {_axis('n_orders')} UNION ALL {_axis('urgent')})
+SELECT rank, id, round(CASE WHEN max(d) > 1e299 THEN -1 ELSE sum(d) END, 6) AS crowding FROM ax GROUP BY ALL""")
 def _(spark, sf):
-    return _crowding(pareto.pareto_ranks(customers(spark, sf), OBJ, "id"))
+    """The same distances with every front cut into value chunks that pass their border values on."""
+    return _crowding(pareto.pareto_ranks(customers(spark, sf), OBJ, "id"), 20)
 
 
-@query("select_by_rank", f"""WITH {RANK_SQL}, sg AS (SELECT rank, id, -spend AS s, n_orders, urgent FROM rk), ax AS ({_axis('s')} UNION ALL {_axis('n_orders')} UNION ALL {_axis('urgent')}),
+@query("select_by_rank", f"""WITH RECURSIVE {RANK_SQL}, sg AS (SELECT rank, id, -spend AS s, n_orders, urgent FROM rk), ax AS ({_axis('s')} UNION ALL {_axis('n_orders')} UNION ALL {_axis('urgent')}),
 z AS (SELECT rank, id, CASE WHEN max(d) > 1e299 THEN 1e300 ELSE round(sum(d), 9) END AS crowding FROM ax GROUP BY ALL) SELECT rank, id FROM z ORDER BY rank, crowding DESC, id LIMIT 10""")
 def _(spark, sf):
     d = pareto.pareto_ranks(customers(spark, sf), OBJ, "id", at_least=10).filter("rank IS NOT NULL")

@@ -13,7 +13,12 @@ from ..session import ensure_checkpoint_dir
 from .ordered import chunk_carry, after, before
 from .scale import CHUNK, TARGET_ROWS
 
+#: Rows of one side of a group, rows of a grid cell, about, and grid cells at most.
 SLICE = 20_000
+CELL = 2_000
+MOST_CELLS = 1_000
+#: Distinct vectors of a slice that is ranked in one job.
+RANK_SLICE = 50_000
 
 
 def uniform_points(spark: SparkSession, n: int, bounds: dict[str, tuple[float, float]],
@@ -71,62 +76,225 @@ def local_skyline(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.mapInPandas(prune, df.schema)
 
 
-def _grid(left: DataFrame, right: DataFrame, left_slices: int, right_slices: int,
-          spread_left: Column, spread_right: Column) -> DataFrame:
-    """Every left slice meets every right slice in its own group; `_left` tells the sides apart.
+# --- cells: only those that can dominate meet ---------------------------------------------------------
 
-    Groups are bounded by the slice sizes, so neither side is ever whole in one task.
+def with_cells(df: DataFrame, cols: Sequence[str], cuts: Sequence[Sequence[float]]) -> DataFrame:
+    """Add `_cell`, the number of the grid cell; `cuts` are the inner borders per objective."""
+    cell = F.lit(0).cast("long")
+    for c, at in zip(cols, cuts):
+        if len(at):
+            cell = cell * (len(at) + 1) + F.size(F.filter(F.array(*map(F.lit, at)), _below(F.col(c))))
+    return df.withColumn("_cell", cell)
+
+
+def _below(value: Column):
+    return lambda border: border < value
+
+
+def grid_cuts(df: DataFrame, cols: Sequence[str], rows: int, cell_rows: int) -> list[list[float]]:
+    """Quantile borders per objective for about rows / cell_rows cells, `MOST_CELLS` at most."""
+    cells = min(MOST_CELLS, max(1, -(-rows // cell_rows)))
+    side = max(1, round(cells ** (1 / len(cols))))
+    if side == 1:
+        return [[] for _ in cols]
+    found = df.approxQuantile(list(cols), [i / side for i in range(1, side)], 0.25 / side)
+    return [sorted(set(f)) for f in found]
+
+
+def cell_boxes(df: DataFrame, cols: Sequence[str]) -> pd.DataFrame:
+    """Per non-empty cell its rows and the corners of the box around them: as many rows as cells, whatever the table."""
+    box = [a for c in cols for a in (F.min(c).alias(f"lo{c}"), F.max(c).alias(f"hi{c}"))]
+    return df.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), *box).toPandas().sort_values("_cell", ignore_index=True)
+
+
+def _corners(boxes: pd.DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    return boxes[[f"lo{c}" for c in cols]].to_numpy(float), boxes[[f"hi{c}" for c in cols]].to_numpy(float)
+
+
+def _all_dominate(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """[i, j]: every point of a box with upper corner hi[i] dominates every point of one with lower corner lo[j]."""
+    return (hi[:, None] <= lo[None]).all(2) & (hi[:, None] < lo[None]).any(2)
+
+
+def meeting_cells(boxes: pd.DataFrame, cols: Sequence[str]) -> list[tuple[int, int]]:
+    """(cell, cell whose points may dominate some of it): none of a cell that another one dominates as a whole."""
+    lo, hi = _corners(boxes, cols)
+    alive = np.flatnonzero(~_all_dominate(hi, lo).any(0))
+    may = (lo[alive][:, None] <= hi[alive][None]).all(2)
+    cell = boxes["_cell"].to_numpy()[alive]
+    return [(int(cell[j]), int(cell[i])) for i, j in np.argwhere(may)]
+
+
+def gaining_cells(asked: pd.DataFrame, held: pd.DataFrame, cols: Sequence[str], weights: np.ndarray) -> list[tuple[int, int]]:
+    """(cell of current points, cell of the front whose points may be the best gain for some of them).
+
+    A front cell is out when every point of another one dominates all current points of the cell and has a smaller
+    weighted sum than any of its own.
     """
-    a = left.withColumn("_s", F.pmod(spread_left, F.lit(left_slices))).withColumn(
-        "_t", F.explode(F.sequence(F.lit(0), F.lit(right_slices - 1)))).withColumn("_left", F.lit(True))
-    b = right.withColumn("_t", F.pmod(spread_right, F.lit(right_slices))).withColumn(
-        "_s", F.explode(F.sequence(F.lit(0), F.lit(left_slices - 1)))).withColumn("_left", F.lit(False))
-    return a.unionByName(b, allowMissingColumns=True)
+    (lo, hi), (flo, fhi) = _corners(asked, cols), _corners(held, cols)
+    may = (flo[:, None] <= hi[None]).all(2)
+    sure = np.where(_all_dominate(fhi, lo), (fhi @ weights)[:, None], np.inf).min(0)
+    may &= (flo @ weights)[:, None] <= sure[None] + 1e-9 * (1 + np.abs(np.where(np.isfinite(sure), sure, 0)))
+    mine, other = asked["_cell"].to_numpy(), held["_cell"].to_numpy()
+    return [(int(mine[j]), int(other[i])) for i, j in np.argwhere(may)]
 
 
-def pareto_front(df: DataFrame, objectives: Sequence[tuple[str, str]], slice_rows: int = SLICE) -> DataFrame:
-    """Points no other point dominates (equal points all stay).
+def _meet(left: DataFrame, right: DataFrame, pairs: list[tuple[int, int]], left_parts: dict[int, int],
+          right_parts: dict[int, int], names: Sequence[str], right_names: Sequence[str]) -> tuple:
+    """Both sides grouped by (left cell, right cell, part, part): a row goes to the cells its own may meet only.
 
-    A local pass prunes each batch; the distinct surviving vectors are then compared
-    slice against slice, and losers are removed by an anti join.
+    A cell above the bound is cut into parts by a hash, so that a group is never larger than two bounds.
+    """
+    spark = left.sparkSession
+    rows = [(a, b, left_parts[a], right_parts[b]) for a, b in pairs]
+    spread = lambda d, n: F.pmod(F.xxhash64(*d), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = left.join(F.broadcast(spark.createDataFrame(rows, "_cell long, _b long, _pa int, _pb int")), "_cell").withColumn(
+        "_a", F.col("_cell")).withColumn("_x", spread(names, "_pa")).withColumn("_y", every("_pb"))
+    two = right.join(F.broadcast(spark.createDataFrame(rows, "_a long, _cell long, _pa int, _pb int")), "_cell").withColumn(
+        "_b", F.col("_cell")).withColumn("_y", spread(right_names, "_pb")).withColumn("_x", every("_pa"))
+    keys = ["_a", "_b", "_x", "_y"]
+    fresh = lambda d, own: d.select(*keys, *own).toDF(*keys, *own).groupBy(*keys)  # noqa: E731  (both may be one table)
+    return fresh(one, names), fresh(two, right_names)
+
+
+def _parts(boxes: pd.DataFrame, rows: int) -> dict[int, int]:
+    return {int(c): max(1, -(-int(n) // rows)) for c, n in zip(boxes["_cell"], boxes["n"])}
+
+
+def pareto_front(df: DataFrame, objectives: Sequence[tuple[str, str]], slice_rows: int = SLICE,
+                 cell_rows: int = CELL) -> DataFrame:
+    """Points no other point dominates (equal points all stay; one with a null objective is no point).
+
+    A local pass prunes each batch.  The distinct vectors left are dealt into grid cells; cells that another one
+    dominates as a whole go, and a cell meets only those whose box reaches below its own.  Losers are removed by
+    an anti join.
     """
     ensure_checkpoint_dir(df.sparkSession)
     cols_map = signed(objectives)
     cols = list(cols_map)
     d = local_skyline(df.withColumns(cols_map), cols).checkpoint()
-    vectors = d.select(*cols).distinct()
+    vectors = d.select(*cols).distinct().checkpoint()
     n = vectors.count()
     if n == 0:
         return d.drop(*cols)
-    slices = max(1, -(-n // slice_rows))
-    spread = F.xxhash64(*cols)
-    pairs = _grid(vectors, vectors, slices, slices, spread, spread)
+    cuts = grid_cuts(vectors, cols, n, cell_rows)
+    celled = with_cells(vectors, cols, cuts)
+    boxes = cell_boxes(celled, cols)
+    pairs = meeting_cells(boxes, cols)
+    parts = _parts(boxes, slice_rows)
+    mine, other = _meet(celled, celled, pairs, parts, parts, cols, cols)
+
+    def losers(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        by = right[cols].to_numpy()
+        return left.loc[_dominated(left[cols].to_numpy(), by[np.argsort(by.sum(1), kind="stable")]), cols]
+
+    lost = mine.cogroup(other).applyInPandas(losers, vectors.schema)
+    alive = df.sparkSession.createDataFrame(sorted({(a,) for a, _ in pairs}), "_cell long")
+    kept = celled.join(F.broadcast(alive), "_cell").select(*cols).join(lost.distinct(), cols, "left_anti")
+    return d.join(kept, cols, "left_semi").drop(*cols)
+
+
+# --- ranks: the longest chain of dominators -----------------------------------------------------------
+
+class Staircases:
+    """Points by rank, kept as what later points can still meet: per rank those no other one is below in all but the first objective."""
+
+    def __init__(self, dims: int):
+        self.dims, self.steps = dims, []
+
+    def add(self, rank: int, rest: np.ndarray) -> None:
+        if rank == len(self.steps):
+            self.steps.append(np.empty((0, self.dims)))
+        at = self.steps[rank]
+        if not (at <= rest).all(1).any():
+            self.steps[rank] = np.vstack([at[~(rest <= at).all(1)], rest])
+
+    def rank(self, rest: np.ndarray) -> int:
+        """The first rank without a dominator; ranks below it have one each, so halving finds it."""
+        low, high = 0, len(self.steps)
+        while low < high:
+            middle = (low + high) // 2
+            if (self.steps[middle] <= rest).all(1).any():
+                low = middle + 1
+            else:
+                high = middle
+        return low
+
+
+def rank_slice(points: np.ndarray, stairs: Staircases) -> np.ndarray:
+    """Ranks of distinct points that all come after those in `stairs` in ascending order of their objectives.
+
+    A dominator comes earlier in that order, and an earlier point that is no worse in all but the first objective is one.
+    """
+    ranks = np.zeros(len(points), dtype=np.int32)
+    for i in np.lexsort(points.T[::-1]):
+        ranks[i] = stairs.rank(points[i, 1:])
+        stairs.add(int(ranks[i]), points[i, 1:])
+    return ranks
 
-    def losers(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine, other = pdf[pdf["_left"]], pdf[~pdf["_left"]][cols].to_numpy()
-        return mine.loc[_dominated(mine[cols].to_numpy(), other[np.argsort(other.sum(1), kind="stable")]), cols]
 
-    lost = pairs.groupBy("_s", "_t").applyInPandas(losers, vectors.schema).distinct()
-    return d.join(lost, cols, "left_anti").drop(*cols)
+def _all_ranks(df: DataFrame, objectives: Sequence[tuple[str, str]], slice_rows: int) -> DataFrame:
+    cols_map = signed(objectives)
+    cols = list(cols_map)
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(c)
+    d = df.withColumns(cols_map)
+    vectors = d.filter(whole).select(*cols).distinct().checkpoint()
+    n = vectors.count()
+    slices = max(1, -(-n // slice_rows))
+    placed = vectors.repartitionByRange(slices, *cols).withColumn("_slice", F.spark_partition_id()).checkpoint()
+    order = [r[0] for r in placed.select("_slice").distinct().orderBy("_slice").collect()]
+    kept, done, schema = None, None, ", ".join(f"{c} double" for c in cols)
+
+    def step(points: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        stairs = Staircases(len(cols) - 1)
+        for rank, rows in held.groupby("rank"):
+            stairs.steps.append(rows[cols[1:]].to_numpy(float))
+            assert len(stairs.steps) == rank + 1
+        points = points[cols].reset_index(drop=True)
+        ranked = points.assign(rank=rank_slice(points.to_numpy(float), stairs), _stair=False)
+        steps = [np.hstack([np.zeros((len(s), 1)), s, np.full((len(s), 1), r)]) for r, s in enumerate(stairs.steps)]
+        steps = pd.DataFrame(np.vstack(steps), columns=[*cols, "rank"]).assign(_stair=True)
+        return pd.concat([ranked, steps], ignore_index=True).astype({"rank": "int32"})
+
+    for k in order:
+        points = placed.filter(F.col("_slice") == k).groupBy(F.lit(0).alias("_g"))
+        held = kept if kept is not None else df.sparkSession.createDataFrame([], f"{schema}, rank int, _stair boolean")
+        found = points.cogroup(held.groupBy(F.lit(0).alias("_g"))).applyInPandas(
+            step, f"{schema}, rank int, _stair boolean").checkpoint()
+        kept, ranked = found.filter("_stair"), found.filter("NOT _stair").drop("_stair")
+        done = ranked if done is None else done.unionByName(ranked)
+    if done is None:
+        return df.withColumn("rank", F.lit(None).cast("int"))
+    return d.join(done, cols, "left").drop(*cols)
 
 
 def pareto_ranks(df: DataFrame, objectives: Sequence[tuple[str, str]], id_column: str,
-                 max_rank: int | None = None, at_least: int | None = None) -> DataFrame:
-    """Successive fronts until no point is left.
+                 max_rank: int | None = None, at_least: int | None = None, slice_rows: int = RANK_SLICE) -> DataFrame:
+    """The rank of every point: the length of its longest chain of dominators, 0 on the front.
 
-    With `max_rank` deeper points get rank null; with `at_least` ranking stops once so many points have a rank,
-    which is all that a selection of that many needs.
+    Distinct vectors are sorted into slices of about `slice_rows`; one job per slice ranks it behind the staircases
+    of the ranks so far, whose size follows the surface of the data, not its rows, and not the number of fronts.  Points with a null
+    objective get rank null.
+
+    With `max_rank` or `at_least` only the first fronts are peeled, one after another, up to that rank or until so
+    many points have a rank, which is all that a selection of that many needs; deeper points get rank null.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    rest, out, r, held = df, None, -1, 0
-    while (max_rank is None or r < max_rank) and (at_least is None or held < at_least):
-        r += 1
-        if r and rest.isEmpty():
-            break
+    if max_rank is None and at_least is None:
+        return _all_ranks(df, objectives, slice_rows)
+    rest, out, r, held = df, None, 0, 0
+    while (max_rank is None or r <= max_rank) and (at_least is None or held < at_least):
         front = pareto_front(rest, objectives).withColumn("rank", F.lit(r)).checkpoint()
-        out = front if out is None else out.unionByName(front)
-        held += front.count() if at_least is not None else 0
+        n = front.count()
+        if r and not n:
+            break
+        out, held, r = front if out is None else out.unionByName(front), held + n, r + 1
         rest = rest.join(front.select(id_column), id_column, "left_anti").checkpoint()
+        if not n:
+            break
     return out.unionByName(rest.withColumn("rank", F.lit(None).cast("int")))
 
 
@@ -179,38 +347,61 @@ def select_best(ranked: DataFrame, n: int, id_column: str) -> DataFrame:
     return ranked.orderBy(F.col("rank").asc_nulls_last(), F.desc("crowding"), id_column).limit(n)
 
 
+def first_dominating(points: np.ndarray, front: np.ndarray, width: int = 64) -> np.ndarray:
+    """For each point the first row of `front` that dominates it, or -1; the front is walked in blocks of `width`."""
+    out = np.full(len(points), -1, dtype=np.int64)
+    live = np.arange(len(points))
+    for start in range(0, len(front), width):
+        block = front[start:start + width]
+        p = points[live, None, :]
+        good = (block[None] <= p).all(2) & (block[None] < p).any(2)
+        hit = good.any(1)
+        out[live[hit]] = start + good[hit].argmax(1)
+        live = live[~hit]
+        if not len(live):
+            break
+    return out
+
+
 def improvement_gap(current: DataFrame, front: DataFrame,
                     objectives: Sequence[tuple[str, str, float, float, float]], id_column: str,
                     current_id: str, threshold: float = 0.05, slice_rows: int = SLICE,
-                    current_slice_rows: int = 10 * SLICE) -> DataFrame:
+                    cell_rows: int = CELL) -> DataFrame:
     """Per current point the dominating front point with the largest weighted gain.
 
-    `objectives`: (column, direction, weight, range low, range high).  Ties go to the
-    smaller front id.  Points and front meet slice by slice.
+    `objectives`: (column, direction, weight, range low, range high).  Ties go to the smaller front id.  The gain over
+    a dominating point is the difference of two weighted sums, so the best one has the smallest sum: a group sorts its
+    front points by it, and the first that dominates wins.  Current points and front lie in the cells of one
+    grid, and cells meet only where the best gain can come from.
     """
+    ensure_checkpoint_dir(current.sparkSession)
     plain = [(c, d) for c, d, *_ in objectives]
     names = list(signed(plain))
     weights = np.array([w / max(abs(hi - lo), 1e-6) for _, _, w, lo, hi in objectives])
     cur = current.withColumns(signed(plain))
-    ask = cur.select(F.col(current_id).cast("long").alias("_id"), *names)
-    pts = front.withColumns(signed(plain)).select(F.col(id_column).cast("long").alias("_id"), *names)
-    right = max(1, -(-pts.count() // slice_rows))
-    left = max(1, -(-ask.count() // current_slice_rows))
-    pairs = _grid(ask, pts, left, right, F.xxhash64("_id"), F.xxhash64("_id"))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine, f = pdf[pdf["_left"]], pdf[~pdf["_left"]].sort_values("_id")
-        ids, fv = f["_id"].to_numpy("int64"), f[names].to_numpy(float)
-        rows = []
-        for pid, p in zip(mine["_id"].to_numpy("int64"), mine[names].to_numpy(float)):
-            ok = (fv <= p).all(1) & (fv < p).any(1)
-            if ok.any():
-                gain = np.where(ok, (np.maximum(p - fv, 0) * weights).sum(1), -1.0)
-                j = int(gain.argmax())
-                rows.append((int(pid), int(ids[j]), float(gain[j])))
-        return pd.DataFrame(rows, columns=["_id", "best_id", "distance"])
-
-    found = (pairs.groupBy("_s", "_t").applyInPandas(best, "_id long, best_id long, distance double")
+    whole = F.lit(True)
+    for c in names:
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(c)
+    ask = cur.filter(whole).select(F.col(current_id).cast("long").alias("_id"), *names).checkpoint()
+    pts = front.withColumns(signed(plain)).filter(whole).select(
+        F.col(id_column).cast("long").alias("_fid"), *names).checkpoint()
+    cuts = grid_cuts(pts, names, pts.count(), cell_rows)
+    ask, pts = with_cells(ask, names, cuts), with_cells(pts, names, cuts)
+    asked, held = cell_boxes(ask, names), cell_boxes(pts, names)
+    pairs = gaining_cells(asked, held, names, weights)
+    mine, other = _meet(ask, pts, pairs, _parts(asked, slice_rows), _parts(held, slice_rows), ["_id", *names], ["_fid", *names])
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        f, ids = right[names].to_numpy(float), right["_fid"].to_numpy("int64")
+        order = np.lexsort((ids, f @ weights))
+        p = left[names].to_numpy(float)
+        at = first_dominating(p, f[order])
+        hit = at >= 0
+        j = order[at[hit]]
+        gain = (np.maximum(p[hit] - f[j], 0) * weights).sum(1)
+        return pd.DataFrame({"_id": left["_id"].to_numpy("int64")[hit], "best_id": ids[j], "distance": gain})
+
+    found = (mine.cogroup(other).applyInPandas(best, "_id long, best_id long, distance double")
              .groupBy("_id").agg(F.max_by(F.struct("best_id", "distance"),
                                           F.struct(F.col("distance"), -F.col("best_id"))).alias("b"))
              .select(F.col("_id").alias("_cid"), "b.best_id", "b.distance")

@@ -74,20 +74,20 @@ def brute(p):
     return np.array([not any((q <= a).all() and (q < a).any() for q in p) for a in p])
 
 
-@pytest.mark.parametrize("slice_rows", [20000, 15])
-def test_skyline_equals_brute_force(spark, slice_rows):
+@pytest.mark.parametrize("slice_rows, cell_rows", [(20000, 2000), (15, 5)])
+def test_skyline_equals_brute_force(spark, slice_rows, cell_rows):
     rng = np.random.default_rng(6)
     x = np.round(rng.random((300, 3)), 2)
     x[:5] = x[5:10]
     d = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(id=range(300))).repartition(4)
     obj = [("a", "minimize"), ("b", "maximize"), ("c", "minimize")]
     signed = x * [1, -1, 1]
-    got = {r.id for r in pareto.pareto_front(d, obj, slice_rows).collect()}
+    got = {r.id for r in pareto.pareto_front(d, obj, slice_rows, cell_rows).collect()}
     assert got == set(np.flatnonzero(brute(signed)))
     cur = d.filter("id < 40")
     front = pareto.pareto_front(d, obj)
     spec = [("a", "minimize", 1.0, 0.0, 1.0), ("b", "maximize", 0.5, 0.0, 1.0), ("c", "minimize", 2.0, 0.0, 1.0)]
-    gaps = {r.id: r for r in pareto.improvement_gap(cur, front, spec, "id", "id", slice_rows=slice_rows, current_slice_rows=slice_rows).collect()}
+    gaps = {r.id: r for r in pareto.improvement_gap(cur, front, spec, "id", "id", slice_rows=slice_rows, cell_rows=cell_rows).collect()}
     f = signed[sorted(got)]
     for i in range(40):
         ok = (f <= signed[i]).all(1) & (f < signed[i]).any(1)
@@ -97,6 +97,72 @@ def test_skyline_equals_brute_force(spark, slice_rows):
             assert gaps[i].distance == pytest.approx(best)
 
 
+def test_few_cells_meet(spark):
+    """Of the cells of a full cube only a surface is left, and pairs grow far slower than with every cell against every other."""
+    d = pareto.uniform_points(spark, 20_000, {"a": (0.0, 1.0), "b": (0.0, 1.0), "c": (0.0, 1.0)})
+    cols = ["a", "b", "c"]
+    counts = []
+    for cell_rows in (300, 40):
+        boxes = pareto.cell_boxes(pareto.with_cells(d, cols, pareto.grid_cuts(d, cols, 20_000, cell_rows)), cols)
+        pairs = pareto.meeting_cells(boxes, cols)
+        left = {a for a, _ in pairs}
+        sent = sum(int(n) * sum(1 for a, _ in pairs if a == c) for c, n in zip(boxes["_cell"], boxes["n"]) if c in left)
+        rows = int(boxes[boxes["_cell"].isin(left)]["n"].sum())
+        counts.append((len(boxes), len(pairs), sent / rows))
+        assert len(left) < 0.75 * len(boxes) and len(pairs) < 0.2 * len(boxes) ** 2
+    assert counts[1][1] / counts[0][1] < (counts[1][0] / counts[0][0]) ** 2
+
+
+def test_gain_cells_keep_the_best(spark):
+    """A front cell is only left out where another one is surely better."""
+    rng = np.random.default_rng(12)
+    front, now, w = rng.random((400, 2)), rng.random((300, 2)) + 0.3, np.array([1.0, 3.0])
+    cut = lambda x: (x * 8).astype(int) @ [100, 1]
+    def boxes(x):
+        t = pd.DataFrame(x, columns=["a", "b"]).assign(_cell=cut(x)).groupby("_cell").agg(
+            n=("a", "size"), loa=("a", "min"), hia=("a", "max"), lob=("b", "min"), hib=("b", "max"))
+        return t.reset_index()
+    pairs = pareto.gaining_cells(boxes(now), boxes(front), ["a", "b"], w)
+    order = np.argsort(front @ w)
+    best = pareto.first_dominating(now, front[order], 7)
+    for k, j in enumerate(best):
+        good = np.flatnonzero((front[order] <= now[k]).all(1) & (front[order] < now[k]).any(1))
+        assert j == (good[0] if len(good) else -1)
+        assert j < 0 or (cut(now)[k], cut(front[order])[j]) in pairs
+    assert len(pairs) < 0.7 * len(boxes(now)) * len(boxes(front))
+
+
+@pytest.mark.parametrize("dims, slice_rows", [(1, 50_000), (2, 13), (3, 50_000), (4, 40)])
+def test_ranks_are_longest_chains(spark, dims, slice_rows):
+    rng = np.random.default_rng(dims)
+    x = np.round(rng.random((160, dims)), 1 if dims == 2 else 2)
+    names = list("abcd")[:dims]
+    d = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(id=range(160)))
+    none = spark.createDataFrame([(None,) * dims + (500,)], d.schema)
+    got = {r.id: r["rank"] for r in pareto.pareto_ranks(
+        d.union(none), [(c, "minimize") for c in names], "id", slice_rows=slice_rows).collect()}
+    want, left, rank = {500: None}, np.arange(160), 0
+    while len(left):
+        top = brute(x[left])
+        want.update(dict.fromkeys(left[top].tolist(), rank))
+        left, rank = left[~top], rank + 1
+    assert got == want
+
+
+def test_jobs_of_ranks_follow_slices_not_fronts(spark):
+    """A chain of 400 points has 400 fronts and is ranked in as many jobs as one of 20."""
+    def jobs(n):
+        group = f"ranks-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        d = spark.range(n).select("id", F.col("id").cast("double").alias("x"))
+        assert pareto.pareto_ranks(d, [("x", "minimize")], "id").agg(F.max("rank")).first()[0] == n - 1
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    try:
+        assert jobs(400) == jobs(20)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_ranks_and_crowding(spark):
     x = np.random.default_rng(3).random((60, 2))
     d = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(id=range(60)))
