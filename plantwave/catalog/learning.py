@@ -176,14 +176,14 @@ i AS (SELECT *, max(CASE WHEN o THEN us END) OVER (PARTITION BY user_id, tag ORD
 SELECT user_id, tag, s AS start_us, max(us) AS end_us, count(*) AS alert_count FROM i GROUP BY ALL""")
 def _(spark, sf):
     a = event_stream(spark, sf).filter(F.col("value") > 60).withColumn("detector", F.lit("Level")).withColumn("severity", F.lit("low"))
-    out = live.run_to_parquet(live.session_stream(a, "12 hours"), "sessions", "complete")
+    out = live.run_to_parquet(live.session_stream(a, "12 hours"), "sessions")
     return out.select(F.col("asset").cast("long").alias("user_id"), F.col("tag_key").alias("tag"), us("start_ts").alias("start_us"),
                       us("end_ts").alias("end_us"), "alert_count")
 
 
 @query("stream_downsample", f"""WITH {READINGS_SQL} SELECT user_id, tag, us // 86400000000 * 86400000000 AS ts_us, round(avg(value), 6) AS value FROM r GROUP BY ALL""")
 def _(spark, sf):
-    out = live.run_to_parquet(live.downsample_stream(event_stream(spark, sf), "1 day", "mean"), "downsample", "complete")
+    out = live.run_to_parquet(live.downsample_stream(event_stream(spark, sf), "1 day", "mean"), "downsample")
     return out.select(F.col("asset").cast("long").alias("user_id"), "tag", us("ts").alias("ts_us"), r6("value").alias("value"))
 
 
@@ -242,18 +242,93 @@ STREAM_PSI_SQL = PSI_SQL.replace(
  CASE WHEN psi >= 0.25 THEN 'significant' WHEN psi >= 0.1 THEN 'moderate' ELSE 'none' END AS status FROM psi""")
 def _(spark, sf):
     import uuid
-    from ..operators.drift import bin_edges
-    from ..session import shared_dir
+    from ..operators.drift import bin_edges, histogram
+    from ..session import ensure_checkpoint_dir, shared_dir
+    ensure_checkpoint_dir(spark)
     ref = readings(spark, sf).filter(F.col("ts") < "2024-01-16")
     path = f"{shared_dir(spark)}/drift-{uuid.uuid4().hex}"
-    edges = bin_edges(ref)
-    body = live.drift_batches(edges, ref, lambda d, i: d.withColumn("epoch", F.lit(i)).write.mode("append").parquet(path))
-    live.run_batches(event_stream(spark, sf), "drift", body)
+    edges = bin_edges(ref).checkpoint()
+    body = live.drift_batches(edges, histogram(ref, edges).checkpoint(), lambda d, i: d.write.mode("overwrite").parquet(path))
+    live.run_batches(live.drift_counts(event_stream(spark, sf), edges), "drift", body, "complete")
     return spark.read.parquet(path).select("tag", "n_ref", "n_live", F.round("psi", 6).alias("psi"), "status")
 
 
 @query("stream_buffer", f"""WITH {READINGS_SQL} SELECT user_id, (us // 86400000000 + 1) * 86400000000 AS as_of_us, count(*) AS n_values, min(us) AS oldest_us, max(us) AS newest_us FROM r GROUP BY ALL""")
 def _(spark, sf):
-    out = live.run_to_parquet(live.rolling_buffer(event_stream(spark, sf), "1 day", "1 day"), "buffer", "complete")
+    out = live.run_to_parquet(live.rolling_buffer(event_stream(spark, sf), "1 day", "1 day"), "buffer")
     return out.select(F.col("asset").cast("long").alias("user_id"), us("as_of").alias("as_of_us"), "n_values",
                       us("oldest").alias("oldest_us"), us("newest").alias("newest_us"))
+
+
+STREAM_TREND_SQL = KEYED + """,
+sm AS (SELECT *, avg(value) OVER (PARTITION BY tag ORDER BY rn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS y,
+ (us - min(us) OVER (PARTITION BY tag)) / 60e6 AS x FROM ix),
+f AS (SELECT tag, us, rn, y, regr_slope(y, x) OVER w AS slope, regr_r2(y, x) OVER w AS r2 FROM sm
+ WINDOW w AS (PARTITION BY tag ORDER BY rn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+p AS (SELECT *, CASE WHEN slope > 1e-9 AND y < 95.0 THEN 95.0 WHEN slope < -1e-9 AND y > 5.0 THEN 5.0 END AS breach FROM f WHERE rn >= 10 AND (rn - 10) % 2 = 0),
+w AS (SELECT *, (breach - y) / slope AS m FROM p WHERE breach IS NOT NULL AND r2 >= 0.25 AND (breach - y) / slope BETWEEN 0 AND 20000)""" + thin_sql(
+    "w", "tag", 6 * 3_600_000_000, name="tp")
+
+
+@query("stream_trend", f"""WITH RECURSIVE {STREAM_TREND_SQL} SELECT tag AS series, us AS ts_us, round(y, 6) AS smooth, breach AS lim FROM tp""")
+def _(spark, sf):
+    """Every user's series judged for its trend, from kept readings and running sums."""
+    base = charts.fit_baseline(user_readings(spark, sf), ["asset", "tag"])
+    limits = table(spark, sf, "events").select(F.col("event_type").alias("tag"), F.lit(5.0).alias("low"), F.lit(95.0).alias("high")).distinct()
+    out = live.run_to_parquet(detectors.chart_stream(event_stream(spark, sf), base, 10, limits, trend=(10, 3, 2), horizon_minutes=20_000,
+                                                     trend_cooldown_s=6 * 3600), "trend")
+    return out.filter("detector = 'Trend.Projection'").select(
+        F.concat_ws("|", "asset", "tag").alias("series"), us("ts").alias("ts_us"), r6("value").alias("smooth"), "lim")
+
+
+WINDOWS_SQL = f"""{READINGS_SQL}, win AS (SELECT r.*, unnest(range((us + 172799999999) // 172800000000 * 172800000000, us + 432000000000, 172800000000)) AS as_of FROM r)"""
+
+
+@query("stream_windows", f"""WITH {WINDOWS_SQL} SELECT user_id, as_of AS as_of_us, count(*) AS n_values, count(DISTINCT tag) AS n_tags,
+ min(us) AS oldest_us, max(us) AS newest_us, round(sum(value), 6) AS total FROM win GROUP BY ALL""")
+def _(spark, sf):
+    """The five-day buffer of every user, handed on every two days by its timer."""
+    from ..streaming import buffer
+    d = live.run_to_parquet(buffer.windows(event_stream(spark, sf), 5 * 86_400, 2 * 86_400), "windows")
+    return d.groupBy(F.col("asset").cast("long").alias("user_id"), us("as_of").alias("as_of_us")).agg(
+        F.count(F.lit(1)).alias("n_values"), F.count_distinct("tag").alias("n_tags"), F.min(us("ts")).alias("oldest_us"),
+        F.max(us("ts")).alias("newest_us"), F.round(F.sum("value"), 6).alias("total"))
+
+
+def peaks(windows):
+    """One recommendation for each reading that tops its window's mean by a deviation, the same id in every window."""
+    from ..functions.ids import stable_id
+    key = ["asset", "scenario", "as_of", "tag"]
+    s = windows.groupBy(*key).agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
+    high = windows.join(s, key).filter(F.col("value") > F.col("m") + F.col("s"))
+    return high.select(stable_id("peak", F.col("asset"), F.col("tag"), us("ts")).alias("id"), "asset", "tag", "ts", "value")
+
+
+@query("stream_recommendations", f"""WITH {WINDOWS_SQL}, n AS (SELECT user_id, as_of FROM win GROUP BY ALL HAVING count(*) >= 10),
+s AS (SELECT user_id, as_of, tag, avg(value) AS m, stddev_samp(value) AS s FROM win SEMI JOIN n USING (user_id, as_of) GROUP BY ALL)
+SELECT DISTINCT user_id, tag, us AS ts_us, value FROM win JOIN s USING (user_id, as_of, tag) WHERE value > m + s""")
+def _(spark, sf):
+    """Readings to new recommendations: each peak once, in whichever of its windows it shows first."""
+    import uuid
+    from ..session import shared_dir
+    from ..streaming import buffer
+    path = f"{shared_dir(spark)}/recommendations-{uuid.uuid4().hex}"
+    live.run_batches(buffer.windows(event_stream(spark, sf), 5 * 86_400, 2 * 86_400), "evaluate", buffer.evaluation_batches(path, peaks, 10))
+    found = buffer.stored(spark, path)
+    if found is None:
+        found = spark.createDataFrame([], "asset string, tag string, ts timestamp, value double")
+    return found.select(F.col("asset").cast("long").alias("user_id"), "tag", us("ts").alias("ts_us"), "value")
+
+
+@query("stream_outbox", """SELECT user_id, event_type AS tag, count(DISTINCT user_id || event_type) AS n FROM events WHERE value > 90 GROUP BY ALL""")
+def _(spark, sf):
+    """Requests of high readings: each (user, tag) goes out once, whatever is replayed."""
+    import uuid
+    from ..session import shared_dir
+    from ..streaming import buffer
+    path = f"{shared_dir(spark)}/outbox-{uuid.uuid4().hex}"
+    high = event_stream(spark, sf).filter("value > 90").withColumn("id", F.concat_ws("|", "asset", "tag"))
+    send = lambda d, epoch: d.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{path}/received")
+    live.run_batches(live.unseen(high.select("id", "asset", "tag", "ts"), "60 days"), "outbox", buffer.outbox_batches(path, send))
+    sent = spark.read.schema("id string, asset string, tag string").parquet(f"{path}/received")
+    return sent.groupBy(F.col("asset").cast("long").alias("user_id"), "tag").agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ladders import psi_status
+from ..session import ensure_checkpoint_dir
 from .history import recent_rows
 from .quantiles import exact_quantiles
 from .scale import TARGET_ROWS, attach_small, fits
@@ -57,12 +58,19 @@ def psi_report(reference: DataFrame, live: DataFrame, keys: Sequence[str] = ("ta
                max_group_rows: int = TARGET_ROWS) -> DataFrame:
     """PSI, status and sizes per reference feature; a feature without live rows scores 0."""
     keys = list(keys)
-    e = (bin_edges(reference, keys, value, n_bins, max_group_rows) if edges is None else edges).persist()
+    ensure_checkpoint_dir(reference.sparkSession)
+    e = (bin_edges(reference, keys, value, n_bins, max_group_rows) if edges is None else edges).checkpoint()
     small = fits(e)
-    bins = e.select(*keys, "n_ref", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
-    ref = histogram(reference, e, keys, value, n_bins, small).withColumnRenamed("n", "_r")
-    liv = histogram(live, e, keys, value, n_bins, small).withColumnRenamed("n", "_l")
-    n_live = live.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_live"))
+    return psi_of_counts(e, histogram(reference, e, keys, value, n_bins, small), histogram(live, e, keys, value, n_bins, small), keys)
+
+
+def psi_of_counts(edges: DataFrame, reference_counts: DataFrame, live_counts: DataFrame,
+                  keys: Sequence[str] = ("tag",)) -> DataFrame:
+    """The same report from two histograms `(keys, bin, n)`; reads no readings."""
+    keys = list(keys)
+    bins = edges.select(*keys, "n_ref", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
+    ref, liv = reference_counts.withColumnRenamed("n", "_r"), live_counts.withColumnRenamed("n", "_l")
+    n_live = live_counts.groupBy(*keys).agg(F.sum("n").alias("n_live"))
     d = (bins.join(ref, [*keys, "bin"], "left").join(liv, [*keys, "bin"], "left")
          .join(n_live, keys, "left").fillna(0, ["_r", "_l", "n_live"]))
     p = F.greatest(F.col("_r") / F.greatest(F.col("n_ref"), F.lit(1)), F.lit(EPSILON))

@@ -20,27 +20,84 @@ OUT_DDL = ("asset STRING, tag STRING, ts TIMESTAMP, detector STRING, value DOUBL
 LATE, UNKNOWN = "Dropped.Late", "Dropped.NoBaseline"
 STATE_DDL = ("last_us LONG, ewma ARRAY<DOUBLE>, cusum ARRAY<DOUBLE>, fired_shewhart ARRAY<DOUBLE>, "
              "fired_ewma ARRAY<DOUBLE>, fired_cusum ARRAY<DOUBLE>, fired_frozen ARRAY<DOUBLE>, "
-             "ring ARRAY<DOUBLE>, dropped LONG")
+             "ring ARRAY<DOUBLE>, dropped LONG, seen LONG, trend_us ARRAY<LONG>, trend ARRAY<DOUBLE>, "
+             "fired_trend ARRAY<DOUBLE>")
+#: Seconds of event time after its last reading that a series' state stays; readings later than that are too late.
+TTL_S = 30 * 86_400.0
 
 
-class ChartProcessor(StatefulProcessor):
-    """Shewhart, EWMA, CUSUM and frozen checks with cooldown.
+def trend_of_new(us: np.ndarray, x: np.ndarray, new: int, seen: int, rows: int, smooth_rows: int, step: int):
+    """(place, smooth, slope per minute, r2) of the rows among the last `new` at which a trend is due.
+
+    `us` and `x` are the kept and the new readings in order, `seen` the readings before the new ones.  Every fit is a
+    difference of running sums of 1, t, y, t², ty and y², taken from the first kept reading, so a row costs the same
+    for any window.
+    """
+    total = np.concatenate([[0.0], np.cumsum(x - x[0])])
+    at = np.arange(1, len(x) + 1)
+    y = (total[at] - total[np.maximum(at - smooth_rows, 0)]) / np.minimum(at, smooth_rows)  # above x[0]
+    t = (us - us[0]) / 60e6
+    number = seen - (len(x) - new) + at  # of each reading, from 1
+    due = np.flatnonzero((at > len(x) - new) & (number >= rows) & ((number - rows) % step == 0))
+    sums = [np.concatenate([[0.0], np.cumsum(v)]) for v in (t, y, t * t, t * y, y * y)]
+    st, sy, stt, sty, syy = (s[due + 1] - s[due + 1 - rows] for s in sums)
+    ctt, cty, cyy = stt - st * st / rows, sty - st * sy / rows, syy - sy * sy / rows
+    level = (ctt < 1e-12) | (rows < 3)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = np.where(level, 0.0, cty / ctt)
+        r2 = np.where(level | (cyy < 1e-12), 0.0, np.clip(cty * cty / (ctt * cyy), 0, 1))
+    return due, y[due] + x[0], slope, r2
+
+
+class Ending(StatefulProcessor):
+    """A state that ends when event time, which lags by its time to live, reaches the last reading."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "at_ms LONG")
+
+    def _alive(self, last_us: int) -> None:
+        at, old = int(last_us) // 1000 + 1, self.until.get()
+        if old is not None and old[0] >= at:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old[0])
+        self.handle.registerTimer(at)
+        self.until.update((at,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = self.until.get()
+        if at is not None and at[0] == expiredTimerInfo.getExpiryTimeInMs():
+            self.until.clear()
+            self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class ChartProcessor(Ending):
+    """Shewhart, EWMA, CUSUM, frozen and trend checks with cooldown.
 
     Rows of a batch are put in time order first, equal times by value; rows older than the last one
     seen are dropped and put out as a count, as are those of a series without a baseline.  Each input row carries
-    its series' parameters.
+    its series' parameters.  A series that has been silent for the time to live starts anew.
     """
 
-    def __init__(self, frozen_rows: int = 20, min_std: float = 1e-4, lam: float = 0.2):
+    def __init__(self, frozen_rows: int = 20, min_std: float = 1e-4, lam: float = 0.2,
+                 trend: tuple[int, int, int] = (60, 5, 1), min_r2: float = 0.25, horizon_minutes: float = 240,
+                 trend_cooldown_s: float = 1800):
         self.frozen_rows, self.min_std, self.lam = frozen_rows, min_std, lam
+        self.trend, self.min_r2, self.horizon, self.trend_cooldown_s = trend, min_r2, horizon_minutes, trend_cooldown_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("charts", STATE_DDL)
 
     def _load(self):
         s = self.state.get()
         if s is None:
-            return [None, None, None, None, None, None, None, [], 0]
+            return [None, None, None, None, None, None, None, [], 0, 0, [], [], None]
         return [None if v is None else (list(v) if isinstance(v, (list, tuple, np.ndarray)) else v) for v in s]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -50,7 +107,7 @@ class ChartProcessor(StatefulProcessor):
         if not pdf["has_baseline"].iloc[0]:
             yield self._count(pdf, UNKNOWN)
             return
-        last, ewma, cusum, f_sh, f_ew, f_cu, f_fr, ring, dropped = self._load()
+        last, ewma, cusum, f_sh, f_ew, f_cu, f_fr, ring, dropped, seen, t_us, t_x, f_tr = self._load()
         us = pdf["ts"].astype("datetime64[us]").astype("int64")
         fresh = us >= (last if last is not None else -(1 << 62))
         dropped = int(dropped or 0) + int((~fresh).sum())
@@ -82,10 +139,39 @@ class ChartProcessor(StatefulProcessor):
             f_fr = self._emit(out, "FrozenSensor", hit, hit["stuck"], self.min_std, self.min_std, p["sigma"], p,
                               1800, f_fr)
             ring = series[-n:].tolist()
-        self.state.update((last, ewma, cusum, f_sh, f_ew, f_cu, f_fr, ring, dropped))
+
+            if p["has_limits"]:
+                f_tr, t_us, t_x = self._trend(out, pdf, p, x, int(seen or 0), t_us, t_x, f_tr)
+            seen = int(seen or 0) + len(x)
+        self.state.update((last, ewma, cusum, f_sh, f_ew, f_cu, f_fr, ring, dropped, seen, t_us, t_x, f_tr))
+        self._alive(last)
         if out:
             yield pd.concat(out)
 
+    def _trend(self, out, pdf, p, x, seen, kept_us, kept_x, fired):
+        """Lines that reach a limit within the horizon; keeps the readings that the next rows still need."""
+        rows, smooth_rows, step = self.trend
+        us = np.concatenate([np.asarray(kept_us if kept_us is not None else [], "int64"), pdf["_us"].to_numpy("int64")])
+        values = np.concatenate([np.asarray(kept_x if kept_x is not None else [], float), x])
+        due, y, slope, r2 = trend_of_new(us, values, len(x), seen, rows, smooth_rows, step)
+        low, high = float(p["low"]), float(p["high"])  # NaN where there is none
+        breach = np.where((slope > 1e-9) & (y < high), high, np.where((slope < -1e-9) & (y > low), low, np.nan))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            minutes = (breach - y) / slope
+        good = (r2 >= self.min_r2) & (minutes >= 0) & (minutes <= self.horizon)
+        hit = pdf.iloc[due[good] - (len(values) - len(x))].assign(_y=y[good], _lim=breach[good], _up=slope[good] > 0)
+        if len(hit):
+            keep, _, fired = Cooldown().emit({"_us": hit["_us"].to_numpy("int64"),
+                                              "cooldown_s": np.full(len(hit), float(self.trend_cooldown_s))}, fired)
+            hit = hit.iloc[keep]
+            if len(hit):
+                out.append(pd.DataFrame({
+                    "asset": p["asset"], "tag": p["tag"], "ts": hit["ts"].to_numpy(), "detector": "Trend.Projection",
+                    "value": hit["_y"].to_numpy(float), "lim": hit["_lim"].to_numpy(float),
+                    "side": np.where(hit["_up"], "above", "below").astype(object), "deviation": np.nan}))
+        n = rows + smooth_rows
+        return fired, us[-n:].tolist(), values[-n:].tolist()
+
     @staticmethod
     def _count(rows, name):
         first = rows.iloc[0]
@@ -109,62 +195,65 @@ class ChartProcessor(StatefulProcessor):
             out.append(kept.drop(columns=["_us", "cooldown_s"]))
         return fired
 
-    def close(self) -> None:
-        pass
-
 
-class StaleProcessor(StatefulProcessor):
-    """Reading quality with the last change kept per (asset, tag)."""
+class StaleProcessor(Ending):
+    """Reading quality with the last change kept per (asset, tag), until a series has gone silent."""
 
     def __init__(self, stale_s: float = 10.0):
         self.stale_us = int(stale_s * 1e6)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("last", "value DOUBLE, changed_us LONG")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        s = self.state.get()
-        prev, changed = (None, None) if s is None else (s[0], s[1])
-        flags = []
-        us = pdf["ts"].astype("datetime64[us]").astype("int64")
-        for t, v, lo, hi in zip(us, pdf["value"], pdf["min_range"], pdf["max_range"]):
-            if v is None or np.isnan(v):
-                flags.append(3)
-                continue
-            bad = (not np.isnan(lo) and v < lo) or (not np.isnan(hi) and v > hi)
-            if prev is None or abs(v - prev) >= 1e-9:
-                changed = t
-                flags.append(1 if bad else 0)
-            else:
-                flags.append(1 if bad else (2 if t - changed > self.stale_us else 0))
-            prev = v
-        if prev is not None:
-            self.state.update((float(prev), int(changed)))
+        every = pdf["value"].to_numpy(float)
+        some = np.flatnonzero(~np.isnan(every))
+        flags = np.full(len(pdf), 3, dtype="int32")
+        if len(some):
+            v = every[some]
+            t = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()[some]
+            lo, hi = pdf["min_range"].to_numpy(float)[some], pdf["max_range"].to_numpy(float)[some]
+            s = self.state.get()
+            before = np.concatenate([[np.nan if s is None else s[0]], v[:-1]])
+            moved = ~(np.abs(v - before) < 1e-9)
+            # the time of the last change at each reading; -1 stands for the one in the state
+            last = np.maximum.accumulate(np.where(moved, np.arange(len(v)), -1))
+            changed = np.where(last >= 0, t[last], 0 if s is None else s[1])
+            stale = ~moved & (t - changed > self.stale_us)
+            flags[some] = np.where((v < lo) | (v > hi), 1, np.where(stale, 2, 0))
+            self.state.update((float(v[-1]), int(changed[-1])))
+            self._alive(t[-1])
         yield pd.DataFrame({"asset": pdf["asset"].to_numpy(), "tag": pdf["tag"].to_numpy(),
-                            "ts": pdf["ts"].to_numpy(), "value": pdf["value"].to_numpy(float),
-                            "quality": np.array(flags, "int32")})
+                            "ts": pdf["ts"].to_numpy(), "value": every, "quality": flags})
 
-    def close(self) -> None:
-        pass
-
-
-def _stateful(stream: DataFrame, processor: StatefulProcessor, ddl: str) -> DataFrame:
+def _stateful(stream: DataFrame, processor: StatefulProcessor, ddl: str, ttl_s: float) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return stream.groupBy("asset", "tag").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=ddl, outputMode="Append", timeMode="None")
+    return stream.withWatermark("ts", f"{int(ttl_s)} seconds").groupBy("asset", "tag").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=ddl, outputMode="Append", timeMode="EventTime")
 
 
-def chart_stream(readings: DataFrame, baseline: DataFrame, frozen_rows: int = 20) -> DataFrame:
+def chart_stream(readings: DataFrame, baseline: DataFrame, frozen_rows: int = 20, limits: DataFrame | None = None,
+                 ttl_s: float = TTL_S, **settings) -> DataFrame:
     """Alerts of a stream of readings against static per-(asset, tag) limits, and counts of what was not judged.
 
+    `limits` (tag, low, high) turns trend projections on for the tags it declares; `settings` go to `ChartProcessor`.
+
     Rows of detector `LATE` and `UNKNOWN` hold such counts, one per series and micro-batch at most; their sums
     and the judged readings add up to all readings that have a value.
     """
     params = baseline.select("asset", "tag", "mean", "sigma", "ucl", "lcl", "ewma_sigma", "ewma_ucl", "ewma_lcl")
     d = readings.select("asset", "tag", "ts", "value").join(params.withColumn("has_baseline", F.lit(True)), ["asset", "tag"], "left")
     d = d.withColumn("has_baseline", F.coalesce("has_baseline", F.lit(False)))
-    return _stateful(d, ChartProcessor(frozen_rows), OUT_DDL)
+    if limits is None:
+        d = d.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "has_limits": F.lit(False)})
+    else:
+        either = F.col("low").isNotNull() | F.col("high").isNotNull()
+        tags = limits.select("tag", F.col("low").cast("double"), F.col("high").cast("double")).filter(either)
+        d = d.join(checked_broadcast(tags.withColumn("has_limits", F.lit(True))), "tag", "left").withColumn(
+            "has_limits", F.coalesce("has_limits", F.lit(False)))
+    return _stateful(d, ChartProcessor(frozen_rows, **settings), OUT_DDL, ttl_s)
 
 
 def without_baseline(readings: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -172,8 +261,7 @@ def without_baseline(readings: DataFrame, baseline: DataFrame) -> DataFrame:
     return readings.join(baseline.select("asset", "tag"), ["asset", "tag"], "left_anti")
 
 
-def quality_stream(readings: DataFrame, tag_map: DataFrame, stale_s: float = 10.0) -> DataFrame:
+def quality_stream(readings: DataFrame, tag_map: DataFrame, stale_s: float = 10.0, ttl_s: float = TTL_S) -> DataFrame:
     d = readings.select("asset", "tag", "ts", "value").join(
         checked_broadcast(tag_map.select("tag", "min_range", "max_range")), "tag")
-    return _stateful(d, StaleProcessor(stale_s),
-                     "asset STRING, tag STRING, ts TIMESTAMP, value DOUBLE, quality INT")
+    return _stateful(d, StaleProcessor(stale_s), "asset STRING, tag STRING, ts TIMESTAMP, value DOUBLE, quality INT", ttl_s)

@@ -8,10 +8,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plantwave.operators import charts, quality, sessions
+from plantwave.operators import charts, drift, quality, rolling, sessions
 from plantwave.operators.recurrences import thin
 from plantwave.operators.rolling import frozen_windows
-from plantwave.streaming import detectors, live
+from plantwave.streaming import buffer, detectors, live
 
 DDL = "asset string, scenario string, ts timestamp, tag string, value double"
 
@@ -81,7 +81,7 @@ def test_charts_count_what_they_drop(spark, tmp_path):
 def test_sessions_match_batch(spark, feed):
     static, stream = feed
     a = lambda d: d.filter("value > 2").withColumn("detector", F.lit("D")).withColumn("severity", F.lit("low"))
-    got = live.run_to_parquet(live.session_stream(a(stream), "10 minutes"), "s", "complete")
+    got = live.run_to_parquet(live.session_stream(a(stream), "10 minutes"), "s")
     full = a(static).select("*", F.lit("k").alias("alert_type"), F.lit(None).cast("string").alias("side"), F.lit(0.0).alias("lim"),
                             F.lit(1.0).alias("confidence"), F.lit("").alias("message"), F.lit(None).cast("map<string,double>").alias("contributors"),
                             F.lit(None).cast("string").alias("extra"))
@@ -105,7 +105,7 @@ def test_unseen_and_downsample(spark, feed):
     static, stream = feed
     out = live.run_to_parquet(live.unseen(stream.withColumn("id", F.col("tag")), "1 day"), "u")
     assert out.count() == 2
-    got = live.run_to_parquet(live.downsample_stream(stream, "10 minutes", "last"), "d", "complete")
+    got = live.run_to_parquet(live.downsample_stream(stream, "10 minutes", "last"), "d")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, live.downsample_stream(static, "10 minutes", "last").collect()))
 
 
@@ -189,3 +189,113 @@ def test_foreach_batch_bodies(spark, feed):
     assert bodies == ["1"]
     end = F.lit("2026-01-01 01:00:00").cast("timestamp")
     assert live.emitted_between(static, None, end).count() > live.emitted_between(static, F.lit("2026-01-01 00:30:00").cast("timestamp"), end).count() > 0
+
+
+# --- the live path -------------------------------------------------------------------------------------
+
+def files(spark, path, frames, ddl=DDL):
+    for part in frames:
+        spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(str(path))
+    return spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def test_all_five_detectors_match_batch(spark, feed):
+    static, stream = feed
+    base = charts.fit_baseline(static, ["asset", "tag"])
+    limits = spark.createDataFrame([("x", -4.0, 4.0), ("y", None, 3.5)], "tag string, low double, high double")
+    got = live.run_to_parquet(detectors.chart_stream(stream, base, 20, limits, trend=(12, 3, 2), horizon_minutes=400,
+                                                     trend_cooldown_s=900), "five").toPandas()
+    want = rolling.trend_alerts(static, limits, 12, 3, 2, horizon_minutes=400, cooldown_s=900).toPandas()
+    key = lambda d: sorted((t, pd.Timestamp(ts), round(v, 6), lim, s) for t, ts, v, lim, s in d[["tag", "ts", "value", "lim", "side"]].itertuples(index=False))
+    assert len(want) > 5 and key(got[got.detector == "Trend.Projection"]) == key(want)
+    assert set(got.detector) == {"SPC.Shewhart", "SPC.EWMA", "Regime.CUSUM", "FrozenSensor", "Trend.Projection"}
+
+
+def test_running_sums_equal_plain_fits():
+    rng = np.random.default_rng(2)
+    us, x = np.cumsum(rng.integers(1, 90, 200)) * 1_000_000, rng.normal(50, 2, 200)
+    x[100:140] = 7.0
+    due, y, slope, r2 = detectors.trend_of_new(us, x, 60, 140, 10, 3, 3)
+    assert [(d + 1 - 10) % 3 for d in due] == [0] * 20 and due.min() >= 140
+    for k, i in enumerate(due):
+        s = [x[max(0, j - 2):j + 1].mean() for j in range(i - 9, i + 1)]
+        t = (us[i - 9:i + 1] - us[0]) / 60e6
+        m = np.polyfit(t, s, 1)[0]
+        assert y[k] == pytest.approx(s[-1]) and slope[k] == pytest.approx(m)
+        assert r2[k] == pytest.approx(np.corrcoef(t, s)[0, 1] ** 2)
+
+
+def test_state_of_silent_series_ends(spark, tmp_path):
+    base = spark.createDataFrame([("a", t, 0.0, 1.0, 3.0, -3.0, 1 / 3, 1.0, -1.0) for t in "xy"],
+                                 "asset string, tag string, mean double, sigma double, ucl double, lcl double, ewma_sigma double, ewma_ucl double, ewma_lcl double")
+    t0 = datetime(2026, 1, 1)
+    rows = lambda tag, *days: [("a", "s", t0 + timedelta(days=d), tag, 0.5) for d in days]
+    feed = files(spark, tmp_path / "in", [rows("x", 0) + rows("y", 0), rows("y", 1, 2), rows("y", 9), rows("y", 10)])
+    progress = []
+    live.run_to_parquet(detectors.chart_stream(feed, base, ttl_s=3 * 86_400), "silent", progress=progress)
+    held = [p.stateOperators[0].numRowsTotal for p in progress]
+    assert held[-1] < max(held)
+
+
+def test_windows_and_recommendations_match_batch(spark, tmp_path):
+    from plantwave.catalog.learning import peaks
+    pdf = make(5, 300)
+    pdf.loc[pdf.index[::37], "value"] += 9
+    pdf = pd.concat([pdf, pdf.assign(asset="b", ts=pdf.ts + pd.Timedelta(hours=3))]).sort_values("ts")
+    static = spark.createDataFrame(pdf, DDL)
+    stream = files(spark, tmp_path / "in", [pdf.iloc[i] for i in np.array_split(np.arange(len(pdf)), 5)])
+    progress = []
+    got = live.run_to_parquet(buffer.windows(stream, 3600, 1500, "1 minute"), "w", progress=progress)
+    want = buffer.windows_of(static, 3600, 1500)
+    rows = lambda d: sorted(map(tuple, d.select("asset", "scenario", "as_of", "ts", "tag", "value").collect()))
+    assert rows(got) == rows(want) and want.count() > 2 * len(pdf)
+    assert progress[-1].stateOperators[0].numRowsTotal == 0
+    path = str(tmp_path / "recs")
+    body = buffer.evaluation_batches(path, peaks, 10)
+    live.run_batches(buffer.windows(stream, 3600, 1500, "1 minute"), "e", body)
+    found = [r.id for r in buffer.stored(spark, path).collect()]
+    enough = want.groupBy("asset", "scenario", "as_of").count().filter("count >= 10")
+    ready = want.join(enough, ["asset", "scenario", "as_of"], "left_semi")
+    assert len(found) == len(set(found)) and set(found) == {r.id for r in peaks(ready).collect()} and found
+    epoch = buffer.stored(spark, path).agg(F.max("epoch")).first()[0]
+    body(ready, epoch)  # a replayed epoch replaces its own rows only
+    assert sorted(r.id for r in buffer.stored(spark, path).collect()) == sorted(found)
+
+
+def test_an_id_fires_once_for_ever(spark, tmp_path):
+    t0 = datetime(2026, 1, 1)
+    ddl = "id string, ts timestamp"
+    batches = [[("a", t0), ("b", t0)], [("a", t0 + timedelta(minutes=5)), ("c", t0)], [("b", t0 + timedelta(minutes=9))]]
+    stream = files(spark, tmp_path / "in", batches, ddl)
+    sent, path = [], str(tmp_path / "out")
+    body = buffer.outbox_batches(path, lambda d, e: sent.extend((r.id, e) for r in d.collect()))
+    kept = []
+    live.run_batches(live.unseen(stream, "1 day"), "once", lambda b, e: (kept.append((b.collect(), e)), body(b, e)))
+    assert sorted(i for i, _ in sent) == ["a", "b", "c"]
+    for rows, epoch in kept:
+        body(spark.createDataFrame(rows, ddl), epoch)
+    assert len(sent) == 3 and sorted(r.id for r in spark.read.parquet(f"{path}/rows").collect()) == ["a", "b", "c"]
+
+
+def test_drift_counts_add_up(spark, feed):
+    """Several micro-batches give one report, and the reference is not read by the body."""
+    static, stream = feed
+    ref = static.limit(300).checkpoint()
+    edges = drift.bin_edges(ref).checkpoint()
+    counts = drift.histogram(ref, edges).checkpoint()
+    seen = []
+    body = live.drift_batches(edges, counts, lambda d, e: seen.append(sorted(map(tuple, d.collect()))))
+    live.run_batches(live.drift_counts(stream, edges), "drift", body, "complete")
+    assert len(seen) == 5 and seen[-1] == sorted(map(tuple, drift.psi_report(ref, static, edges=edges).collect()))
+    assert seen[0] != seen[-1]
+
+
+def test_append_streams_end_their_state(spark, feed):
+    _, stream = feed
+    alerts = stream.filter("value > 2").withColumn("detector", F.lit("D")).withColumn("severity", F.lit("low"))
+    for name, d in (("s", live.session_stream(alerts, "10 minutes", "1 minute")), ("b", live.rolling_buffer(stream, "20 minutes", "10 minutes", "1 minute")),
+                    ("d", live.downsample_stream(stream, "10 minutes", "last", "1 minute"))):
+        progress = []
+        assert live.run_to_parquet(d, name, progress=progress).count() >= 10
+        held = [p.stateOperators[0].numRowsTotal for p in progress]
+        assert held[-1] == 0 and max(held) < 20
