@@ -25,8 +25,23 @@ def staged(df: DataFrame, name: str, **options) -> DataFrame:
     """Write `df` to the shared folder and read it back: a lost executor costs no more than a re-read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
+    schema = df.schema
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    drop_finished(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def drop_finished(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver's collector finds them, which may be long after a step has been written; until then
+    every step's files stay on the disks.
+    """
+    gc.collect()
+    machine = getattr(spark.sparkContext, "_jvm", None)
+    if machine is not None:
+        machine.java.lang.System.gc()
 
 
 def short_batches(spark: SparkSession) -> None:

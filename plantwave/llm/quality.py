@@ -148,6 +148,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int =
 def with_score(docs: DataFrame, rules: Rules, score: str = "score") -> DataFrame:
     """`docs` with one more column, the score from 0 to 1 of the column `text`; one of that name is replaced."""
     stats = statistics(F.col("text"))
-    held, = free(docs.columns, "_statistics")
-    rows = docs.withColumn(held, F.struct(*(c.alias(k) for k, c in stats.items())))
-    return rows.withColumn(score, rules.column({k: F.col(held)[k] for k in stats})).drop(held)
+    held, row = free(docs.columns, "_statistics", "_row")
+    # a column that is not deterministic keeps a filter on the score above the statistics, which it would repeat
+    rows = docs.withColumns({held: F.struct(*(c.alias(k) for k, c in stats.items())), row: F.monotonically_increasing_id()})
+    value = F.when(F.col(row) >= 0, rules.column({k: F.col(held)[k] for k in stats}))
+    return rows.withColumn(score, value).drop(held, row)
