@@ -41,6 +41,40 @@ def _(spark, sf):
     return pca.fit_pca(table(spark, sf, "lineitem"), FOUR).to_table(spark)
 
 
+BY_SUPPLIER = """m AS (SELECT l_suppkey, count(*) AS n, avg(l_quantity) AS m1, stddev_samp(l_quantity) AS s1, avg(l_extendedprice) AS m2,
+ stddev_samp(l_extendedprice) AS s2, corr(l_quantity, l_extendedprice) AS r FROM lineitem GROUP BY 1 HAVING count(*) >= 30)"""
+
+
+@query("pca_models_by_supplier", f"""WITH {BY_SUPPLIER} SELECT l_suppkey, n AS n_train, 1 AS n_components, round(m1, 6) AS mean_1, round(m2, 4) AS mean_2,
+ round(s1, 6) AS std_1, round(s2, 4) AS std_2, round(1 + abs(r), 6) AS eigenvalue, round((1 + abs(r)) / 2, 6) AS variance_explained FROM m""")
+def _(spark, sf):
+    m = pca.fit_pca_by(table(spark, sf, "lineitem"), FOUR[:2], ["l_suppkey"])
+    return m.select("l_suppkey", "n_train", "n_components", r6(F.col("means")[0]).alias("mean_1"), r6(F.col("means")[1], 4).alias("mean_2"),
+                    r6(F.col("stds")[0]).alias("std_1"), r6(F.col("stds")[1], 4).alias("std_2"), r6(F.col("eigenvalues")[0]).alias("eigenvalue"),
+                    r6("variance_explained").alias("variance_explained"))
+
+
+@query("pca_scores_by_supplier", f"""WITH {BY_SUPPLIER}, z AS (SELECT l_suppkey, l_orderkey, l_partkey, l_linenumber, (l_quantity - m1) / s1 AS a,
+ (l_extendedprice - m2) / s2 AS b, r FROM lineitem JOIN m USING (l_suppkey))
+SELECT l_suppkey, l_orderkey, l_partkey, l_linenumber, round(pow(a + sign(r) * b, 2) / 2 / (1 + abs(r)), 6) AS t2, round(pow(a - sign(r) * b, 2) / 2, 6) AS spe FROM z""")
+def _(spark, sf):
+    l = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", *FOUR[:2])
+    s = pca.score_pca_by(l, pca.fit_pca_by(l, FOUR[:2], ["l_suppkey"]), FOUR[:2], ["l_suppkey"])
+    return s.select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", r6("t2").alias("t2"), r6("spe").alias("spe"))
+
+
+@query("pca_alerts_by_asset")
+def _(spark, sf):
+    """Daily means of the tags of each asset, against the asset's own model."""
+    from ..sources.samples import to_wide
+    from .trail import plant_readings
+    tags = ["cstr.T_R_C", "column.purity_B", "column.RR", "cstr.F_cool", "column.Q_reb_kW"]
+    daily = plant_readings(spark, sf).groupBy("asset", "scenario", F.date_trunc("day", "ts").alias("ts"), "tag").agg(F.avg("value").alias("value"))
+    wide = to_wide(daily, tags)
+    cols = [c for c in wide.columns if c not in ("asset", "scenario", "ts")]
+    return pca.pca_alerts_by(wide, pca.fit_pca_by(wide, cols), cols, cooldown_s=86_400 * 2).drop("extra")
+
+
 @query("pca_high_dimension")
 def _(spark, sf):
     """64 embedding dimensions as tags."""

@@ -463,3 +463,21 @@ def _(spark, sf):
     back = grid.select("asset", "scenario", F.col("ts").alias("origin_ts"), F.col("real_us").alias("origin_us"))
     return d.join(back, ["asset", "scenario", "origin_ts"]).select(
         "scenario", "origin_us", F.col("pos").cast("long").alias("pos"), r6("predicted").alias("predicted"), "actual")
+
+
+@query("latest_forecasts", """WITH x AS (SELECT user_id, event_type, ts, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, value DESC) AS back
+ FROM events), n AS (SELECT user_id, event_type, max(ts) AS now, count(*) AS have, avg(value) AS p FROM x WHERE back <= 5 GROUP BY 1, 2)
+SELECT user_id::VARCHAR AS asset, event_type AS scenario, have, 5 AS needs, have < 5 AS warming_up, epoch_us(now) AS now_us, CASE WHEN have = 5 THEN k END AS pos,
+ CASE WHEN have = 5 THEN epoch_us(now) + (k + 1) * 60000000 END AS target_us, CASE WHEN have = 5 THEN round(p, 6) END AS predicted
+FROM n, range(0, 3) s(k) WHERE have = 5 OR k = 0""")
+def _(spark, sf):
+    """Points ahead of the last reading of every (user, event type), or how much of the lookback is there."""
+    r = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("asset"), F.col("event_type").alias("scenario"),
+                                          F.col("ts").cast("timestamp").alias("ts"), "value")
+    now = windows.latest_windows(r, ["value"], 5, tie=["value"], seconds=chunk_seconds_for(r, ["asset", "scenario"]))
+    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v["value"]) / 5
+    made = now.filter(~F.col("warming_up")).withColumn("trajectory", F.array_repeat(mean, 3))
+    points = windows.aligned_forecasts(made, r.limit(0), ["asset", "scenario"], 60_000_000, future=True)
+    state = now.select("asset", "scenario", "have", "needs", "warming_up", us("ts").alias("now_us"))
+    return state.join(points.select("asset", "scenario", F.col("pos").cast("long").alias("pos"), us("ts").alias("target_us"),
+                                    r6("predicted").alias("predicted")), ["asset", "scenario"], "left")

@@ -90,8 +90,32 @@ def point_horizons(df: DataFrame, trajectory: str, horizons_min: Sequence[float]
 
 
 def aligned_forecasts(forecasts: DataFrame, readings: DataFrame, keys: Sequence[str],
-                      period_us: int, ts: str = "ts", value: str = "value") -> DataFrame:
-    """Every trajectory point joined with the reading at its own time."""
+                      period_us: int, ts: str = "ts", value: str = "value", future: bool = False) -> DataFrame:
+    """Every trajectory point with the reading at its own time.
+
+    Points without a reading are left out; with `future` they stay and their `actual` is null.
+    """
     d = forecasts.select(*keys, F.col(ts).alias("origin_ts"), F.posexplode("trajectory").alias("pos", "predicted"))
     d = d.withColumn(ts, F.timestamp_micros(F.unix_micros("origin_ts") + (F.col("pos") + 1) * F.lit(period_us)))
-    return d.join(readings.select(*keys, ts, F.col(value).alias("actual")), [*keys, ts])
+    actual = readings.select(*keys, ts, F.col(value).alias("actual"))
+    return d.join(actual, [*keys, ts], "left" if future else "inner")
+
+
+def latest_windows(wide: DataFrame, features: Sequence[str], lookback: int,
+                   keys: Sequence[str] = ("asset", "scenario"), ts: str = "ts", tie: Sequence[str] = (),
+                   seconds: int | None = None) -> DataFrame:
+    """The present state of each series as one row, to forecast from.
+
+    `x` = its last `lookback` rows without a null feature, `ts` = the time of the last one, `have` = the
+    smaller of its rows and `lookback`, `warming_up` = whether there are too few; `x` is null then.  A series
+    without a complete row has `have` 0 and a null `ts`.
+    """
+    d = index_rows(wide.dropna(subset=list(features)), keys, [ts, *tie], ts, seconds)
+    last = d.filter(F.col("rn") > F.col("n_rows") - lookback).groupBy(*keys).agg(
+        F.max(ts).alias(ts), F.count(F.lit(1)).alias("have"),
+        F.array_sort(F.collect_list(F.struct("rn", F.struct(*features).alias("row")))).alias("_rows"))
+    found = wide.select(*keys).distinct().join(last, list(keys), "left")
+    short = F.coalesce(F.col("have"), F.lit(0)) < lookback
+    return found.select(
+        *keys, ts, F.coalesce("have", F.lit(0)).cast("long").alias("have"), F.lit(lookback).alias("needs"),
+        short.alias("warming_up"), F.when(~short, F.transform("_rows", lambda r: r["row"])).alias("x"))

@@ -82,7 +82,8 @@ def detect(readings: DataFrame, dim: DataFrame, cfg: Settings, extra: Sequence[D
                 readings.filter(F.col("tag").isin(list(cfg.pca_tags))), cfg.training_fraction, seconds=seconds), cfg.pca_tags)
         else:
             fit_on = wide.filter(F.col("scenario") == cfg.baseline_scenario)
-        streams.append(pca.pca_alerts(wide, pca.fit_pca(fit_on, cols), seconds=seconds))
+        models = pca.fit_pca_by(fit_on, cols).checkpoint()
+        streams.append(pca.pca_alerts_by(wide, models, cols, seconds=seconds))
     streams += [d(live) for d in extra]
     return after_warmup(union_alerts(*streams), run_starts(live), cfg.warmup_minutes)
 

@@ -237,3 +237,66 @@ def test_pca_alerts_on_a_broken_correlation(spark):
     assert a and a[0].tag is None and "column_T_bot_C" in a[0].contributors
     with pytest.raises(ValueError):
         pca.fit_pca(w.limit(10), cols)
+
+
+def test_pca_per_asset_equals_a_model_of_its_own(spark):
+    rng = np.random.default_rng(5)
+    frames = []
+    for k, n in enumerate([400, 60, 29, 50]):
+        x = rng.normal(size=(n, 2)) @ rng.normal(size=(2, 4)) + 0.2 * rng.normal(size=(n, 4)) + 10 * k
+        if k == 1:
+            x[:, 3] = 7.0  # one tag stands still
+        if k == 3:
+            x[:] = 1.0  # all of them do
+        frames.append(pd.DataFrame(x, columns=list("pqrs")).assign(asset=f"a{k}"))
+    pdf = pd.concat(frames, ignore_index=True).assign(i=lambda d: range(len(d)))
+    df = spark.createDataFrame(pdf).withColumn("p", F.when(F.col("i") != 3, F.col("p")))
+    cols = list("pqrs")
+    models = pca.fit_pca_by(df.union(df.limit(1).withColumn("asset", F.lit(None).cast("string"))), cols)
+    got = pca.score_pca_by(df, models, cols, top=2).orderBy("i").toPandas()
+    assert sorted(r.asset for r in models.collect()) == ["a0", "a1"]
+    for asset in ("a0", "a1"):
+        mine = df.filter(F.col("asset") == asset)
+        one = pca.fit_pca(mine, cols)
+        table = pca.PcaModel.from_table(models.filter(F.col("asset") == asset).drop("asset"))
+        assert (table.n_components, table.n_train) == (one.n_components, one.n_train)
+        assert np.allclose([table.t2_limit, table.spe_limit], [one.t2_limit, one.spe_limit])
+        want, have = pca.score_pca(mine, one, top=2).orderBy("i").toPandas(), got[got.asset == asset]
+        assert have.i.tolist() == want.i.tolist()
+        assert np.allclose(have.t2, want.t2) and np.allclose(have.spe, want.spe)
+        assert have.contributors.map(lambda c: sorted(dict(c))).tolist() == want.contributors.map(lambda c: sorted(dict(c))).tolist()
+    with pytest.raises(ValueError):
+        pca.moments_by(df, ["p"] * 33, ["asset"])
+    assert pca.score_pca_by(df.limit(0), models.limit(0), cols).count() == 0
+
+
+def test_pca_alerts_per_asset(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(3):
+        x = rng.normal(size=(200, 1)) @ np.array([[1.0, 2.0 - k, 0.5]]) + 0.05 * rng.normal(size=(200, 3)) + 100 * k
+        x[150] += [0, 3, 0] if k == 1 else 0
+        rows.append(pd.DataFrame(x, columns=list("pqr")).assign(asset=f"a{k}", scenario="s",
+                                                                ts=pd.date_range("2026-01-01", periods=200, freq="1min")))
+    w = spark.createDataFrame(pd.concat(rows))
+    fit = pca.fit_pca_by(w.filter("ts < timestamp'2026-01-01 02:00:00'"), list("pqr"))
+    a = pca.pca_alerts_by(w, fit, list("pqr"), cooldown_s=0).filter("detector = 'PCA.SPE' AND ts = timestamp'2026-01-01 02:30:00'").collect()
+    assert "a1" in {r.asset for r in a} and all("q" in r.contributors for r in a if r.asset == "a1")
+
+
+def test_points_in_the_future_and_warm_up(spark):
+    t = pd.date_range("2026-01-01", periods=8, freq="1min")
+    pdf = pd.concat([pd.DataFrame({"asset": "a", "scenario": "long", "ts": t, "v": np.arange(8.0)}),
+                     pd.DataFrame({"asset": "a", "scenario": "short", "ts": t[:2], "v": [1.0, 2.0]}),
+                     pd.DataFrame({"asset": "b", "scenario": "empty", "ts": t[:1], "v": [np.nan]})])
+    w = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    for seconds in (None, 60):
+        now = {r.scenario: r for r in windows.latest_windows(w, ["v"], 3, seconds=seconds).collect()}
+        assert [x.v for x in now["long"].x] == [5.0, 6.0, 7.0] and not now["long"].warming_up and now["long"].ts == t[-1]
+        assert (now["short"].have, now["short"].needs, now["short"].warming_up, now["short"].x) == (2, 3, True, None)
+        assert (now["empty"].have, now["empty"].ts, now["empty"].warming_up) == (0, None, True)
+    made = spark.createDataFrame(pd.DataFrame({"asset": "a", "scenario": "long", "ts": [t[5]], "trajectory": [[9.0, 8.0, 7.0, 6.0]]}))
+    read = w.withColumnRenamed("v", "value")
+    every = windows.aligned_forecasts(made, read, ["asset", "scenario"], 60_000_000, future=True).orderBy("pos").collect()
+    assert [(r.predicted, r.actual) for r in every] == [(9.0, 6.0), (8.0, 7.0), (7.0, None), (6.0, None)]
+    assert windows.aligned_forecasts(made, read, ["asset", "scenario"], 60_000_000).count() == 2
