@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.ladders import agreement
-from ..operators import charts, divergence, learn, pca, reports
+from ..operators import charts, divergence, learn, pca, reports, windows
 from ..operators.scale import chunk_seconds_for
 from ..plans import retrain
 from ..streaming import detectors, live
@@ -186,6 +186,29 @@ def _(spark, sf):
     return m
 
 
+@query("model_detectors")
+def _(spark, sf):
+    """Daily means of the tags of each asset against a soft sensor of the purity and a forecast of the reactor temperature."""
+    from ..model import physical_name
+    from ..plans.model_detectors import forecast_detector, soft_sensor_detector
+    from ..sources.samples import to_wide
+    from .trail import plant_readings
+    tags = ["cstr.T_R_C", "column.purity_B", "column.RR"]
+    day = 86_400.0
+    daily = plant_readings(spark, sf).filter(F.col("tag").isin(tags)).groupBy(
+        "asset", "scenario", F.date_trunc("day", "ts").alias("ts"), "tag").agg(F.avg("value").alias("value"))
+    wide = to_wide(daily, tags).dropna()
+    cols = [physical_name(t) for t in tags]
+    key = F.concat_ws("|", "asset", F.unix_seconds("ts"))
+    sensor = learn.fit_soft_sensor(wide, [cols[0], cols[2]], cols[1], key, n_models=2, trees=8, depth=3, step=0.3)
+    model = learn.fit_forecaster(windows.lag_features(wide, cols[:1], cols[:1], [0, 1, 2], [1, 3]), cols[:1], cols[:1], [0, 1, 2], [1, 3])
+    limits = spark.createDataFrame([("cstr.T_R_C", 79.5, "above", "medium", "high", 0.5)],
+                                   "tag string, limit double, direction string, near string, far string, far_offset double")
+    found = soft_sensor_detector(sensor, tags, tags[1], day, 2 * 1440, 5 * 1440)(daily).unionByName(
+        forecast_detector(model, tags, limits, day, 2 * 1440, 5 * 1440)(daily))
+    return found.select("asset", "detector", "tag", "side", "severity", us("ts").alias("ts_us"), r6("value").alias("value"))
+
+
 @query("retrain_and_promote")
 def _(spark, sf):
     l = table(spark, sf, "lineitem")

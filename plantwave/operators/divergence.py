@@ -65,11 +65,12 @@ def divergence_alerts(scored: DataFrame, tag: str, min_rows: int, cooldown_rows:
 
 def forecast_violations(forecasts: DataFrame, limits: DataFrame, period_min: float = 1.0,
                         cooldown_minutes: float = 30.0, keys: Sequence[str] = ("asset", "scenario"),
-                        seconds: int | None = None) -> DataFrame:
+                        seconds: int | None = None, steps: Sequence[int] | None = None) -> DataFrame:
     """Earliest predicted limit crossing per target.
 
     `forecasts`: keys, ts, tag, current, trajectory array.  `limits` (fixed rows): tag,
-    limit, direction, near, far, far_offset.
+    limit, direction, near, far, far_offset.  `steps` are the periods ahead of the trajectory's
+    values, in ascending order; by default 1, 2, 3, …
     """
     d = forecasts.join(checked_broadcast(limits), "tag")
     crossed = F.transform("trajectory", lambda v: F.when(
@@ -77,6 +78,8 @@ def forecast_violations(forecasts: DataFrame, limits: DataFrame, period_min: flo
     step = F.array_position(crossed, F.lit(True))
     d = d.withColumn("step", step).filter(F.col("step") > 0)
     d = d.withColumn("predicted", F.element_at("trajectory", F.col("step").cast("int")))
+    if steps is not None:
+        d = d.withColumn("step", F.element_at(F.array(*map(F.lit, steps)), F.col("step").cast("int")))
     d = d.withColumn("horizon_minutes", F.col("step") * float(period_min))
     d = d.withColumn("excess", F.when(F.col("direction") == "below", F.col("limit") - F.col("predicted"))
                      .otherwise(F.col("predicted") - F.col("limit")))
@@ -86,8 +89,9 @@ def forecast_violations(forecasts: DataFrame, limits: DataFrame, period_min: flo
 
 
 def forecast_alerts(forecasts: DataFrame, limits: DataFrame, period_min: float = 1.0,
-                    cooldown_minutes: float = 30.0, seconds: int | None = None) -> DataFrame:
-    v = forecast_violations(forecasts, limits, period_min, cooldown_minutes, seconds=seconds)
+                    cooldown_minutes: float = 30.0, seconds: int | None = None,
+                    steps: Sequence[int] | None = None) -> DataFrame:
+    v = forecast_violations(forecasts, limits, period_min, cooldown_minutes, seconds=seconds, steps=steps)
     return as_alerts(
         v, detector="LSTM.Forecast", alert_type="trend_projection", severity=F.col("severity"),
         side=F.col("direction"), value=F.col("current"), lim=F.col("limit"), confidence=F.lit(0.75),

@@ -33,19 +33,23 @@ def forecast_windows(wide: DataFrame, features: Sequence[str], targets: Sequence
 
 def lag_features(wide: DataFrame, features: Sequence[str], targets: Sequence[str], lags: Sequence[int],
                  horizons: Sequence[int], keys: Sequence[str] = ("asset", "scenario"), ts: str = "ts",
-                 tie: Sequence[str] = (), seconds: int | None = None) -> DataFrame:
-    """Flat training rows: `f__lag` inputs and `t__h` outputs, complete rows only."""
-    used = list(dict.fromkeys([*features, *targets]))
+                 tie: Sequence[str] = (), seconds: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Flat training rows: `f__lag` inputs and `t__h` outputs, complete rows only.
+
+    Without horizons the rows are those to predict from, up to the last one; `carry` columns come along.
+    """
+    used = list(dict.fromkeys([*features, *targets, *carry]))
+    ahead = max(horizons, default=0)
     d = index_rows(wide.dropna(subset=used), keys, [ts, *tie], ts, seconds)
-    d, parts, own = with_halo(d, keys, max(lags), max(horizons), TARGET_ROWS if seconds else None)
+    d, parts, own = with_halo(d, keys, max(lags), ahead, TARGET_ROWS if seconds else None)
     from pyspark.sql import Window
     w = Window.partitionBy(*parts).orderBy("rn")
     xs = {f"{f}__lag{k}": F.lag(f, k).over(w) for f in features for k in lags}
     ys = {f"{t}__h{h}": F.lead(t, h).over(w) for t in targets for h in horizons}
-    d = d.select(*keys, F.col(ts).alias("now_ts"), "rn", "n_rows", own.alias("_mine"),
+    d = d.select(*keys, F.col(ts).alias("now_ts"), "rn", "n_rows", own.alias("_mine"), *carry,
                  *[c.alias(n) for n, c in {**xs, **ys}.items()])
     return d.filter("_mine").drop("_mine").filter(
-        (F.col("rn") > max(lags)) & (F.col("rn") + max(horizons) <= F.col("n_rows"))).drop("n_rows")
+        (F.col("rn") > max(lags)) & (F.col("rn") + ahead <= F.col("n_rows"))).drop("n_rows")
 
 
 def time_split(df: DataFrame, fraction: float = 0.2, ts: str = "now_ts", tie: Sequence[str] = (),

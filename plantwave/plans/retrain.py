@@ -23,28 +23,28 @@ def _stamped(metrics: DataFrame, model: str, snapshot: str, run_ts: Column, n_tr
         "mae", "rmse", "r2", F.lit(n_train).cast("long").alias("n_train"), F.col("n").alias("n_test"))
 
 
-def with_promotion(new: DataFrame, history: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """The new metrics row with its baseline and the promotion verdict."""
+def with_promotion(new: DataFrame, history: DataFrame, threshold: float = 0.0, force: bool = False) -> DataFrame:
+    """The new metrics row with its baseline and the promotion verdict; `force` promotes in any case."""
     base = latest_metrics(history).select("model", F.col("mae").alias("baseline_mae"))
     return new.join(base, "model", "left").withColumn(
-        "promoted", should_promote(F.col("mae"), F.col("baseline_mae"), threshold))
+        "promoted", F.lit(force) | should_promote(F.col("mae"), F.col("baseline_mae"), threshold))
 
 
 def retrain_soft_sensor(samples: DataFrame, features: Sequence[str], target: str, key: Column, history: DataFrame,
-                        snapshot: str, run_ts: Column, threshold: float = 0.0, **model_args):
+                        snapshot: str, run_ts: Column, threshold: float = 0.0, force: bool = False, **model_args):
     train, test = holdout(samples, key)
     sensor = fit_soft_sensor(train, features, target, key, **model_args)
     metrics = regression_metrics(sensor.predict(test), [], target, "predicted")
     return sensor, with_promotion(_stamped(metrics, "soft_sensor", snapshot, run_ts, sensor.n_train),
-                                  history, threshold)
+                                  history, threshold, force)
 
 
 def retrain_forecaster(wide: DataFrame, features, targets, lags, horizons, history: DataFrame, snapshot: str,
                        run_ts: Column, keys=("asset", "scenario"), ts: str = "ts", threshold: float = 0.0,
-                       seconds: int | None = None):
+                       seconds: int | None = None, force: bool = False):
     model, metrics = evaluate_forecaster(wide, features, targets, lags, horizons, keys, ts, seconds=seconds)
     flat = metrics.agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.avg("r2").alias("r2"),
                        F.max("n").alias("n"))
     worst = collapse_metrics(metrics).select("mae_worst")
     new = _stamped(flat, "forecaster", snapshot, run_ts, model.n_train)
-    return model, with_promotion(new, history, threshold).join(F.broadcast(worst)), metrics
+    return model, with_promotion(new, history, threshold, force).join(F.broadcast(worst)), metrics
