@@ -200,11 +200,11 @@ def _(spark, sf):
     wide = to_wide(daily, tags).dropna()
     cols = [physical_name(t) for t in tags]
     key = F.concat_ws("|", "asset", F.unix_seconds("ts"))
-    sensor = learn.fit_soft_sensor(wide, [cols[0], cols[2]], cols[1], key, n_models=2, trees=8, depth=3, step=0.3)
+    sensor = learn.fit_soft_sensor(wide, [cols[0], cols[2]], cols[1], key, n_models=2, trees=4, depth=2, step=0.3)
     model = learn.fit_forecaster(windows.lag_features(wide, cols[:1], cols[:1], [0, 1, 2], [1, 3]), cols[:1], cols[:1], [0, 1, 2], [1, 3])
-    limits = spark.createDataFrame([("cstr.T_R_C", 79.5, "above", "medium", "high", 0.5)],
+    limits = spark.createDataFrame([("cstr.T_R_C", 79.2, "above", "medium", "high", 0.5)],
                                    "tag string, limit double, direction string, near string, far string, far_offset double")
-    found = soft_sensor_detector(sensor, tags, tags[1], day, 2 * 1440, 5 * 1440)(daily).unionByName(
+    found = soft_sensor_detector(sensor, tags, tags[1], day, 2 * 1440, 5 * 1440, abs_tol=0.1, rel_tol=0.0)(daily).unionByName(
         forecast_detector(model, tags, limits, day, 2 * 1440, 5 * 1440)(daily))
     return found.select("asset", "detector", "tag", "side", "severity", us("ts").alias("ts_us"), r6("value").alias("value"))
 
