@@ -42,7 +42,7 @@ def test_spike_is_one_shewhart_alert(runs):
     r, base = runs
     a = charts.shewhart_alerts(r.filter("scenario = 'spike' AND tag = 'cstr.T_R_C'"), base).collect()
     hot = [x for x in a if x.severity == "critical"]
-    assert len(hot) == 1 and hot[0].ts == pd.Timestamp("2026-01-01 00:50:00") and hot[0].side == "above"
+    assert len(hot) == 1 and hot[0].ts == pd.Timestamp("2026-01-01 00:43:00") and hot[0].side == "above"
     assert hot[0].confidence == 1.0 and hot[0].extra.deviation_sigma > 8
 
 
