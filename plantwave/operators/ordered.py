@@ -48,8 +48,8 @@ def before(keys: Sequence[str], agg: Column) -> Column:
 
 
 def after(keys: Sequence[str], agg: Column) -> Column:
-    return agg.over(Window.partitionBy(*keys).orderBy(CHUNK)
-                    .rowsBetween(1, Window.unboundedFollowing))
+    # from the other end: a frame without an end is computed anew for every row
+    return agg.over(Window.partitionBy(*keys).orderBy(F.desc(CHUNK)).rowsBetween(*BEFORE))
 
 
 def overall(keys: Sequence[str], agg: Column) -> Column:
@@ -157,16 +157,19 @@ def last_known(df: DataFrame, keys: Sequence[str], order: Sequence, value: Colum
 
 def next_known(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column, out: str,
                ts: str = "ts", seconds: int | None = None) -> DataFrame:
-    """Earliest non-null `value` at or after each row (backward fill)."""
-    w = ordered_window(keys, order, seconds).rowsBetween(0, Window.unboundedFollowing)
+    """Earliest non-null `value` at or after each row (backward fill).
+
+    The window runs backwards: in a frame without an end every row would cost all rows after it.
+    """
+    w = ordered_window(keys, [_plain(o).desc() for o in order], seconds).rowsBetween(Window.unboundedPreceding, 0)
     d = df.withColumn("__x", value)
     if not seconds:
-        return d.withColumn(out, F.first("__x", ignorenulls=True).over(w)).drop("__x")
+        return d.withColumn(out, F.last("__x", ignorenulls=True).over(w)).drop("__x")
     marker = F.struct(*[_plain(o) for o in order], F.col("__x"))
     d = chunk_carry(
         with_chunk(d, ts, seconds), keys,
         {"__m": F.min(F.when(F.col("__x").isNotNull(), marker))},
         {"__lead": after(keys, F.min("__m")).getField("__x")},
     )
-    return as_found(d.withColumn(out, F.coalesce(F.first("__x", ignorenulls=True).over(w), F.col("__lead")))
+    return as_found(d.withColumn(out, F.coalesce(F.last("__x", ignorenulls=True).over(w), F.col("__lead")))
                     .drop("__x", "__lead"), df)
