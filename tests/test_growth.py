@@ -27,3 +27,8 @@ def test_backward_fill_has_no_frame_without_end(spark, seconds):
     back = ordered.next_known(d, KEYS, ["ts"], F.col("value"), "b", seconds=seconds)
     want = {i: next((j for j in range(i, 1000) if j % 7 == 3), None) for i in range(1000)}
     assert {r.s: r.b for r in back.select(F.unix_seconds("ts").alias("s"), "b").collect()} == want
+
+
+def test_outcomes_of_a_run_have_no_frame_without_end(spark):
+    import __spark_entry__ as entry
+    assert "unboundedfollowing" not in plan(entry.queries()["monitoring_run"](spark, "/root/testdata/sf0.001"))
