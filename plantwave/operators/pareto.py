@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, shared_dir
 from .ordered import chunk_carry, after, before
 from .scale import CHUNK, TARGET_ROWS
 
@@ -17,7 +19,7 @@ from .scale import CHUNK, TARGET_ROWS
 SLICE = 20_000
 CELL = 2_000
 MOST_CELLS = 1_000
-#: Distinct vectors of a slice that is ranked in one job.
+#: Distinct vectors that are ranked in one job.
 RANK_SLICE = 50_000
 
 
@@ -200,18 +202,20 @@ def pareto_front(df: DataFrame, objectives: Sequence[tuple[str, str]], slice_row
 class Staircases:
     """Points by rank, kept as what later points can still meet: per rank those no other one is below in all but the first objective."""
 
-    def __init__(self, dims: int):
-        self.dims, self.steps = dims, []
+    def __init__(self, rest: np.ndarray, ranks: np.ndarray):
+        self.steps = [rest[ranks == r] for r in range(int(ranks.max(initial=-1)) + 1)]
 
-    def add(self, rank: int, rest: np.ndarray) -> None:
+    def add(self, rank: int, rest: Sequence[float]) -> None:
+        rest = np.asarray(rest)
         if rank == len(self.steps):
-            self.steps.append(np.empty((0, self.dims)))
+            self.steps.append(np.empty((0, len(rest))))
         at = self.steps[rank]
         if not (at <= rest).all(1).any():
             self.steps[rank] = np.vstack([at[~(rest <= at).all(1)], rest])
 
-    def rank(self, rest: np.ndarray) -> int:
+    def rank(self, rest: Sequence[float]) -> int:
         """The first rank without a dominator; ranks below it have one each, so halving finds it."""
+        rest = np.asarray(rest)
         low, high = 0, len(self.steps)
         while low < high:
             middle = (low + high) // 2
@@ -221,62 +225,131 @@ class Staircases:
                 high = middle
         return low
 
+    def kept(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.vstack(self.steps), np.repeat(np.arange(len(self.steps)), [len(s) for s in self.steps])
 
-def rank_slice(points: np.ndarray, stairs: Staircases) -> np.ndarray:
+
+class Reach:
+    """The highest rank among points that are no worse in up to two objectives, for what `Staircases` does for any number.
+
+    A binary indexed tree over the first of them holds in each node the second in ascending order, with ranks that
+    rise along it.  A point costs some bisections, however many ranks there are.  What is kept are the points that none
+    of the same or a higher rank is below: with few different values they are few, whatever the number of ranks.
+    """
+
+    def __init__(self, rest: np.ndarray, ranks: np.ndarray, coming: np.ndarray):
+        self.dims = rest.shape[1]
+        firsts = np.concatenate([rest[:, 0], coming[:, 0]]) if self.dims else np.zeros(1)
+        self.firsts = np.unique(firsts).tolist()
+        self.nodes = [([], []) for _ in range(len(self.firsts) + 1)]
+        self.points = []
+        for row, rank in zip(rest.tolist(), ranks.tolist()):
+            self.add(rank, row)
+
+    def _two(self, rest: Sequence[float]) -> tuple[float, float]:
+        return (rest[0] if self.dims else 0.0), (rest[1] if self.dims > 1 else 0.0)
+
+    def add(self, rank: int, rest: Sequence[float]) -> None:
+        a, b = self._two(rest)
+        self.points.append((-rank, a, b))
+        i = bisect_left(self.firsts, a) + 1
+        while i < len(self.nodes):
+            seconds, ranks = self.nodes[i]
+            at = bisect_right(seconds, b)
+            if not at or ranks[at - 1] < rank:
+                start = end = bisect_left(seconds, b)
+                while end < len(ranks) and ranks[end] <= rank:
+                    end += 1
+                seconds[start:end], ranks[start:end] = [b], [rank]
+            i += i & -i
+
+    def rank(self, rest: Sequence[float]) -> int:
+        a, b = self._two(rest)
+        i, top = bisect_right(self.firsts, a), -1
+        while i:
+            seconds, ranks = self.nodes[i]
+            at = bisect_right(seconds, b)
+            if at and ranks[at - 1] > top:
+                top = ranks[at - 1]
+            i -= i & -i
+        return top + 1
+
+    def kept(self) -> tuple[np.ndarray, np.ndarray]:
+        out, xs, ys = [], [], []
+        for point in sorted(self.points):
+            _, a, b = point
+            at = bisect_right(xs, a)
+            if at and ys[at - 1] <= b:
+                continue
+            out.append(point)
+            start = end = bisect_left(xs, a)
+            while end < len(ys) and ys[end] >= b:
+                end += 1
+            xs[start:end], ys[start:end] = [a], [b]
+        found = np.array(out, float).reshape(-1, 3)
+        return found[:, 1:1 + self.dims], -found[:, 0].astype("int64")
+
+
+def rank_slice(points: np.ndarray, stairs: Staircases | Reach) -> np.ndarray:
     """Ranks of distinct points that all come after those in `stairs` in ascending order of their objectives.
 
     A dominator comes earlier in that order, and an earlier point that is no worse in all but the first objective is one.
     """
     ranks = np.zeros(len(points), dtype=np.int32)
-    for i in np.lexsort(points.T[::-1]):
-        ranks[i] = stairs.rank(points[i, 1:])
-        stairs.add(int(ranks[i]), points[i, 1:])
+    rest = points[:, 1:].tolist()
+    for i in np.lexsort(points.T[::-1]).tolist():
+        ranks[i] = rank = stairs.rank(rest[i])
+        stairs.add(rank, rest[i])
     return ranks
 
 
-def _all_ranks(df: DataFrame, objectives: Sequence[tuple[str, str]], slice_rows: int) -> DataFrame:
+def _all_ranks(df: DataFrame, objectives: Sequence[tuple[str, str]], slice_rows: int, job_rows: int) -> DataFrame:
+    spark = df.sparkSession
     cols_map = signed(objectives)
     cols = list(cols_map)
     whole = F.lit(True)
     for c in cols:
         whole = whole & F.col(c).isNotNull() & ~F.isnan(c)
-    d = df.withColumns(cols_map)
+    # kept, as sums in another order need not give the same vector again
+    d = df.withColumns(cols_map).checkpoint()
     vectors = d.filter(whole).select(*cols).distinct().checkpoint()
     n = vectors.count()
-    slices = max(1, -(-n // slice_rows))
-    placed = vectors.repartitionByRange(slices, *cols).withColumn("_slice", F.spark_partition_id()).checkpoint()
-    order = [r[0] for r in placed.select("_slice").distinct().orderBy("_slice").collect()]
-    kept, done, schema = None, None, ", ".join(f"{c} double" for c in cols)
+    if not n:
+        return df.withColumn("rank", F.lit(None).cast("int"))
+    base = f"{shared_dir(spark)}/ranks-{uuid.uuid4().hex}"
+    vectors.repartitionByRange(-(-n // max(slice_rows, job_rows)), *cols).withColumn(
+        "_job", F.spark_partition_id()).write.partitionBy("_job").parquet(f"{base}/points")
+    order = [r[0] for r in spark.read.parquet(f"{base}/points").select("_job").distinct().orderBy("_job").collect()]
+    point_ddl = ", ".join(f"{c} double" for c in cols)
+    ranked_ddl = f"{point_ddl}, rank int, _stair boolean"
 
     def step(points: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        stairs = Staircases(len(cols) - 1)
-        for rank, rows in held.groupby("rank"):
-            stairs.steps.append(rows[cols[1:]].to_numpy(float))
-            assert len(stairs.steps) == rank + 1
-        points = points[cols].reset_index(drop=True)
-        ranked = points.assign(rank=rank_slice(points.to_numpy(float), stairs), _stair=False)
-        steps = [np.hstack([np.zeros((len(s), 1)), s, np.full((len(s), 1), r)]) for r, s in enumerate(stairs.steps)]
-        steps = pd.DataFrame(np.vstack(steps), columns=[*cols, "rank"]).assign(_stair=True)
+        x = points[cols].sort_values(cols).to_numpy(float)
+        held_rest, held_ranks = held[cols[1:]].to_numpy(float), held["rank"].to_numpy("int64")
+        stairs = Reach(held_rest, held_ranks, x[:, 1:]) if len(cols) <= 3 else Staircases(held_rest, held_ranks)
+        ranks = [rank_slice(x[i:i + slice_rows], stairs) for i in range(0, len(x), slice_rows)]
+        ranked = pd.DataFrame(x, columns=cols).assign(rank=np.concatenate(ranks), _stair=False)
+        rest, at = stairs.kept()
+        steps = pd.DataFrame(np.hstack([np.zeros((len(rest), 1)), rest]), columns=cols).assign(rank=at, _stair=True)
         return pd.concat([ranked, steps], ignore_index=True).astype({"rank": "int32"})
 
+    held = spark.createDataFrame([], ranked_ddl)
     for k in order:
-        points = placed.filter(F.col("_slice") == k).groupBy(F.lit(0).alias("_g"))
-        held = kept if kept is not None else df.sparkSession.createDataFrame([], f"{schema}, rank int, _stair boolean")
-        found = points.cogroup(held.groupBy(F.lit(0).alias("_g"))).applyInPandas(
-            step, f"{schema}, rank int, _stair boolean").checkpoint()
-        kept, ranked = found.filter("_stair"), found.filter("NOT _stair").drop("_stair")
-        done = ranked if done is None else done.unionByName(ranked)
-    if done is None:
-        return df.withColumn("rank", F.lit(None).cast("int"))
+        points = spark.read.schema(point_ddl).parquet(f"{base}/points/_job={k}").groupBy(F.lit(0).alias("_g"))
+        points.cogroup(held.groupBy(F.lit(0).alias("_g"))).applyInPandas(step, ranked_ddl).write.parquet(f"{base}/ranked-{k}")
+        held = spark.read.schema(ranked_ddl).parquet(f"{base}/ranked-{k}").filter("_stair")
+    done = spark.read.schema(ranked_ddl).parquet(*[f"{base}/ranked-{k}" for k in order]).filter("NOT _stair").drop("_stair")
     return d.join(done, cols, "left").drop(*cols)
 
 
 def pareto_ranks(df: DataFrame, objectives: Sequence[tuple[str, str]], id_column: str,
-                 max_rank: int | None = None, at_least: int | None = None, slice_rows: int = RANK_SLICE) -> DataFrame:
+                 max_rank: int | None = None, at_least: int | None = None, slice_rows: int = RANK_SLICE,
+                 job_rows: int = RANK_SLICE) -> DataFrame:
     """The rank of every point: the length of its longest chain of dominators, 0 on the front.
 
-    Distinct vectors are sorted into slices of about `slice_rows`; one job per slice ranks it behind the staircases
-    of the ranks so far, whose size follows the surface of the data, not its rows, and not the number of fronts.  Points with a null
+    Distinct vectors are sorted and ranked in slices of `slice_rows`, each behind what is left to meet of the points
+    before it; a job takes the slices of about `job_rows` vectors, reads these only and hands on what is left to meet,
+    whose size follows the surface of the data, not its rows, and not the number of fronts.  Points with a null
     objective get rank null.
 
     With `max_rank` or `at_least` only the first fronts are peeled, one after another, up to that rank or until so
@@ -284,7 +357,7 @@ def pareto_ranks(df: DataFrame, objectives: Sequence[tuple[str, str]], id_column
     """
     ensure_checkpoint_dir(df.sparkSession)
     if max_rank is None and at_least is None:
-        return _all_ranks(df, objectives, slice_rows)
+        return _all_ranks(df, objectives, slice_rows, job_rows)
     rest, out, r, held = df, None, 0, 0
     while (max_rank is None or r <= max_rank) and (at_least is None or held < at_least):
         front = pareto_front(rest, objectives).withColumn("rank", F.lit(r)).checkpoint()

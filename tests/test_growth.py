@@ -1,9 +1,13 @@
 """Work that must not grow faster than the rows."""
 
+import uuid
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plantwave.operators import asof, ordered, windows
+from plantwave.operators import asof, ordered, pareto, windows
 
 KEYS = ["tag"]
 
@@ -32,3 +36,37 @@ def test_backward_fill_has_no_frame_without_end(spark, seconds):
 def test_outcomes_of_a_run_have_no_frame_without_end(spark):
     import __spark_entry__ as entry
     assert "unboundedfollowing" not in plan(entry.queries()["monitoring_run"](spark, "/root/testdata/sf0.001"))
+
+
+# --- ranks ----------------------------------------------------------------------------
+
+def jobs_of(spark, run):
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def chains(x):
+    """Length of the longest chain of dominators, point by point in ascending order."""
+    out = np.zeros(len(x), int)
+    order = np.lexsort(x.T[::-1])
+    for k, i in enumerate(order):
+        by = [out[j] for j in order[:k] if (x[j] <= x[i]).all() and (x[j] < x[i]).any()]
+        out[i] = 1 + max(by, default=-1)
+    return out
+
+
+@pytest.mark.parametrize("dims, job_rows, most_jobs", [(3, 50_000, 40), (1, 60, 80), (2, 60, 80), (3, 60, 80), (4, 60, 80)])
+def test_small_slices_share_jobs(spark, dims, job_rows, most_jobs):
+    """One job per slice made thousands of them; whatever the slices and jobs, the ranks are the same."""
+    x = np.round(np.random.default_rng(dims).random((240, dims)), 2)
+    names = list("abcd")[:dims]
+    d = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(id=range(len(x))))
+    got, jobs = jobs_of(spark, lambda: {r.id: r["rank"] for r in pareto.pareto_ranks(
+        d, [(c, "minimize") for c in names], "id", slice_rows=3, **({} if job_rows == pareto.RANK_SLICE else {"job_rows": job_rows})).collect()})
+    assert got == dict(enumerate(chains(x)))
+    assert jobs < most_jobs
