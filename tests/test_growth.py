@@ -70,3 +70,13 @@ def test_small_slices_share_jobs(spark, dims, job_rows, most_jobs):
         d, [(c, "minimize") for c in names], "id", slice_rows=3, **({} if job_rows == pareto.RANK_SLICE else {"job_rows": job_rows})).collect()})
     assert got == dict(enumerate(chains(x)))
     assert jobs < most_jobs
+
+
+def test_what_is_handed_on_follows_values_not_ranks():
+    """20 000 points with 15 different tails have thousands of ranks; a tail is handed on once at most."""
+    rng = np.random.default_rng(4)
+    x = np.unique(np.column_stack([rng.random(20_000), rng.integers(0, 5, 20_000), rng.integers(0, 3, 20_000)]), axis=0)
+    stairs = pareto.Reach(np.empty((0, 2)), np.empty(0, int), x[:, 1:])
+    ranks = pareto.rank_slice(x, stairs)
+    rest, at = stairs.kept()
+    assert ranks.max() > 1000 and len(rest) == len(at) <= 15
