@@ -80,3 +80,10 @@ def test_what_is_handed_on_follows_values_not_ranks():
     ranks = pareto.rank_slice(x, stairs)
     rest, at = stairs.kept()
     assert ranks.max() > 1000 and len(rest) == len(at) <= 15
+
+
+@pytest.mark.parametrize("name", ["crowding_distance", "crowding_distance_all"])
+def test_crowding_reads_kept_ranks(spark, name):
+    """The table of the points is used three times; it was built from the orders each time."""
+    import __spark_entry__ as entry
+    assert "orders.parquet" not in plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
