@@ -66,16 +66,19 @@ class BufferProcessor(StatefulProcessor):
         us = np.array([r[0] for r in held], dtype="int64")
         tags, values = np.array([r[1] for r in held], dtype=object), np.array([r[2] for r in held], dtype=float)
         asset, scenario = key
-        # a jump of event time may end several windows at once
-        while len(us) and at // 1000 + 1 <= timerValues.getCurrentWatermarkInMs():
+        # a jump of event time may end several windows at once; they go out in one frame, as a frame costs more than its rows
+        watermark, ended = timerValues.getCurrentWatermarkInMs(), []
+        while len(us) and at // 1000 + 1 <= watermark:
             inside = (us > at - self.length) & (us <= at)
             if inside.any():
-                yield pd.DataFrame({
-                    "asset": asset, "scenario": scenario, "as_of": pd.to_datetime(np.full(inside.sum(), at), unit="us"),
-                    "ts": pd.to_datetime(us[inside], unit="us"), "tag": tags[inside], "value": values[inside]})
+                ended.append((np.full(inside.sum(), at), us[inside], tags[inside], values[inside]))
             left = us > at + self.every - self.length
             us, tags, values = us[left], tags[left], values[left]
             at = max(at + self.every, self._boundary(int(us.min()))) if len(us) else at
+        if ended:
+            as_of, own, tag, value = (np.concatenate(c) for c in zip(*ended))
+            yield pd.DataFrame({"asset": asset, "scenario": scenario, "as_of": pd.to_datetime(as_of, unit="us"),
+                                "ts": pd.to_datetime(own, unit="us"), "tag": tag, "value": value})
         if len(us):
             self.rows.put(list(zip(us.tolist(), tags.tolist(), values.tolist())))
             self._expect(at)
@@ -125,15 +128,20 @@ def evaluation_batches(path: str, evaluate: Callable[[DataFrame], DataFrame], mi
     their content.  An epoch writes its own folder, so running it again replaces its rows and changes nothing else.
     """
     def body(batch: DataFrame, epoch: int) -> None:
-        enough = batch.groupBy("asset", "scenario", "as_of").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_samples)
-        ready = batch.join(enough.drop("_n"), ["asset", "scenario", "as_of"], "left_semi")
-        if ready.isEmpty():
-            return
-        found = evaluate(ready).dropDuplicates(["id"])
-        seen = stored(batch.sparkSession, path, epoch)
-        if seen is not None:
-            found = found.join(seen.select("id"), "id", "left_anti")
-        found.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        # every use of a batch that is not kept runs the stateful step once more
+        batch = batch.persist()
+        try:
+            enough = batch.groupBy("asset", "scenario", "as_of").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_samples)
+            ready = batch.join(enough.drop("_n"), ["asset", "scenario", "as_of"], "left_semi")
+            if ready.isEmpty():
+                return
+            found = evaluate(ready).dropDuplicates(["id"])
+            seen = stored(batch.sparkSession, path, epoch)
+            if seen is not None:
+                found = found.join(seen.select("id"), "id", "left_anti")
+            found.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        finally:
+            batch.unpersist()
     return body
 
 

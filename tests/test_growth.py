@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plantwave.operators import asof, ordered, pareto, windows
+from plantwave.streaming import buffer
 
 KEYS = ["tag"]
 
@@ -87,3 +88,21 @@ def test_crowding_reads_kept_ranks(spark, name):
     """The table of the points is used three times; it was built from the orders each time."""
     import __spark_entry__ as entry
     assert "orders.parquet" not in plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+# --- streams --------------------------------------------------------------------------
+
+def test_a_batch_is_made_once(spark, tmp_path):
+    """Counting, judging and joining a micro-batch must not run the stateful step that makes it again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        made.add(1)
+        yield from batches
+    rows = spark.range(40).select(F.lit("a").alias("asset"), F.lit("live").alias("scenario"), F.timestamp_seconds(F.lit(0)).alias("as_of"),
+                                  F.col("id").cast("string").alias("id"), F.col("id").cast("double").alias("value"))
+    batch = rows.coalesce(1).mapInPandas(count, rows.schema)
+    body = buffer.evaluation_batches(str(tmp_path / "out"), lambda d: d.join(d.groupBy("asset").agg(F.avg("value").alias("m")), "asset").filter("value > m"), 10)
+    body(batch, 0)
+    assert made.value == 1
+    assert buffer.stored(spark, str(tmp_path / "out")).count() == 20
