@@ -329,7 +329,7 @@ w AS (SELECT *, (breach - y) / slope AS m FROM p WHERE breach IS NOT NULL AND r2
 
 @query("stream_trend", f"""WITH RECURSIVE {STREAM_TREND_SQL} SELECT tag AS series, us AS ts_us, round(y, 6) AS smooth, breach AS lim FROM tp""")
 def _(spark, sf):
-    """Every user's series judged for its trend, from kept readings and running sums."""
+    """Every user's series judged for its trend, from kept readings."""
     base = charts.fit_baseline(user_readings(spark, sf), ["asset", "tag"])
     limits = table(spark, sf, "events").select(F.col("event_type").alias("tag"), F.lit(5.0).alias("low"), F.lit(95.0).alias("high")).distinct()
     out = live.run_to_parquet(detectors.chart_stream(event_stream(spark, sf), base, 10, limits, trend=(10, 3, 2), horizon_minutes=20_000,

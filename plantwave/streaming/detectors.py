@@ -29,24 +29,30 @@ TTL_S = 30 * 86_400.0
 def trend_of_new(us: np.ndarray, x: np.ndarray, new: int, seen: int, rows: int, smooth_rows: int, step: int):
     """(place, smooth, slope per minute, r2) of the rows among the last `new` at which a trend is due.
 
-    `us` and `x` are the kept and the new readings in order, `seen` the readings before the new ones.  Every fit is a
-    difference of running sums of 1, t, y, t², ty and y², taken from the first kept reading, so a row costs the same
-    for any window.
+    `us` and `x` are the kept and the new readings in order, `seen` the readings before the new ones.  Means are sums of
+    their own readings and fits are centred on their own window: differences of running sums lose the digits that decide
+    at a limit, the more the longer the series has been kept.
     """
-    total = np.concatenate([[0.0], np.cumsum(x - x[0])])
     at = np.arange(1, len(x) + 1)
-    y = (total[at] - total[np.maximum(at - smooth_rows, 0)]) / np.minimum(at, smooth_rows)  # above x[0]
-    t = (us - us[0]) / 60e6
+    y = np.zeros(len(x))
+    for back in range(min(smooth_rows, len(x)) - 1, -1, -1):  # oldest first
+        y[back:] += x[:len(x) - back]
+    y /= np.minimum(at, smooth_rows)
     number = seen - (len(x) - new) + at  # of each reading, from 1
     due = np.flatnonzero((at > len(x) - new) & (number >= rows) & ((number - rows) % step == 0))
-    sums = [np.concatenate([[0.0], np.cumsum(v)]) for v in (t, y, t * t, t * y, y * y)]
-    st, sy, stt, sty, syy = (s[due + 1] - s[due + 1 - rows] for s in sums)
-    ctt, cty, cyy = stt - st * st / rows, sty - st * sy / rows, syy - sy * sy / rows
+    ctt, cty, cyy = np.empty(len(due)), np.empty(len(due)), np.empty(len(due))
+    width = max(1, 1_000_000 // rows)
+    for first in range(0, len(due), width):
+        part = slice(first, first + width)
+        window = due[part, None] + np.arange(1 - rows, 1)
+        t = (us[window] - us[window[:, :1]]) / 60e6
+        t, v = t - t.mean(1, keepdims=True), y[window] - y[window].mean(1, keepdims=True)
+        ctt[part], cty[part], cyy[part] = (t * t).sum(1), (t * v).sum(1), (v * v).sum(1)
     level = (ctt < 1e-12) | (rows < 3)
     with np.errstate(divide="ignore", invalid="ignore"):
         slope = np.where(level, 0.0, cty / ctt)
         r2 = np.where(level | (cyy < 1e-12), 0.0, np.clip(cty * cty / (ctt * cyy), 0, 1))
-    return due, y[due] + x[0], slope, r2
+    return due, y[due], slope, r2
 
 
 class Ending(StatefulProcessor):

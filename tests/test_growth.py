@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plantwave.operators import asof, ordered, pareto, windows
-from plantwave.streaming import buffer
+from plantwave.streaming import buffer, detectors
 
 KEYS = ["tag"]
 
@@ -106,3 +106,18 @@ def test_a_batch_is_made_once(spark, tmp_path):
     body(batch, 0)
     assert made.value == 1
     assert buffer.stored(spark, str(tmp_path / "out")).count() == 20
+
+
+@pytest.mark.parametrize("copies", [12, 60])
+def test_readings_of_one_instant_have_no_trend(copies):
+    """Weeks after the first kept reading, differences of running sums gave such windows a slope."""
+    rng = np.random.default_rng(copies)
+    us = np.repeat(np.sort(rng.integers(0, 30 * 86_400_000_000, 20)), copies)
+    x = np.repeat(np.round(rng.random(20) * 200, 2), copies)
+    due, y, slope, r2 = detectors.trend_of_new(us, x, len(x), 0, 10, 3, 2)
+    flat = us[due] == us[due - 9]
+    assert flat.any() and (slope[flat] == 0).all() and (r2[flat] == 0).all()
+    for i, k, s in zip(due[~flat], y[~flat], slope[~flat]):
+        assert k == pytest.approx(x[i - 2:i + 1].mean(), abs=1e-12)
+        smooth = [x[max(j - 2, 0):j + 1].mean() for j in range(i - 9, i + 1)]
+        assert s == pytest.approx(np.polyfit((us[i - 9:i + 1] - us[i]) / 60e6, smooth, 1)[0], rel=1e-6, abs=1e-12)
