@@ -341,9 +341,8 @@ def _(spark, sf):
 w AS (SELECT *, stddev_samp(v) OVER p AS sd, count(v) OVER p AS n FROM x WINDOW p AS (PARTITION BY tag ORDER BY us RANGE BETWEEN 7200000000 PRECEDING AND CURRENT ROW))
 SELECT tag, us AS ts_us, n, n >= 5 AND sd < 1e-4 AS still FROM w""")
 def _(spark, sf):
-    r, sec = sized(spark, sf)
-    r = r.withColumn("value", F.floor(F.col("value") / 60).cast("double"))
-    d = asof.trailing(r, 120, {"sd": F.stddev_samp("value"), "n": F.count("value")}, seconds=sec)
+    r = readings(spark, sf).withColumn("value", F.floor(F.col("value") / 60).cast("double"))
+    d = asof.trailing_moments(r, 120, "n", "mean", "sd")
     return d.select("tag", us("ts").alias("ts_us"), "n", F.coalesce((F.col("n") >= 5) & (F.col("sd") < 1e-4), F.lit(False)).alias("still"))
 
 

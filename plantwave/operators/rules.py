@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import stable_id
 from ..functions.ladders import priority_score, urgency_from_severity
 from ..model import ACTION_DDL, IMPACT_DDL, physical_name
-from .asof import asof_backward, trailing
+from .asof import asof_backward, trailing_moments
 from .overlap import co_occurrence_counts
 from .recurrences import thin
 
@@ -97,7 +97,7 @@ def still_signal(anchors: DataFrame, readings: DataFrame, minutes: float = 15.0,
     near = anchors.select(*key, F.explode(F.array(bucket - 1, bucket)).alias("_near")).distinct()
     local = (readings.filter(F.col("value").isNotNull()).withColumn("_near", bucket)
              .join(near, [*key, "_near"], "left_semi").drop("_near"))
-    rolled = trailing(local, minutes, {"_sd": F.stddev_samp("value"), "_cnt": F.count("value")}, seconds=seconds)
+    rolled = trailing_moments(local, minutes, "_cnt", "_mean", "_sd")
     flat = (F.col("_cnt") >= min_rows) & (F.col("_sd") < min_std)
     at = rolled.groupBy(*key, "ts").agg(F.max(F.when(flat, 1.0).otherwise(0.0)).alias("still"))
     return anchors.join(at, [*key, "ts"]).select("session_id", "still")

@@ -121,3 +121,27 @@ def test_readings_of_one_instant_have_no_trend(copies):
         assert k == pytest.approx(x[i - 2:i + 1].mean(), abs=1e-12)
         smooth = [x[max(j - 2, 0):j + 1].mean() for j in range(i - 9, i + 1)]
         assert s == pytest.approx(np.polyfit((us[i - 9:i + 1] - us[i]) / 60e6, smooth, 1)[0], rel=1e-6, abs=1e-12)
+
+
+# --- trailing ranges ------------------------------------------------------------------
+
+def test_trailing_moments_equal_plain_ranges(spark):
+    rng = np.random.default_rng(8)
+    n = 600
+    us = np.sort(rng.integers(0, 40, n)) * 30_000_000
+    x = np.where(us < 400_000_000, 7.3, np.round(rng.normal(1e6, 1e-3, n), 5))
+    x = np.where(rng.random(n) < 0.1, np.nan, x)
+    pdf = pd.DataFrame({"tag": rng.choice(["a", "b"], n), "us": us, "x": x, "id": range(n)})
+    d = spark.createDataFrame(pdf).select("tag", "id", F.timestamp_micros("us").alias("ts"), F.nanvl("x", F.lit(None)).alias("value"))
+    out = asof.trailing_moments(d, 2, "n", "mean", "sd", keys=KEYS)
+    assert "-120000000" not in plan(out)  # no sliding frame, whose cost follows the rows in range
+    got = {r.id: r for r in out.collect()}
+    for i, r in pdf.iterrows():
+        w = pdf[(pdf.tag == r.tag) & (pdf.us <= r.us) & (pdf.us >= r.us - 120_000_000)].x.dropna()
+        g = got[i]
+        assert g.n == len(w)
+        assert (g["mean"] is None) == (len(w) == 0) and (g.sd is None) == (len(w) < 2)
+        if len(w):
+            assert g["mean"] == pytest.approx(w.mean(), rel=1e-12)
+        if len(w) > 1:
+            assert g.sd == pytest.approx(w.std(), rel=1e-6, abs=1e-12)
