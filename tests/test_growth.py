@@ -145,3 +145,43 @@ def test_trailing_moments_equal_plain_ranges(spark):
             assert g["mean"] == pytest.approx(w.mean(), rel=1e-12)
         if len(w) > 1:
             assert g.sd == pytest.approx(w.std(), rel=1e-6, abs=1e-12)
+
+
+class Held:
+    """State and timers of one key in memory."""
+
+    def __init__(self):
+        self.value, self.rows, self.timers = None, [], set()
+        self.getListState = self.getValueState = lambda *_: self
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+def test_windows_that_end_together_share_a_frame():
+    """Ten windows ended by one jump of event time; a frame for each cost more than its rows."""
+    p, due, rows = buffer.BufferProcessor(100, 50), Held(), Held()
+    rows.get = lambda: rows.rows
+    p.init(due)
+    p.rows = rows
+    us = np.arange(1, 500) * 1_000_000
+    list(p.handleInputRows(("a", "s"), iter([pd.DataFrame({"ts": pd.to_datetime(us, unit="us"), "tag": "t", "value": us / 1e6})]), None))
+
+    class At:
+        getCurrentWatermarkInMs = getExpiryTimeInMs = staticmethod(lambda: 10_000_000)
+    At.getExpiryTimeInMs = staticmethod(lambda: 50_001)
+    frames = list(p.handleExpiredTimer(("a", "s"), At, At))
+    assert len(frames) == 1
+    got = frames[0].groupby("as_of")["value"].agg(["min", "max"])
+    assert [(t.value // 10**9 if hasattr(t, "value") else t, lo, hi) for t, lo, hi in got.itertuples()] == [
+        (e, max(e - 99, 1), min(e, 499)) for e in range(50, 600, 50)]
