@@ -1,8 +1,8 @@
 """The live path: readings into an event-time buffer, evaluations at its timers, new recommendations out.
 
-Each asset holds its recent readings as list state.  An event-time timer at every boundary (a multiple of `every`)
+Buckets of assets hold their recent readings as list state.  An event-time timer at every boundary (a multiple of `every`)
 hands on the windows of `length` that have ended, drops what no later window needs, and sets the next
-timer, or clears the state of an asset that has gone silent.  So state ends with the data, a window is evaluated
+timer, or clears the state of a bucket whose assets have gone silent.  So state ends with the data, a window is evaluated
 once, when no more of it can come, and late readings within the watermark are in it.
 """
 
@@ -12,29 +12,40 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.errors import AnalysisException
 
 from ..session import ROCKSDB
+from .buckets import PIECE_DDL, bucket, pack, unpack
 from .live import until_closed
 
 WINDOW_DDL = "asset STRING, scenario STRING, as_of TIMESTAMP, ts TIMESTAMP, tag STRING, value DOUBLE"
 
 
+#: What a bucket holds of its readings.
+HELD = pa.schema([("asset", pa.string()), ("scenario", pa.string()), ("us", pa.int64()), ("tag", pa.string()), ("value", pa.float64())])
+#: Rows of windows handed on in one frame, at least.
+FRAME_ROWS = 200_000
+
+
 class BufferProcessor(StatefulProcessor):
-    """Windows (as_of - length, as_of] of one asset and scenario, at the multiples of `every`."""
+    """Windows (as_of - length, as_of] of each asset and scenario, at the multiples of `every`.
+
+    Its key is a bucket of assets whose rows name asset and scenario, or an (asset, scenario).
+    """
 
     def __init__(self, length_s: float, every_s: float):
         self.length, self.every = int(length_s * 1e6), int(every_s * 1e3) * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "us LONG, tag STRING, value DOUBLE")
+        self.rows = handle.getListState("rows", PIECE_DDL)
         self.due = handle.getValueState("due", "at_us LONG")
 
-    def _boundary(self, us: int) -> int:
+    def _boundary(self, us):
         return -(-us // self.every) * self.every
 
     def _expect(self, at: int) -> None:
@@ -45,8 +56,12 @@ class BufferProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:
+            if not len(pdf):
+                continue
+            if len(key) == 2:
+                pdf = pdf.assign(asset=key[0], scenario=key[1])
             us = pdf["ts"].astype("datetime64[us]").astype("int64")
-            self.rows.appendList(list(zip(us.tolist(), pdf["tag"].tolist(), pdf["value"].astype(float).tolist())))
+            self.rows.appendList(pack(pdf.assign(us=us, value=pdf["value"].astype(float))[HELD.names], HELD))
             first = int(us.min()) if first is None else min(first, int(us.min()))
         if first is None:
             return
@@ -62,30 +77,36 @@ class BufferProcessor(StatefulProcessor):
         at = (expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000
         if due is None or due[0] != at:
             return
-        held = list(self.rows.get())
-        us = np.array([r[0] for r in held], dtype="int64")
-        tags, values = np.array([r[1] for r in held], dtype=object), np.array([r[2] for r in held], dtype=float)
-        asset, scenario = key
-        # a jump of event time may end several windows at once; they go out in one frame, as a frame costs more than its rows
-        watermark, ended = timerValues.getCurrentWatermarkInMs(), []
-        while len(us) and at // 1000 + 1 <= watermark:
-            inside = (us > at - self.length) & (us <= at)
-            if inside.any():
-                ended.append((np.full(inside.sum(), at), us[inside], tags[inside], values[inside]))
-            left = us > at + self.every - self.length
-            us, tags, values = us[left], tags[left], values[left]
-            at = max(at + self.every, self._boundary(int(us.min()))) if len(us) else at
-        if ended:
-            as_of, own, tag, value = (np.concatenate(c) for c in zip(*ended))
-            yield pd.DataFrame({"asset": asset, "scenario": scenario, "as_of": pd.to_datetime(as_of, unit="us"),
-                                "ts": pd.to_datetime(own, unit="us"), "tag": tag, "value": value})
-        if len(us):
-            self.rows.put(list(zip(us.tolist(), tags.tolist(), values.tolist())))
-            self._expect(at)
+        held = unpack(self.rows.get(), HELD)
+        us = held["us"].to_numpy()
+        # a jump of event time may end several windows at once; they share frames, as a frame costs more than its rows
+        last = (timerValues.getCurrentWatermarkInMs() * 1000 - 1) // self.every * self.every
+        end, places, ends = self._boundary(us), [], []
+        for _ in range(-(-self.length // self.every)):
+            ended = np.flatnonzero((end < us + self.length) & (end >= at) & (end <= last))
+            places.append(ended)
+            ends.append(end[ended])
+            if sum(map(len, places)) >= FRAME_ROWS:
+                yield self._windows(held, places, ends)
+                places, ends = [], []
+            end = end + self.every
+        if any(map(len, places)):
+            yield self._windows(held, places, ends)
+        left = us > last + self.every - self.length
+        if left.any():
+            self.rows.put(pack(held[left], HELD))
+            self._expect(max(last + self.every, self._boundary(int(us[left].min()))))
         else:
             self.rows.clear()
             self.due.clear()
 
+    @staticmethod
+    def _windows(held: pd.DataFrame, places: list[np.ndarray], ends: list[np.ndarray]) -> pd.DataFrame:
+        d = held.take(np.concatenate(places))
+        return pd.DataFrame({"asset": d["asset"].to_numpy(), "scenario": d["scenario"].to_numpy(),
+                             "as_of": pd.to_datetime(np.concatenate(ends), unit="us"), "ts": pd.to_datetime(d["us"].to_numpy(), unit="us"),
+                             "tag": d["tag"].to_numpy(), "value": d["value"].to_numpy()})
+
     def close(self) -> None:
         pass
 
@@ -96,7 +117,7 @@ def windows(readings: DataFrame, length_s: float, every_s: float, late: str = "1
     # before the closing row joins, which has no value: a condition on the value would be pushed below the watermark
     d = readings.select("asset", "scenario", "ts", "tag", "value").filter(F.col("value").isNotNull())
     d = until_closed(d, "ts", late, ["asset", "scenario"])
-    return d.groupBy("asset", "scenario").transformWithStateInPandas(
+    return d.withColumn("bucket", bucket("asset", "scenario")).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=BufferProcessor(length_s, every_s), outputStructType=WINDOW_DDL, outputMode="Append",
         timeMode="EventTime")
 

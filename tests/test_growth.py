@@ -185,3 +185,23 @@ def test_windows_that_end_together_share_a_frame():
     got = frames[0].groupby("as_of")["value"].agg(["min", "max"])
     assert [(t.value // 10**9 if hasattr(t, "value") else t, lo, hi) for t, lo, hi in got.itertuples()] == [
         (e, max(e - 99, 1), min(e, 499)) for e in range(50, 600, 50)]
+
+
+def test_assets_share_a_bucket():
+    """A call, a frame and a timer for each asset cost more than its readings; one bucket gives the windows of all."""
+    p, due, rows = buffer.BufferProcessor(100, 50), Held(), Held()
+    rows.get = lambda: rows.rows
+    p.init(due)
+    p.rows = rows
+    us = np.arange(1, 121) * 1_000_000
+    frame = pd.DataFrame({"asset": np.array(["a", "b", "c"])[np.arange(120) % 3], "scenario": "s", "ts": pd.to_datetime(us, unit="us"),
+                          "tag": "t", "value": us / 1e6})
+    list(p.handleInputRows((7,), iter([frame[:50], frame[50:]]), None))
+    assert len(due.timers) == 1 and len(rows.rows) == 2
+
+    class At:
+        getCurrentWatermarkInMs = staticmethod(lambda: 10_000_000)
+        getExpiryTimeInMs = staticmethod(lambda: 50_001)
+    got = pd.concat(p.handleExpiredTimer((7,), At, At))
+    want = sorted((a, e, v) for e in range(50, 250, 50) for a, v in zip(frame["asset"], frame["value"]) if e - 100 < v <= e)
+    assert sorted((a, t.value // 10**9, v) for a, t, v in got[["asset", "as_of", "value"]].itertuples(index=False)) == want
