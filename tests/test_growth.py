@@ -205,3 +205,64 @@ def test_assets_share_a_bucket():
     got = pd.concat(p.handleExpiredTimer((7,), At, At))
     want = sorted((a, e, v) for e in range(50, 250, 50) for a, v in zip(frame["asset"], frame["value"]) if e - 100 < v <= e)
     assert sorted((a, t.value // 10**9, v) for a, t, v in got[["asset", "as_of", "value"]].itertuples(index=False)) == want
+
+
+class Bucket:
+    """State of one bucket in memory."""
+
+    def __init__(self):
+        self.states, self.timers = {}, set()
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+
+    def getValueState(self, name, _):
+        return Cell(self.states, name, None)
+
+    def getListState(self, name, _):
+        return Cell(self.states, name, ())
+
+
+class Cell:
+    def __init__(self, states, name, empty):
+        self.get = lambda: states.get(name, empty)
+        self.put = self.update = lambda v: states.__setitem__(name, v)
+        self.clear = lambda: states.pop(name, None)
+
+
+def in_buckets(make, batches, split):
+    """What processors put out, all series in one bucket or each in its own, and the rows their states end with."""
+    groups = {}
+    out, held = [], 0
+    for batch in batches:
+        for k, part in batch.groupby(["asset", "tag"] if split else lambda _: 0):
+            if k not in groups:
+                groups[k] = make()
+                groups[k].init(Bucket())
+            out += list(groups[k].handleInputRows((0,), iter([part[:9], part[9:]]), None))
+    for p in groups.values():
+        held += len(p._held())
+        assert len(p.handle.timers) == 1
+    rows = pd.concat(out)
+    return rows.sort_values(list(rows.columns), ignore_index=True), held
+
+
+def series_batches():
+    rng = np.random.default_rng(11)
+    n = 1500
+    pdf = pd.DataFrame({"asset": rng.choice(list("abcdefgh"), n), "tag": rng.choice(["x", "y"], n),
+                        "ts": pd.to_datetime(np.sort(rng.integers(0, 2 * 86_400_000, n)) * 1000, unit="us"), "value": np.round(rng.normal(0, 2, n))})
+    pdf.loc[(pdf.index > 500) & (pdf.index < 900) & (pdf.asset == "b"), "value"] = 1.0
+    pdf.loc[::41, "value"] = np.nan
+    late = pdf.iloc[700:1100].sample(frac=1, random_state=1)
+    return [pdf[:700], pd.concat([late, pdf[100:130]]), pdf[1100:]]
+
+
+def test_charts_of_series_share_a_bucket():
+    """A call, a frame per detector and state requests for each series took nearly all the time."""
+    batches = [b.assign(mean=0.0, sigma=1.0, ucl=3.0, lcl=-3.0, ewma_sigma=1 / 3, ewma_ucl=1.0, ewma_lcl=-1.0, has_baseline=b["asset"] != "h",
+                        low=-4.0, high=4.0, has_limits=b["tag"] == "x") for b in series_batches()]
+    make = lambda: detectors.ChartProcessor(5, trend=(12, 3, 2), horizon_minutes=4000, trend_cooldown_s=900)
+    one, held = in_buckets(make, batches, False)
+    each, _ = in_buckets(make, [b[b["asset"] != "h"] for b in batches], True)
+    pd.testing.assert_frame_equal(one[one["detector"] != detectors.UNKNOWN].reset_index(drop=True), each)
+    assert held == 14 and set(one["detector"]) == {"SPC.Shewhart", "SPC.EWMA", "Regime.CUSUM", "FrozenSensor", "Trend.Projection",
+                                                   detectors.LATE, detectors.UNKNOWN}
