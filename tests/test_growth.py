@@ -266,3 +266,24 @@ def test_charts_of_series_share_a_bucket():
     pd.testing.assert_frame_equal(one[one["detector"] != detectors.UNKNOWN].reset_index(drop=True), each)
     assert held == 14 and set(one["detector"]) == {"SPC.Shewhart", "SPC.EWMA", "Regime.CUSUM", "FrozenSensor", "Trend.Projection",
                                                    detectors.LATE, detectors.UNKNOWN}
+
+
+def test_quality_of_series_shares_a_bucket():
+    batches = [b.assign(min_range=-3.0, max_range=3.0) for b in series_batches()]
+    one, held = in_buckets(lambda: detectors.StaleProcessor(3600), batches, False)
+    each, _ = in_buckets(lambda: detectors.StaleProcessor(3600), batches, True)
+    pd.testing.assert_frame_equal(one, each)
+    assert held == 16 and set(one["quality"]) == {0, 1, 2, 3} and len(one) == sum(map(len, batches))
+
+
+def test_a_bucket_drops_the_series_that_went_silent():
+    p = detectors.StaleProcessor(3600)
+    p.init(Bucket())
+    frame = pd.DataFrame({"asset": ["a", "b", "c"], "tag": "t", "ts": pd.to_datetime([1, 2, 9], unit="s"), "value": 1.0, "min_range": 0.0, "max_range": 2.0})
+    list(p.handleInputRows((0,), iter([frame]), None))
+
+    class At:
+        getCurrentWatermarkInMs = staticmethod(lambda: 5_000)
+        getExpiryTimeInMs = staticmethod(lambda: 1_001)
+    list(p.handleExpiredTimer((0,), At, At))
+    assert p._held()["asset"].tolist() == ["c"] and p.handle.timers >= {9_001}
