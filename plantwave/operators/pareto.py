@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -396,8 +397,12 @@ def crowding(front: DataFrame, objectives: Sequence[tuple[str, str]], id_column:
     else:
         parts = int(2 * largest / max_group_rows) + 1
         cuts = long.approxQuantile("_v", [i / parts for i in range(1, parts)], 0.5 / parts)
-        chunk = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda e: e < F.col("_v")))
-        long = long.withColumn(CHUNK, chunk.cast("long"))
+        inner = sorted({c for c in cuts if np.isfinite(c)})
+        if inner:  # by bisection: there are more cuts the larger a group is, so counting those below would cost its square
+            ends = Bucketizer(splits=[-np.inf, *inner, np.inf], inputCol="_v", outputCol=CHUNK, handleInvalid="keep")
+            long = ends.transform(long).withColumn(CHUNK, F.when(F.col("_v").isNull(), 0).otherwise(F.col(CHUNK)).cast("long"))
+        else:
+            long = long.withColumn(CHUNK, F.lit(0).cast("long"))
         mk = F.struct("_v", "_id")
         long = chunk_carry(
             long, keys, {"_hi": F.max(mk), "_lo": F.min(mk), "_c": F.count(F.lit(1))},

@@ -287,3 +287,16 @@ def test_a_bucket_drops_the_series_that_went_silent():
         getExpiryTimeInMs = staticmethod(lambda: 1_001)
     list(p.handleExpiredTimer((0,), At, At))
     assert p._held()["asset"].tolist() == ["c"] and p.handle.timers >= {9_001}
+
+
+# --- distances of large fronts --------------------------------------------------------
+
+def test_chunks_of_a_front_are_found_by_bisection(spark):
+    """Counting the cuts below each value cost the square of the largest front, as its cuts grow with it."""
+    rng = np.random.default_rng(4)
+    d = spark.createDataFrame(pd.DataFrame({"id": range(900), "rank": rng.integers(0, 2, 900), "a": np.round(rng.random(900), 2), "b": rng.random(900)}))
+    obj = [("a", "minimize"), ("b", "maximize")]
+    cut = pareto.crowding(d, obj, "id", max_group_rows=20)
+    assert "lambdafunction" not in plan(cut)
+    rows = lambda c: {r.id: round(r.crowding, 9) for r in c.collect()}
+    assert rows(cut) == rows(pareto.crowding(d, obj, "id")) and cut.count() == 900
