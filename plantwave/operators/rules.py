@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import stable_id
 from ..functions.ladders import priority_score, urgency_from_severity
 from ..model import ACTION_DDL, IMPACT_DDL, physical_name
+from ..session import ensure_checkpoint_dir
 from .asof import asof_backward, trailing_moments
 from .overlap import co_occurrence_counts
 from .recurrences import thin
@@ -58,24 +59,25 @@ def session_context(sessions: DataFrame, readings: DataFrame, window_minutes: fl
         F.sum(F.when(F.col("o_detector").isin(*ds) & (F.col("o_tag") == tag), F.col("n"))
               .otherwise(0)).alias(name) for name, ds, tag in COMPANY])
 
+    tag = F.col("tag")
     probes = sessions.select(
-        "asset", "scenario", "session_id", F.col("start_ts").alias("ts"),
-        F.explode(F.array_distinct(F.array_compact(
-            F.array(*[F.lit(t) for t in needed], F.col("tag"))))).alias("tag"))
+        "asset", "scenario", "session_id", F.col("start_ts").alias("ts"), tag.alias("_own"),
+        F.explode(F.array_distinct(F.array_compact(F.array(*[F.lit(t) for t in needed], tag)))).alias("tag"))
     # readings of runs without sessions, or of tags no probe asks for, never join in
     wanted = probes.select("asset", "scenario", "tag").distinct()
     used = readings.join(wanted, ["asset", "scenario", "tag"], "left_semi")
     looked = asof_backward(probes, used, out="v", seconds=seconds, at="at")
-    anchors = (looked.join(sessions.select("session_id", "tag"), ["session_id", "tag"], "left_semi")
-               .filter(F.col("at").isNotNull()).select("session_id", "asset", "scenario", "tag", F.col("at").alias("ts")))
+    # a row per session, cut: what follows reads it twice, and the look-up over the readings runs once
+    ensure_checkpoint_dir(spark)
+    wide = (looked.groupBy("asset", "scenario", "session_id")
+            .agg(F.max(F.when(tag == F.col("_own"), F.struct("tag", "at", "v"))).alias("_own"),
+                 *[F.max(F.when(tag == t, F.col("v"))).alias("v_" + physical_name(t)) for t in needed])
+            .withColumn("v_own", F.col("_own.v")).checkpoint())
+    anchors = wide.filter(F.col("_own.at").isNotNull()).select(
+        "session_id", "asset", "scenario", F.col("_own.tag").alias("tag"), F.col("_own.at").alias("ts"))
     still = still_signal(anchors, used, seconds=seconds)
-    wide = (looked.groupBy("session_id")
-            .agg(*[F.max(F.when(F.col("tag") == t, F.col("v"))).alias("v_" + physical_name(t))
-                   for t in needed]))
-    own = (looked.join(sessions.select("session_id", "tag"), ["session_id", "tag"])
-           .select("session_id", F.col("v").alias("v_own")))
-    ctx = (sessions.join(flags, "session_id", "left").join(wide, "session_id", "left")
-           .join(own, "session_id", "left")
+    ctx = (sessions.join(flags, "session_id", "left")
+           .join(wide.drop("asset", "scenario", "_own"), "session_id", "left")
            .join(still.select("session_id", "still"), "session_id", "left"))
     if causal:
         ctx = ctx.withColumn("peak_alert", F.col("first_alert")) \

@@ -98,6 +98,8 @@ def monitor(readings: DataFrame, dim: DataFrame, cfg: Settings = Settings(),
     """
     ensure_checkpoint_dir(readings.sparkSession)
     seconds = chunk_seconds_for(readings, SERIES)
+    if seconds is None:  # every series fits a task: cut in order, so that later steps neither scan the source nor sort from scratch
+        readings = readings.repartition(*SERIES).sortWithinPartitions(*SERIES, "ts").checkpoint()
     alerts = detect(readings, dim, cfg, extra, seconds).checkpoint()
     sessions = sessionise(alerts, cfg.gap_minutes,
                           chunk_seconds_for(alerts, ["asset", "scenario", "detector"])).checkpoint()

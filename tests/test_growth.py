@@ -39,6 +39,18 @@ def test_outcomes_of_a_run_have_no_frame_without_end(spark):
     assert "unboundedfollowing" not in plan(entry.queries()["monitoring_run"](spark, "/root/testdata/sf0.001"))
 
 
+def test_context_looks_readings_up_once(spark):
+    """The look-up took part three times in the plan of a context, over all readings each time."""
+    from plantwave.operators.rules import session_context
+    from tests.test_rules_and_decisions import PILOT, readings, sessions
+    ctx = session_context(sessions(spark, dict(id="x", detector="SPC.EWMA", tag="cstr.T_R_C", start=0, value=82.5),
+                                   dict(id="y", detector="Model.T2", tag=None, start=20, value=1.0)), readings(spark, PILOT))
+    assert "_hit" not in plan(ctx)
+    got = {r.session_id: r for r in ctx.collect()}
+    assert got["x"].v_own == got["x"].v_cstr_T_R_C is not None
+    assert got["y"].v_own is None and got["y"].v_cstr_T_R_C is not None
+
+
 # --- ranks ----------------------------------------------------------------------------
 
 def jobs_of(spark, run):
