@@ -249,3 +249,18 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     r = corpus_pipeline.run(spark, SF)
     assert r.columns[-1] == "piece_ids" and 0 < r.count() < 400 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_texts_stay_and_full_slot_tables_change_nothing(spark, monkeypatch):
+    """Texts of sets that may link were shuffled by doc_id; a table of slots picks them where they are."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 3) * 100 + k + (k == 7) * (i % 3)}" for k in range(60))) for i in range(90)]
+                                 + [(90, None), (91, "one two"), (92, "one two")], "doc_id long, text string")
+    some = jaccard.id_table(docs.filter("doc_id % 9 = 0").select("doc_id"))
+    sets = jaccard.shingle_tables(docs.filter("text IS NOT NULL"), some)
+    assert "exchange" not in sets._jdf.queryExecution().executedPlan().toString().lower()
+    assert {r.x for r in sets.collect()} >= set(range(0, 90, 9))
+    rows = lambda: sorted(map(tuple, jaccard.jaccard_classes(docs).collect()))
+    want = rows()
+    assert [r[2] for r in want[-3:]] == [90, 91, 91] and [r[2] for r in want[:4]] == [0, 0, 0, 3]
+    monkeypatch.setattr(jaccard, "id_table", lambda ids: np.full(1 << 12, 255, np.uint8))
+    assert rows() == want
