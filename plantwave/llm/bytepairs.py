@@ -74,6 +74,7 @@ class BytePairs:
         self.parts = [self._parts(t) for t in tokens]
         self.merged = {p: i for i, p in enumerate(self.parts) if p is not None}
         self.known = {t.decode("latin-1"): i for i, t in enumerate(tokens)}
+        self.first = dict(self.known)  # and, once met, paths that lead to longer tokens: one for each prefix of a token at most
         self.most = max(self.length)
         self.automaton = ahocorasick.Automaton()
         for token, i in self.known.items():
@@ -106,6 +107,10 @@ class BytePairs:
                 return found
         return _NO_TOKEN
 
+    def _longest(self, path: str) -> int:
+        """The longest token that a path of the automaton starts with; a single byte at least."""
+        return next(self.known[path[:k]] for k in range(len(path), 0, -1) if path[:k] in self.known)
+
     def side_by_side(self, left: int, right: int) -> bool:
         """Whether merging the joined bytes of two tokens keeps the cut between them."""
         known = self.fits.get((left, right))
@@ -137,8 +142,8 @@ class BytePairs:
 
     def cover(self, piece: str) -> list[int]:
         """The ids of a piece that merges treat as a whole, its bytes as Latin-1 characters."""
-        rank, length, shorter, fits = self.known, self.length, self.shorter, self.fits
-        whole = rank.get(piece)
+        first, length, shorter, fits = self.first, self.length, self.shorter, self.fits
+        whole = self.known.get(piece)
         if whole is not None:
             return [whole]
         reach, most, size = self.automaton.longest_prefix, self.most, len(piece)
@@ -148,13 +153,10 @@ class BytePairs:
         while at < size:
             if token < 0:
                 ahead = piece[at:at + most]
-                token = rank.get(ahead)
+                ahead = ahead[:reach(ahead)]
+                token = first.get(ahead)
                 if token is None:
-                    k = reach(ahead)
-                    token = rank.get(ahead[:k])
-                    while token is None:
-                        k -= 1
-                        token = rank.get(ahead[:k])
+                    token = first[ahead] = self._longest(ahead)
             end = at + length[token]
             if left_for_good[end]:
                 good = False

@@ -127,3 +127,11 @@ def test_odd_rows(spark):
     none = spark.createDataFrame([(1, None), (2, [])], "doc_id long, token_ids array<int>")
     got = {x.doc_id: x.decoded for x in bytepairs.with_bytes(none, PATH, P.PATTERN).collect()}
     assert got[1] is None and bytes(got[2]) == b""
+
+
+def test_a_path_is_shortened_to_its_token_once():
+    """From a path of the automaton that is no token, each byte of the way back was a look-up, at every place again."""
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"cd", b"abcd"]
+    codec = bytepairs.BytePairs(tokens, r".+")
+    assert codec.cover("abc" * 3) == [256, ord("c")] * 3
+    assert codec.first["abc"] == 256 and "abc" not in codec.known
