@@ -34,9 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import fields, free, row_batches
 
-#: Units and token pairs kept between batches, in entries.  Units live in two generations of this size: one that is
-#: not met again while the younger fills up goes.
-KEPT_UNITS = 80_000
+#: Units, matches of the pattern and token pairs kept between batches, in entries.  Units live in two generations of
+#: this size: one that is not met again while the younger fills up goes.
+KEPT_UNITS = 160_000
+KEPT_PIECES = 200_000
 KEPT_PAIRS = 300_000
 #: A unit beyond this many characters is not kept.
 LONGEST_UNIT = 64
@@ -84,6 +85,7 @@ class BytePairs:
         self.fits: dict[tuple[int, int], bool] = {}
         self.units: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _parts(self, token: bytes) -> tuple[int, int] | None:
         """The two tokens whose merge is this one; None for a single byte."""
@@ -179,10 +181,18 @@ class BytePairs:
         return out
 
     def _unit(self, unit: str) -> bytes:
-        packed = array("i")
+        """The ids of a unit, packed.  Most new units are known words with other signs around them, so matches are kept too."""
+        pieces, out = self.pieces, []
         for piece in self.pattern.findall(unit):
-            packed.extend(self.cover(piece if piece.isascii() else piece.encode().decode("latin-1")))
-        return packed.tobytes()
+            packed = pieces.get(piece)
+            if packed is None:
+                packed = array("i", self.cover(piece if piece.isascii() else piece.encode().decode("latin-1"))).tobytes()
+                if len(piece) <= LONGEST_UNIT:
+                    if len(pieces) >= KEPT_PIECES:
+                        pieces.clear()
+                    pieces[piece] = packed
+            out.append(packed)
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed 32-bit integers."""

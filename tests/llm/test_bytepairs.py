@@ -135,3 +135,16 @@ def test_a_path_is_shortened_to_its_token_once():
     codec = bytepairs.BytePairs(tokens, r".+")
     assert codec.cover("abc" * 3) == [256, ord("c")] * 3
     assert codec.first["abc"] == 256 and "abc" not in codec.known
+
+
+def test_a_word_is_covered_once_whatever_signs_follow_it(monkeypatch):
+    """Each unit was covered anew, and most new units are known words with other signs around them."""
+    codec, other = bytepairs.BytePairs(bytepairs.load_ranks(PATH), P.PATTERN), library(FILES[0])
+    monkeypatch.setattr(bytepairs, "KEPT_PIECES", 40)
+    cover, met = codec.cover, []
+    monkeypatch.setattr(codec, "cover", lambda piece: (met.append(piece), cover(piece))[1])
+    texts = [f" anreeaqu{end}" for end in ("", ",", ".", "!!!", "$$$", "'s", "…", "9")]
+    assert ids_of(codec, texts) == [other.encode_ordinary(t) for t in texts]
+    assert met.count(" anreeaqu") == 1
+    texts = [f" wort{i:03d}xé{i}" for i in range(300)]
+    assert ids_of(codec, texts) == [other.encode_ordinary(t) for t in texts] and len(codec.pieces) <= 40
