@@ -264,3 +264,34 @@ def test_texts_stay_and_full_slot_tables_change_nothing(spark, monkeypatch):
     assert [r[2] for r in want[-3:]] == [90, 91, 91] and [r[2] for r in want[:4]] == [0, 0, 0, 3]
     monkeypatch.setattr(jaccard, "id_table", lambda ids: np.full(1 << 12, 255, np.uint8))
     assert rows() == want
+
+
+def test_points_that_cannot_link_by_size_leave_their_bucket(spark):
+    """Any two points with a common leading shingle went to a region, with their sets, whatever their sizes."""
+    fill = iter(range(1000, 2000))
+
+    def point(x, n, shingle, early):
+        return x, n, 1, [shingle, next(fill)] if early else [next(fill), shingle], [0, 0]
+
+    rows = [point(1, 100, 7, True), point(2, 79, 7, True), point(3, 100, 8, True), point(4, 80, 8, True),
+            point(5, 100, 9, False), point(6, 90, 9, False), point(7, 100, 10, False), point(8, 90, 10, True),
+            point(9, 100, 11, True), point(10, 90, 11, False), point(11, 50, 12, False), point(12, 50, 12, True),
+            (13, 100, 1, [13], [1]), (14, 5, 1, [13], [2])]
+    points = spark.createDataFrame(rows, "x long, n long, shorts long, lead array<long>, salts array<int>")
+    assert {r.x for r in jaccard.buckets(points).collect()} == {3, 4, 7, 8, 11, 12, 13, 14}
+
+
+def test_texts_cut_at_the_threshold_still_meet(spark):
+    rng, rows, want = random.Random(11), [], {}
+    for k in range(150):
+        n = rng.randrange(5, 160)
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
+        least = -(-8 * n // 10)
+        a, b, c = 4 * k, 4 * k + 1, 4 * k + 2
+        rows += [(a, " ".join(words)), (b, " ".join(words[:least + 4])), (c, " ".join(words[n - least + 1:]))]
+        want |= {a: a, b: a}
+        left, right = set(range(least)), set(range(n - least + 1, n))
+        alone = len(right) * 100 < 80 * n and len(left & right) * 100 < 80 * len(left | right)
+        want[c] = c if alone else a
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
