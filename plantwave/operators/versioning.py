@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import _hashlib
+import ctypes
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
+#: Bytes of a file that one task reads; longer files are hashed by a chain of jobs.
+PIECE_BYTES = 256 << 20
+
 SNAPSHOT_DDL = (
     "snapshot_id STRING, created_at TIMESTAMP, message STRING, name STRING, sha256 STRING, size_bytes LONG, "
     "n_rows LONG, n_cols INT, modified_at TIMESTAMP"
@@ -15,15 +27,93 @@ def _name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+class Sha256:
+    """SHA-256 that goes on from a kept state: OpenSSL's own functions, as hashlib does not hand its state out.
+
+    Where Python has no OpenSSL with them, `library` is None.
+    """
+
+    try:
+        library = ctypes.CDLL(_hashlib.__file__)
+        library.SHA256_Init, library.SHA256_Update, library.SHA256_Final
+    except (AttributeError, OSError):
+        library = None
+
+    def __init__(self, state: bytes | None = None):
+        self.context = ctypes.create_string_buffer(state, 256) if state else ctypes.create_string_buffer(256)
+        if not state:
+            self.library.SHA256_Init(self.context)
+
+    def update(self, data: bytes) -> None:
+        self.library.SHA256_Update(self.context, data, ctypes.c_size_t(len(data)))
+
+    def state(self) -> bytes:
+        return self.context.raw
+
+    def hexdigest(self) -> str:
+        out, last = ctypes.create_string_buffer(32), ctypes.create_string_buffer(self.state(), 256)
+        self.library.SHA256_Final(out, last)
+        return out.raw.hex()
+
+
+def _hash_on(rows: pd.DataFrame, piece: int) -> Iterator[dict]:
+    """Each file's state after its next `piece` bytes, and its hash after the last one."""
+    for row in rows.to_dict("records"):
+        if row["at"] < row["size_bytes"]:
+            whole = Sha256.library is None  # then no state can be handed on
+            h = hashlib.sha256() if whole else Sha256(row["state"])
+            end = row["size_bytes"] if whole else min(row["at"] + piece, row["size_bytes"])
+            with open(re.sub("^file:/*", "/", row["path"]), "rb") as f:
+                f.seek(row["at"])
+                while row["at"] < end:
+                    data = f.read(min(4 << 20, end - row["at"]))
+                    if not data:
+                        raise EOFError(f"{row['path']} has become shorter")
+                    h.update(data)
+                    row["at"] += len(data)
+            row["state"] = None if whole else h.state()
+            if row["at"] == row["size_bytes"]:
+                row["sha256"] = h.hexdigest()
+        yield row
+
+
+def _long_hashes(files: DataFrame, piece: int) -> DataFrame:
+    """`(path, sha256)` of files `(path, size_bytes)`: a job takes the next `piece` bytes of every file, a task each."""
+    ensure_checkpoint_dir(files.sparkSession)
+    names = ["path", "size_bytes", "at", "state", "sha256"]
+    size = files.agg(F.count(F.lit(1)).alias("n"), F.max("size_bytes").alias("most")).first()
+    d = files.select("path", "size_bytes", F.lit(0).cast("long").alias("at"), F.lit(None).cast("binary").alias("state"),
+                     F.lit(None).cast("string").alias("sha256"))
+
+    def step(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame(list(_hash_on(pdf, piece)), columns=names)
+
+    for _ in range(-(-(size.most or 0) // piece)):
+        d = d.repartitionByRange(size.n, "path").mapInPandas(step, "path string, size_bytes long, at long, state binary, sha256 string").checkpoint()
+    return d.select("path", "sha256")
+
+
 def file_meta(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
     """Name, sha256, size and time of every file, plus CSV dimensions.
 
-    Whole files are hashed (one file per task at a time); hidden files are skipped.
+    Whole files are hashed; hidden files are skipped.  A file of up to `PIECE_BYTES`, or of a file system that only
+    Spark opens, is read by one task at a time.  Longer ones are read piece by piece, each by a task that goes on
+    from the state of the one before.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    meta = raw.select(_name(F.col("path")).alias("name"), F.sha2("content", 256).alias("sha256"),
-                      F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
-    return meta.filter(~F.col("name").startswith("."))
+    raw = raw.withColumn("name", _name(F.col("path"))).filter(~F.col("name").startswith("."))
+    kept = [F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at")]
+    whole = lambda d: d.select("name", F.sha2("content", 256).alias("sha256"), *kept)
+    out = whole(raw.filter(F.col("length") <= PIECE_BYTES))  # by length alone, so that the others are not opened
+    long, local = raw.filter(F.col("length") > PIECE_BYTES), F.col("path").startswith("file:")
+    pieces = long.filter(local).select("path", "name", *kept)
+    if not pieces.isEmpty():
+        out = out.unionByName(pieces.join(_long_hashes(pieces, PIECE_BYTES), "path").select(*out.columns))
+    if not long.filter(~local).select("path").isEmpty():
+        out = out.unionByName(whole(long.filter(~local)))
+    return out
 
 
 def csv_dimensions(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:

@@ -1,5 +1,6 @@
 """Work that must not grow faster than the rows."""
 
+import hashlib
 import uuid
 
 import numpy as np
@@ -7,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plantwave.operators import asof, learn, ordered, pareto, windows
+from plantwave.operators import asof, learn, ordered, pareto, versioning, windows
 from plantwave.streaming import buffer, detectors
 
 KEYS = ["tag"]
@@ -344,3 +345,39 @@ def test_trees_see_rows_where_inputs_differ(spark, monkeypatch):
     d = spark.range(1000).select("id", F.col("id").cast("double").alias("a"), (F.col("id") * 2.0).alias("y"))
     learn.fit_soft_sensor(d, ["a"], "y", F.col("id"), n_models=1, trees=2, depth=2)
     assert 500 < seen[0] < 800
+
+
+# --- file hashes ----------------------------------------------------------------------
+
+@pytest.mark.parametrize("own_state", [True, False])
+def test_long_files_are_hashed_piece_by_piece(spark, tmp_path, monkeypatch, own_state):
+    """Each file was read whole by one task, and none above the limit of its reader."""
+    rng, want = np.random.default_rng(3), {}
+    for i, n in enumerate([1, 2, 999, 1000, 1001, 2000, 5003, 64_000]):
+        data = rng.bytes(n)
+        (tmp_path / f"a b%20{i}.csv").write_bytes(data)
+        want[f"a b%20{i}.csv"] = (hashlib.sha256(data).hexdigest(), n)
+    (tmp_path / ".hidden.csv").write_bytes(rng.bytes(5000))
+    monkeypatch.setattr(versioning, "PIECE_BYTES", 1000)
+    if own_state:
+        read = [sum(r["at"] for r in versioning._hash_on(pd.DataFrame([{"path": f"file:{tmp_path}/a b%207.csv", "size_bytes": 64_000,
+                "at": 0, "state": None, "sha256": None}]), 1000))]
+        assert read == [1000]
+    else:
+        monkeypatch.setattr(versioning, "_hash_on", without_state(versioning._hash_on))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1500")
+    try:
+        rows = versioning.file_meta(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert {r.name: (r.sha256, r.size_bytes) for r in rows} == want and len(rows) == len(want)
+
+
+def without_state(hash_on):
+    def run(rows, piece):
+        kept, versioning.Sha256.library = versioning.Sha256.library, None
+        try:
+            yield from hash_on(rows, piece)
+        finally:
+            versioning.Sha256.library = kept
+    return run
