@@ -295,3 +295,68 @@ def test_texts_cut_at_the_threshold_still_meet(spark):
         want[c] = c if alone else a
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_what_blocks_ask_follows_shingles_not_ranges(spark, monkeypatch):
+    """Each range got a size, a count and a tag of every set with a shingle there, more bytes than the shingles."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 2}x{k + 10**6 * (k > 300 and i % 2)}" for k in range(404))) for i in range(60)],
+                                 "doc_id long, text string")
+    made, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *a: made.append(plain(self, *a)) or made[-1])
+
+    def asked(bits):
+        monkeypatch.setattr(jaccard, "RANGE_BITS", bits)
+        made.clear()
+        counts = sorted(r.shared for r in jaccard.shared_counts(docs, 1).collect())
+        sent = made[0].select(sum(F.coalesce(F.length(c), F.lit(0)) for c, kind in made[0].dtypes if kind == "binary").alias("n"))
+        return counts, sent.agg(F.sum("n")).first()[0]
+
+    few, many = asked(4), asked(10)
+    assert few[0] == many[0] == [297] * 60
+    assert many[1] < 1.2 * few[1] and many[1] < 60 * 400 * 5
+
+
+def test_owners_as_bits():
+    for who, n in (([], 3), ([0, 0, 2, 5], 6), ([7], 8), ([1] * 9, 2), ([0], 1)):
+        assert jaccard.bits_owner(jaccard.owner_bits(np.array(who, dtype=np.int32), n)).tolist() == who
+
+
+def test_copies_ask_once_and_every_set_asks(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(9))
+    rows = [(i, text(i % 40)) for i in range(400)] + [(1000, text(39)), (1000, text(77)), (2, text(78)), (2000, text(77)), (900, text(79))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = jaccard.digests(docs)
+    reps = sets.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
+    got = [r.text for r in jaccard.askers(docs, reps, sets.join(reps, ["d1", "d2", "n"]).select("doc_id", "rep")).collect()]
+    assert {*got} == {t for _, t in rows} and len(got) < 100
+
+
+def test_points_with_a_shingle_in_common_by_chance_leave_their_region(spark, monkeypatch):
+    """All points of a region were moved with their sets, however many met there by one shingle of long texts."""
+    rng = np.random.default_rng(12)
+    new = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    sets, want = [], []
+    for n in (3, 40, 63, 64, 65, 127, 128, 129, 150, 500, 511, 513, 4000):
+        a = new(n)
+        gone = n // 5
+        near = [a[gone:], np.concatenate([a[: n - n // 10], new(n // 10 - (n // 10) // 9)])]
+        for b in near:
+            both = np.intersect1d(a, b)
+            if jaccard.linked(len(both), len(a) + len(b) - len(both)):
+                sets += [a, b]
+                want += [len(sets) - 2, len(sets) - 1]
+        sets += [new(n + 200 + 3 * n * k) for k in range(3)]
+    shared = new(1)
+    sets = [np.unique(np.append(s, shared)) if i not in want else np.sort(s) for i, s in enumerate(sets)]
+    keep = jaccard.may_link(np.array([len(s) for s in sets]), [jaccard.parities(s) for s in sets])
+    assert keep[want].all() and len(want) > 20 and keep.sum() == len(want)
+    points = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "x long, set binary")
+    named = spark.createDataFrame([(r, i) for r in (0, 1) for i in range(len(sets))] + [(2, 0), (2, 1), (2, 4)], "region long, x long")
+    near = lambda: sorted(map(tuple, jaccard.near_members(named, points).collect()))
+    all_rows = sorted(map(tuple, named.collect()))
+    assert near() == [r for r in all_rows if r[1] in want and r[0] < 2 or r in ((2, 0), (2, 1))]
+    with monkeypatch.context() as m:
+        m.setattr(jaccard, "REGION_BYTES", 100)
+        assert {r for r in near() if r[0] < 2} == {r for r in all_rows if r[0] < 2}
+    monkeypatch.setattr(jaccard, "SKETCH_ROWS", 3)
+    assert near() == [r for r in all_rows if r[0] < 2 or r[1] != 4]
