@@ -360,3 +360,22 @@ def test_points_with_a_shingle_in_common_by_chance_leave_their_region(spark, mon
         assert {r for r in near() if r[0] < 2} == {r for r in all_rows if r[0] < 2}
     monkeypatch.setattr(jaccard, "SKETCH_ROWS", 3)
     assert near() == [r for r in all_rows if r[0] < 2 or r[1] != 4]
+
+
+def test_rows_that_no_class_drops_stay_where_they_are(spark):
+    """All texts were shuffled to drop a few."""
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(9))
+    rows = [(i, text(i)) for i in range(600)] + [(700, text(5)), (701, text(5)), (9, text(800)), (9, text(9)), (None, text(5)), (702, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").withColumn("_may", F.lit("mine"))
+    classes = spark.createDataFrame([(i, 5 if i in (700, 701) else i) for i, _ in rows], "doc_id long, component_id long")
+    kept = jaccard.one_per_class(docs, classes)
+    plan = kept._jdf.queryExecution().executedPlan().initialPlan()
+    while plan.nodeName() != "Union":
+        plan = plan.children().apply(0)
+    first = plan.children().apply(0).toString()
+    assert "hashpartitioning" not in first and "BroadcastExchange" in first
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    want = [r for r in rows if r not in ((700, text(5)), (701, text(5)), (9, text(9)))]
+    assert sorted(got, key=str) == sorted(want, key=str) and kept.columns == docs.columns
+    own = {r.doc_id for r in jaccard.marked(docs, docs.filter("doc_id < 20").select("doc_id"), "hit").filter("hit").collect()}
+    assert {*range(20)} <= own and len(own) < 100
